@@ -1,0 +1,33 @@
+"""The flagship query."""
+
+from __future__ import annotations
+
+from .gold import class_report, staged_chunks
+from .inputs import REPORTS_SQL, reports, sql_chunks, sql_class, sql_keywords, sql_masked, sql_summary
+from .registry import query
+
+_MODELS = "'NX01','NX02','NX03','GV80','G90','IONIQ5','IONIQ6'"
+
+SQL = f"""WITH {REPORTS_SQL},
+{sql_masked('reports', 'content', 'doc_id, code, model')},
+{sql_chunks('masked', 'doc_id', 't')},
+{sql_keywords('chunks', 'doc_id, chunk_sequence', 'chunk_content')},
+per_chunk AS (SELECT c.doc_id, c.chunk_sequence, coalesce(len(k.keywords), 0) AS nk,
+  len(list_filter([{_MODELS}], lambda m: contains(c.chunk_content, m))) AS ne,
+  length({sql_summary('c.chunk_content')}) AS ns, length(c.chunk_content) AS nc
+  FROM chunks c LEFT JOIN keywords k ON c.doc_id = k.doc_id AND c.chunk_sequence = k.chunk_sequence)
+SELECT {sql_class('m.code')} AS pclrty_class, count(*) FILTER (chunk_sequence = 0) AS documents,
+  count(*) FILTER (chunk_sequence = 0 AND is_masked) AS masked_documents,
+  CAST(sum(CASE WHEN chunk_sequence = 0 THEN total ELSE 0 END) AS BIGINT) AS detections,
+  count(*) AS chunks, CAST(sum(nk) AS BIGINT) AS keywords, CAST(sum(ne) AS BIGINT) AS entities,
+  CAST(sum(ns) AS BIGINT) AS summary_chars, CAST(sum(nc) AS BIGINT) AS chunk_chars
+FROM masked m JOIN per_chunk p ON m.doc_id = p.doc_id GROUP BY 1"""
+
+
+@query("gold_class_report", SQL)
+def gold_class_report(spark, d):
+    """KEY-1..2, STR-1..8, AGG-5..6, WIN-2, PRJ-3, MAP-1..2 end to end."""
+    rows = reports(spark, d)
+    return class_report(
+        staged_chunks(rows, "source", ["pilot_problem_no", "reform_numseq"], "content", "code", "model")
+    )

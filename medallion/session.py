@@ -34,6 +34,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "med
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="medallion-"))
     )
     for key, value in RUNTIME_SETTINGS.items():
