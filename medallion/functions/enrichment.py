@@ -17,7 +17,7 @@ from ..constants import (
     SUMMARY_FALLBACK_CHARS,
     WORD_PATTERN,
 )
-from .text import strip
+from .text import let, run_starts, strip
 
 
 def words(text: Column, pattern: str = WORD_PATTERN, stop_words=STOP_WORDS) -> Column:
@@ -26,32 +26,48 @@ def words(text: Column, pattern: str = WORD_PATTERN, stop_words=STOP_WORDS) -> C
     return F.filter(found, lambda w: ~w.isin(*stop_words)) if stop_words else found
 
 
-def with_keywords(
-    df: DataFrame, text: str, out: str = "keywords", top: int = KEYWORDS_PER_CHUNK, stop_words=STOP_WORDS
-) -> DataFrame:
-    """Most frequent words, ties by first appearance."""
-    placed = F.sort_array(
-        F.transform(words(F.col(text), stop_words=stop_words), lambda w, i: F.struct(w.alias("w"), i.alias("p")))
-    )
-    step = df.withColumn("_placed", placed)
-    # Runs of one word start where the word differs from its left neighbour.
-    starts = F.filter(
-        F.transform("_placed", lambda e, i: F.struct(e["w"].alias("w"), e["p"].alias("p"), i.alias("i"))),
-        lambda e: (e["i"] == 0) | (F.get(F.col("_placed"), e["i"] - 1)["w"] != e["w"]),
-    )
-    step = step.withColumn("_runs", starts)
-    ranked = F.sort_array(
-        F.transform(
-            "_runs",
-            lambda e, j: F.struct(
-                (e["i"] - F.coalesce(F.get(F.col("_runs"), j + 1)["i"], F.size("_placed"))).alias("minus_count"),
-                e["p"].alias("p"),
-                e["w"].alias("w"),
+def most_frequent(terms: Column, top: int) -> Column:
+    """The ``top`` most frequent values of an array, ties by first appearance.
+
+    Counts are the lengths of runs in the sorted array.  Only the values above the count of the last
+    place, fewer than ``top``, are looked up for their position; those that tie with it are taken in order
+    of appearance by one hash intersection.
+    """
+
+    def ranked(ws: Column, s: Column, starts: Column, counts: Column, last: Column) -> Column:
+        better = F.transform(
+            F.filter(F.sequence(F.lit(0), F.size(starts)), lambda j: F.get(counts, j) > last),
+            lambda j: F.struct(
+                (-F.get(counts, j)).alias("n"),
+                F.array_position(ws, F.get(s, F.get(starts, j))).alias("p"),
+                F.get(s, F.get(starts, j)).alias("w"),
+            ),
+        )
+        tied = F.transform(F.filter(starts, lambda x, j: F.get(counts, j) == last), lambda x: F.get(s, x))
+        return let(
+            better,
+            lambda b: F.concat(
+                F.transform(F.sort_array(b), lambda e: e["w"]),
+                F.slice(F.array_intersect(ws, tied), F.lit(1), F.lit(top) - F.size(b)),
             ),
         )
-    )
-    step = step.withColumn(out, F.transform(F.slice(ranked, 1, top), lambda e: e["w"]))
-    return step.drop("_placed", "_runs")
+
+    def counted(starts: Column, s: Column) -> Column:
+        return F.transform(starts, lambda x, j: F.coalesce(F.get(starts, j + 1), F.size(s)) - x)
+
+    def place(counts: Column) -> Column:
+        return F.coalesce(F.get(F.sort_array(counts, asc=False), F.lit(top - 1)), F.lit(0))
+
+    return let(terms, lambda ws: let(
+        F.sort_array(ws), lambda s: let(
+            run_starts(s), lambda starts: let(
+                counted(starts, s), lambda counts: let(
+                    place(counts), lambda last: ranked(ws, s, starts, counts, last))))))
+
+
+def keywords(text: Column, top: int = KEYWORDS_PER_CHUNK, stop_words=STOP_WORDS) -> Column:
+    """Most frequent words of a text, ties by first appearance."""
+    return most_frequent(words(text, stop_words=stop_words), top)
 
 
 def summary(stripped: Column) -> Column:
@@ -76,9 +92,12 @@ def enrich_chunks(
     """Add keywords, entities, summary, category and the metadata struct.  A narrow operation."""
     category = F.lit(DEFAULT_CLASS) if security_class is None else security_class
     out = df.withColumn("_s", strip(F.coalesce(F.col(text), F.lit(""))))
-    out = with_keywords(out, "_s")
-    out = out.withColumn("entities", entities(F.col("_s"))).withColumn("summary", summary(F.col("_s")))
-    out = out.withColumn("category", category)
+    out = out.withColumns({
+        "keywords": keywords(F.col("_s")),
+        "entities": entities(F.col("_s")),
+        "summary": summary(F.col("_s")),
+        "category": category,
+    })
     return out.withColumn(
         "enrichment_metadata",
         F.struct(

@@ -11,6 +11,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MASKED_THRESHOLD, PII_PATTERNS, PII_REQUIRED_LITERAL
+from .text import let
+
+
+def _step(pattern: str, replacement: str, literal: str | None):
+    """One pattern on ``(text, found)``: its count is appended, its matches are replaced."""
+    regex = F.lit("(?U)" + pattern)
+
+    def apply(state: Column) -> Column:
+        found = F.regexp_count(state["text"], regex)
+        if literal:
+            found = F.when(F.contains(state["text"], F.lit(literal)), found).otherwise(F.lit(0))
+        return let(
+            found,
+            lambda n: F.struct(
+                F.when(n > 0, F.regexp_replace(state["text"], regex, F.lit(replacement)))
+                .otherwise(state["text"])
+                .alias("text"),
+                F.concat(state["found"], F.array(n)).alias("found"),
+            ),
+        )
+
+    return apply
+
+
+def masking(text: Column, patterns=PII_PATTERNS, required=PII_REQUIRED_LITERAL) -> Column:
+    """Struct of the masked ``text`` and the counts ``found`` in the order of the patterns."""
+    state = F.struct(text.alias("text"), F.array().cast("array<int>").alias("found"))
+    for kind, pattern, replacement in patterns:
+        state = let(state, _step(pattern, replacement, required.get(kind)))
+    return state
 
 
 def mask_text(
@@ -22,25 +52,12 @@ def mask_text(
     required=PII_REQUIRED_LITERAL,
 ) -> DataFrame:
     """Add the masked text and a ``{type: count}`` map that holds only the types that were found."""
-    keep = df.columns
-    out = df.withColumn("_t", F.col(text))
-    hits = []
-    for kind, pattern, replacement in patterns:
-        regex = F.lit("(?U)" + pattern)
-        literal = required.get(kind)
-        found = F.regexp_count("_t", regex)
-        if literal:
-            found = F.when(F.contains("_t", F.lit(literal)), found).otherwise(F.lit(0))
-        out = out.withColumn(f"_n_{kind}", found)
-        out = out.withColumn(
-            "_t",
-            F.when(F.col(f"_n_{kind}") > 0, F.regexp_replace("_t", regex, F.lit(replacement))).otherwise(F.col("_t")),
-        )
-        hits.append(F.struct(F.lit(kind).alias("key"), F.col(f"_n_{kind}").alias("value")))
-    found_types = F.map_from_entries(F.filter(F.array(*hits), lambda e: e["value"] > 0))
-    return out.select(
-        *[c for c in keep if c not in (masked, counts)], F.col("_t").alias(masked), found_types.alias(counts)
-    )
+    keep = [c for c in df.columns if c not in (masked, counts)]
+    kinds = F.array(*[F.lit(kind) for kind, _, _ in patterns])
+    pairs = F.zip_with(kinds, F.col("_m.found"), lambda k, n: F.struct(k.alias("key"), n.alias("value")))
+    types = F.map_from_entries(F.filter(pairs, lambda e: e["value"] > 0))
+    out = df.withColumn("_m", masking(F.col(text), patterns, required))
+    return out.select(*keep, F.col("_m.text").alias(masked), types.alias(counts))
 
 
 def detection_count(counts: Column | str) -> Column:

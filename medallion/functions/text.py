@@ -7,19 +7,53 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = r"[\s\x1c-\x1f]"
+# What counts as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def _c(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def strip(text: Column | str) -> Column:
-    """Remove Unicode white space at both ends.
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it.
 
-    The look-behind and the possessive run keep long inner runs of spaces linear.
+    A named column would do as well, but the optimizer writes its definition out again at every use
+    below a pushed-down filter; a lambda variable stays a variable.
     """
-    return F.regexp_replace(_c(text), rf"(?U)^{_SPACE}++|(?<!{_SPACE}){_SPACE}++$", "")
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def strip(text: Column | str) -> Column:
+    """Remove Unicode white space at both ends; looks at the ends only, whatever the length."""
+    return F.btrim(_c(text), F.lit(WHITE_SPACE))
+
+
+def run_starts(ordered: Column) -> Column:
+    """Indexes at which a new value begins in a sorted array."""
+    return F.filter(
+        F.sequence(F.lit(0), F.greatest(F.size(ordered) - 1, F.lit(0))),
+        lambda i: (F.size(ordered) > 0) & ((i == 0) | (F.get(ordered, i - 1) != F.get(ordered, i))),
+    )
+
+
+def term_counts(terms: Column) -> Column:
+    """``array<(term, tf)>`` of an array of terms, from the runs of the sorted array; no shuffle."""
+    return let(
+        F.sort_array(terms),
+        lambda s: let(
+            run_starts(s),
+            lambda starts: F.transform(
+                starts,
+                lambda x, j: F.struct(
+                    F.get(s, x).alias("term"), (F.coalesce(F.get(starts, j + 1), F.size(s)) - x).alias("tf")
+                ),
+            ),
+        ),
+    )
 
 
 def mapped(code: Column | str, mapping: Mapping[str, str], default: Column | str | None) -> Column:

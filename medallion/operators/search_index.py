@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_CLASS
+from ..functions.text import term_counts
 
 TEXT_FIELDS = ("chunk_content", "summary")
 KEYWORD_FIELD = "keywords"
@@ -38,24 +39,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
 
 
-def with_term_counts(df: DataFrame, token_array: Column, out: str) -> DataFrame:
-    """Add ``array<(term, tf)>`` of one row's tokens by runs of the sorted array; no shuffle."""
-    df = df.withColumn("_sorted", F.sort_array(token_array))
-    starts = F.filter(
-        F.transform("_sorted", lambda t, i: F.struct(t.alias("term"), i.alias("i"))),
-        lambda e: (e["i"] == 0) | (F.get(F.col("_sorted"), e["i"] - 1) != e["term"]),
-    )
-    df = df.withColumn("_starts", starts)
-    counted = F.transform(
-        "_starts",
-        lambda e, j: F.struct(
-            e["term"].alias("term"),
-            (F.coalesce(F.get(F.col("_starts"), j + 1)["i"], F.size("_sorted")) - e["i"]).alias("tf"),
-        ),
-    )
-    return df.withColumn(out, counted).drop("_sorted", "_starts")
-
-
 def postings(documents: DataFrame, doc_id: str = "staged_id", fields=TEXT_FIELDS) -> DataFrame:
     """``(field, term, doc, tf, length)`` of the text fields, and the exact keywords (IDX-3, IDX-4).
 
@@ -64,11 +47,11 @@ def postings(documents: DataFrame, doc_id: str = "staged_id", fields=TEXT_FIELDS
     parts = []
     for name in fields:
         step = documents.select(F.col(doc_id), tokens(F.col(name)).alias("_tokens"))
-        step = with_term_counts(step, F.col("_tokens"), "_counts")
+        step = step.select(doc_id, "_tokens", term_counts(F.col("_tokens")).alias("_counts"))
         parts.append(
             step.select(
-                F.lit(name).alias("field"), doc_id, F.size("_tokens").alias("length"), F.inline("_counts")
-            ).select("field", "term", doc_id, "tf", "length")
+                F.lit(name).alias("field"), doc_id, F.size("_tokens").alias("length"), F.inline_outer("_counts")
+            ).where(F.col("term").isNotNull()).select("field", "term", doc_id, "tf", "length")
         )
     if KEYWORD_FIELD in documents.columns:
         parts.append(

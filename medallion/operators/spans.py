@@ -33,6 +33,10 @@ def detect_spans(
     return docs.select(doc_id, text).mapInPandas(run, f"`{doc_id}` {id_type}, {SPAN_SCHEMA}")
 
 
+def _has_tag(tag: str):
+    return lambda span: span["tag"] == tag
+
+
 def mask_spans(
     docs: DataFrame,
     spans: DataFrame | None,
@@ -49,7 +53,6 @@ def mask_spans(
     (``spans=None``).  The spans of one document are bounded by its text, so they are gathered per
     document.
     """
-    zero = F.create_map(*[x for t in dict.fromkeys(tags.values()) for x in (F.lit(t), F.lit(0))])
     if spans is None:
         joined = docs.withColumn("_spans", F.lit(None).cast("array<struct<start:int,minus_end:int,tag:string>>"))
     else:
@@ -64,10 +67,9 @@ def mask_spans(
         joined = docs.join(per_doc, doc_id, "left")
     empty = F.from_json(F.lit("[]"), "array<struct<start:int,minus_end:int,tag:string>>")
     step = joined.withColumn("_spans", F.coalesce("_spans", empty))
-    found = zero
-    for tag in dict.fromkeys(tags.values()):
-        hits = F.size(F.filter("_spans", lambda s, t=tag: s["tag"] == t))
-        found = F.map_zip_with(found, F.create_map(F.lit(tag), hits), lambda k, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+    found = F.create_map(
+        *[x for tag in dict.fromkeys(tags.values()) for x in (F.lit(tag), F.size(F.filter("_spans", _has_tag(tag))))]
+    )
     # Greedy left-to-right choice of non-overlapping spans.
     kept = F.aggregate(
         "_spans",

@@ -65,10 +65,14 @@ def stats_rows(stats: DataFrame, labels: Sequence[tuple[str, str]] = PII_STAT_LA
 
 
 def type_breakdown(masked: DataFrame, counts: str = "pii_pattern_types", flag: str = "is_masked") -> DataFrame:
-    """Detections per type over flagged documents only (AGG-4)."""
+    """Detections per type over flagged documents only (AGG-4).
+
+    The flag blanks the map instead of filtering the rows: a filter on a column that comes straight from
+    masking would be pushed below it and mask every text twice.
+    """
     return (
-        masked.where(F.col(flag))
-        .select(F.explode(counts).alias("type", "n"))
+        masked.select(F.explode_outer(F.when(F.col(flag), F.col(counts))).alias("type", "n"))
+        .where(F.col("type").isNotNull())
         .groupBy("type")
         .agg(F.sum(F.coalesce("n", F.lit(0))).alias("count"))
         .withColumn("label", pii_label("type"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..session import spread_small
 from .gold import class_report, staged_chunks
 from .inputs import REPORTS_SQL, reports, sql_chunks, sql_class, sql_keywords, sql_masked, sql_summary
 from .registry import query
@@ -27,7 +28,7 @@ FROM masked m JOIN per_chunk p ON m.doc_id = p.doc_id GROUP BY 1"""
 @query("gold_class_report", SQL)
 def gold_class_report(spark, d):
     """KEY-1..2, STR-1..8, AGG-5..6, WIN-2, PRJ-3, MAP-1..2 end to end."""
-    rows = reports(spark, d)
+    rows = spread_small(reports(spark, d))
     return class_report(
         staged_chunks(rows, "source", ["pilot_problem_no", "reform_numseq"], "content", "code", "model")
     )

@@ -71,3 +71,14 @@ def work_path(spark: SparkSession, name: str) -> str:
 def estimated_bytes(df: DataFrame) -> int:
     """Optimizer's size estimate of a plan; runs no job.  Joins are over- rather than underestimated."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread_small(df: DataFrame, limit: int = 512 * 1024 * 1024) -> DataFrame:
+    """Spread an input below ``limit`` over all cores before costly expressions.
+
+    A small Parquet file is often one row group and so one task.  Larger inputs have enough row groups
+    and are left alone: no shuffle of the data.
+    """
+    if estimated_bytes(df) > limit:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
