@@ -198,7 +198,7 @@ def document_lookup(spark, d):
     "normalize_vectors",
     """WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * (vec_id % 3)) AS v FROM embeddings),
 l AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM v)
-SELECT vec_id, round(CASE WHEN n = 0 THEN 0.0 ELSE 1.0 END, 6) AS length, round(CASE WHEN n = 0 THEN v[1] ELSE v[1] / n END, 6) + 0.0 AS first FROM l""",
+SELECT vec_id, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS length, round(CASE WHEN n = 0 THEN v[1] ELSE v[1] / n END, 6) + 0.0 AS first FROM l""",
 )
 def normalize_vectors(spark, d):
     """MTH-2; every third vector is the zero vector."""

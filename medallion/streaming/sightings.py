@@ -4,70 +4,68 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..constants import FIRST_SIGHT_TTL_DAYS
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-
-class FirstSight(StatefulProcessor):
-    """State of a key is the sighting its memory began with.
-
-    A micro-batch holds at most what the source admits per trigger, and only the key, time and id of its
-    rows come here, so a hot key is bounded by the admission limit.
-    """
-
-    def __init__(self, key: str, order: str, row_id: str, ttl_days: float):
-        self._columns = (key, order, row_id)
-        self._ttl = pd.Timedelta(days=ttl_days)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        # Stored state may go once wall-clock time has passed twice the lifetime since it was set.
-        keep = int(2 * self._ttl.total_seconds() * 1000)
-        self._anchor = handle.getValueState("anchor", "micros long", ttlDurationMs=keep)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        name, order, row_id = self._columns
-        batch = pd.concat(list(rows)).sort_values([order, row_id], kind="stable")
-        ttl = int(self._ttl.total_seconds() * 1_000_000)
-        times = batch[order].to_numpy("datetime64[us]").astype("int64")
-        stored = self._anchor.get()
-        anchor = None if stored is None else stored[0]
-        before = anchor
-        operations = []
-        for t in times:
+def _first_sight(key: str, order: str, row_id: str, ttl_days: float, expire_state: bool):
+    ttl = int(ttl_days * 86_400_000_000)
+    # Stored state may go once wall-clock time has passed twice the lifetime since it was set.
+    keep_ms = int(2 * ttl / 1000)
+
+    def infer(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pieces = [(p[order].to_numpy("datetime64[us]").astype("int64"), p[row_id].to_numpy()) for p in parts]
+        times = np.concatenate([t for t, _ in pieces])
+        ids = np.concatenate([i for _, i in pieces])
+        places = np.lexsort((ids, times))
+        before = anchor = state.get[0] if state.exists else None
+        operations = np.full(len(times), "update", dtype=object)
+        for place in places:
+            t = times[place]
             if anchor is None or t > anchor + ttl:
                 anchor = int(t)
-                operations.append("insert")
-            else:
-                operations.append("update")
+                operations[place] = "insert"
         if anchor != before:
-            self._anchor.update((anchor,))
-        yield pd.DataFrame({name: batch[name], row_id: batch[row_id], "change_operation": operations})
+            state.update((anchor,))
+        if expire_state:
+            state.setTimeoutDuration(keep_ms)
+        yield pd.DataFrame({key: group[0], row_id: ids, "change_operation": operations})
 
-    def close(self) -> None:
-        pass
+    return infer
 
 
 def infer_operations_stream(
-    rows: DataFrame, key: str, order: str, row_id: str, ttl_days: float = FIRST_SIGHT_TTL_DAYS
+    rows: DataFrame,
+    key: str,
+    order: str,
+    row_id: str,
+    ttl_days: float = FIRST_SIGHT_TTL_DAYS,
+    expire_state: bool = False,
 ) -> DataFrame:
-    """Streaming ``(key, row_id, change_operation)``.  Needs the RocksDB state store (``use_rocksdb``)."""
+    """Streaming ``(key, row_id, change_operation)``.
+
+    ``expire_state`` removes the state of keys unseen for long and is meant for queries that run all the
+    time: with a timeout Spark keeps starting batches, so a bounded run would never end.
+
+    State is one number per key.  Only key, time and id of the rows go to Python, and a micro-batch holds
+    at most what the source admits per trigger, so the rows of a hot key are bounded by that limit.
+    """
     types = dict(rows.dtypes)
     return (
         rows.select(key, order, row_id)
         .groupBy(key)
-        .transformWithStateInPandas(
-            statefulProcessor=FirstSight(key, order, row_id, ttl_days),
-            outputStructType=f"{key} {types[key]}, {row_id} {types[row_id]}, change_operation string",
-            outputMode="Append",
-            timeMode="ProcessingTime",
+        .applyInPandasWithState(
+            _first_sight(key, order, row_id, ttl_days, expire_state),
+            outputStructType=f"`{key}` {types[key]}, `{row_id}` {types[row_id]}, change_operation string",
+            stateStructType="micros long",
+            outputMode="append",
+            timeoutConf=GroupStateTimeout.ProcessingTimeTimeout if expire_state else GroupStateTimeout.NoTimeout,
         )
     )
-
-
-def use_rocksdb(spark) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
