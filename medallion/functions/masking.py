@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MASKED_THRESHOLD, PII_PATTERNS, PII_REQUIRED_LITERAL
-from .text import let
+from .text import computed_once, let
 
 
 def _step(pattern: str, replacement: str, literal: str | None):
@@ -54,10 +54,13 @@ def mask_text(
     """Add the masked text and a ``{type: count}`` map that holds only the types that were found."""
     keep = [c for c in df.columns if c not in (masked, counts)]
     kinds = F.array(*[F.lit(kind) for kind, _, _ in patterns])
-    pairs = F.zip_with(kinds, F.col("_m.found"), lambda k, n: F.struct(k.alias("key"), n.alias("value")))
-    types = F.map_from_entries(F.filter(pairs, lambda e: e["value"] > 0))
-    out = df.withColumn("_m", masking(F.col(text), patterns, required))
-    return out.select(*keep, F.col("_m.text").alias(masked), types.alias(counts))
+
+    def result(state: Column) -> Column:
+        pairs = F.zip_with(kinds, state["found"], lambda k, n: F.struct(k.alias("key"), n.alias("value")))
+        types = F.map_from_entries(F.filter(pairs, lambda e: e["value"] > 0))
+        return F.struct(state["text"].alias(masked), types.alias(counts))
+
+    return computed_once(df, keep, let(masking(F.col(text), patterns, required), result))
 
 
 def detection_count(counts: Column | str) -> Column:

@@ -4,9 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+def computed_once(df: DataFrame, keep: list[str], values: Column) -> DataFrame:
+    """``keep`` and the fields of the struct ``values`` as columns, computed once per row.
+
+    The optimizer writes the definition of a column into every filter and projection above it, so a costly
+    one (JSON, regex) would run once per use.  It does not look through a generator.
+    """
+    return df.select(*keep, F.inline_outer(F.array(values)))
+
+
 # What counts as white space at the ends of a text.
 WHITE_SPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
@@ -19,11 +28,8 @@ def _c(value: Column | str) -> Column:
 
 
 def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, however often the body uses it.
-
-    A named column would do as well, but the optimizer writes its definition out again at every use
-    below a pushed-down filter; a lambda variable stays a variable.
-    """
+    """``body(value)`` with the value computed once, however often the body uses it: a lambda variable
+    is never written out again the way a named column is."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 

@@ -96,12 +96,12 @@ def registry(
 def parity(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     """Compare two loads of one batch (AGG-12): row counts and rows found on one side only.
 
-    Both sides are counted per distinct row before the shuffle; no row is sorted or paired.
+    Rows are counted per distinct value of ``columns`` inside the tasks first; nothing is sorted or
+    paired.  For wide rows pass a row hash as the only column.
     """
-    row = F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})).alias("h")
-    signed = a.select(row, F.lit(1).alias("s")).unionAll(b.select(row, F.lit(-1).alias("s")))
-    net = signed.groupBy("h").agg(
-        F.sum("s").alias("net"), F.count_if(F.col("s") > 0).alias("na"), F.count_if(F.col("s") < 0).alias("nb")
+    signed = a.select(*columns, F.lit(1).alias("_s")).unionAll(b.select(*columns, F.lit(-1).alias("_s")))
+    net = signed.groupBy(*columns).agg(
+        F.sum("_s").alias("net"), F.count_if(F.col("_s") > 0).alias("na"), F.count_if(F.col("_s") < 0).alias("nb")
     )
     return net.agg(
         F.coalesce(F.sum("na"), F.lit(0)).alias("rows_a"),

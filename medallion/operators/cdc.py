@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_PROFILE, FIRST_SIGHT_TTL_DAYS, LOG_OPERATIONS, STREAM_OPERATIONS, SourceProfile
 from ..functions import keys as K
-from ..functions.text import mapped, strip_prefix
+from ..functions.text import computed_once, let, mapped, strip_prefix
 from ..session import checkpoint_root
 from .skew import SAMPLE_FRACTION, SMALL_INPUT_BYTES, SPLIT_ROWS, _small, hot_keys
 
@@ -37,25 +37,30 @@ def parse_entries(entries: DataFrame, profile: SourceProfile = DEFAULT_PROFILE)
     Empty entries and tombstones are dropped (FLT-8).  Works on batch and streaming frames alike.
     """
     filled = entries.where(F.col("value").isNotNull() & (F.col("value") != ""))
-    parsed = filled.withColumn("_e", F.from_json("value", _ENVELOPE))
-    op = F.col("_e.payload.op")
-    table = F.col("_e.payload.source.table")
-    error = (
-        F.when(F.col("_e").isNull() | F.col("_e._corrupt_record").isNotNull(), F.lit("not_json"))
-        .when(op.isNull(), F.lit("no_operation"))
-        .when(stream_operation(op).isNull(), F.lit("unsupported_operation"))
-    )
+
+    def event(e: Column) -> Column:
+        op, table = e["payload"]["op"], e["payload"]["source"]["table"]
+        error = (
+            F.when(e.isNull() | e["_corrupt_record"].isNotNull(), F.lit("not_json"))
+            .when(op.isNull(), F.lit("no_operation"))
+            .when(stream_operation(op).isNull(), F.lit("unsupported_operation"))
+        )
+        return F.struct(
+            F.when(table != "", table).alias("_table"),
+            stream_operation(op).alias("change_operation"),
+            e["payload"]["ts_ms"].alias("ts_ms"),
+            e["payload"]["before"].alias("before"),
+            e["payload"]["after"].alias("after"),
+            error.alias("error"),
+        )
+
+    parsed = computed_once(filled, ["stream_key", "msg_id", "value"], let(F.from_json("value", _ENVELOPE), event))
     return parsed.select(
-        F.coalesce(F.when(table != "", table), strip_prefix("stream_key", profile.stream_prefix)).alias("table_name"),
+        F.coalesce("_table", strip_prefix("stream_key", profile.stream_prefix)).alias("table_name"),
         F.col("msg_id").alias("batch_id"),
         K.stream_locator("stream_key", "msg_id").alias("s3_path"),
         F.lit(1).cast("long").alias("record_count"),
-        stream_operation(op).alias("change_operation"),
-        F.col("_e.payload.ts_ms").alias("ts_ms"),
-        F.col("_e.payload.before").alias("before"),
-        F.col("_e.payload.after").alias("after"),
-        "value",
-        error.alias("error"),
+        "change_operation", "ts_ms", "before", "after", "value", "error",
     )
 
 

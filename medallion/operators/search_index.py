@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_CLASS
 from ..functions.text import term_counts
+from ..session import spread_small
 
 TEXT_FIELDS = ("chunk_content", "summary")
 KEYWORD_FIELD = "keywords"
+POSTING_SALTS = 16
 
 
 def search_documents(rows: DataFrame) -> DataFrame:
@@ -39,26 +41,30 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
 
 
+def _first() -> Column:
+    return F.when(F.col("_i") == 0, 1).otherwise(0).alias("first_of_document")
+
+
 def postings(documents: DataFrame, doc_id: str = "staged_id", fields=TEXT_FIELDS) -> DataFrame:
-    """``(field, term, doc, tf, length)`` of the text fields, and the exact keywords (IDX-3, IDX-4).
+    """``(field, term, doc, tf, length, first_of_document)`` of the text fields and of the exact keywords
+    (IDX-3, IDX-4).
 
     Made row by row: a document's term counts never cross a shuffle.
     """
     parts = []
     for name in fields:
         step = documents.select(F.col(doc_id), tokens(F.col(name)).alias("_tokens"))
-        step = step.select(doc_id, "_tokens", term_counts(F.col("_tokens")).alias("_counts"))
-        parts.append(
-            step.select(
-                F.lit(name).alias("field"), doc_id, F.size("_tokens").alias("length"), F.inline_outer("_counts")
-            ).where(F.col("term").isNotNull()).select("field", "term", doc_id, "tf", "length")
-        )
+        step = step.select(
+            F.lit(name).alias("field"), doc_id, F.size("_tokens").alias("length"),
+            F.posexplode_outer(term_counts(F.col("_tokens"))).alias("_i", "_c"),
+        ).where(F.col("_c").isNotNull())
+        parts.append(step.select("field", "_c.term", doc_id, "_c.tf", "length", _first()))
     if KEYWORD_FIELD in documents.columns:
-        parts.append(
-            documents.select(doc_id, F.explode(F.array_distinct(KEYWORD_FIELD)).alias("term")).select(
-                F.lit(KEYWORD_FIELD).alias("field"), "term", doc_id, F.lit(1).alias("tf"), F.lit(1).alias("length")
-            )
-        )
+        exact = documents.select(
+            F.lit(KEYWORD_FIELD).alias("field"), doc_id, F.posexplode_outer(F.array_distinct(KEYWORD_FIELD)).alias("_i", "term")
+        ).where(F.col("term").isNotNull())
+        one = F.lit(1)
+        parts.append(exact.select("field", "term", doc_id, one.alias("tf"), one.alias("length"), _first()))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -70,23 +76,16 @@ def term_statistics(post: DataFrame) -> DataFrame:
     return post.groupBy("field", "term").agg(F.count("*").alias("df"))
 
 
-def field_statistics(documents: DataFrame, fields=TEXT_FIELDS) -> DataFrame:
-    """Documents with the field and their mean length, per field (one row per field)."""
-    lengths = documents.select(*[F.size(tokens(F.col(f))).alias(f) for f in fields])
-    aggregates = []
-    for f in fields:
-        aggregates += [
-            F.count_if(F.col(f) > 0).alias(f"n_{f}"),
-            F.avg(F.when(F.col(f) > 0, F.col(f))).alias(f"avg_{f}"),
-        ]
-    rows = [F.struct(F.lit(f).alias("field"), F.col(f"n_{f}").alias("docs"), F.col(f"avg_{f}").alias("avg_length")) for f in fields]
-    out = lengths.agg(*aggregates).select(F.inline(F.array(*rows)))
-    if KEYWORD_FIELD in documents.columns:
-        with_keywords = documents.agg(F.count_if(F.size(KEYWORD_FIELD) > 0).alias("docs"))
-        out = out.unionByName(
-            with_keywords.select(F.lit(KEYWORD_FIELD).alias("field"), "docs", F.lit(1.0).alias("avg_length"))
-        )
-    return out
+def field_statistics(post: DataFrame) -> DataFrame:
+    """Documents that have the field and their mean length, per field (IDX-4).
+
+    Both come from the postings in one aggregate of a few rows: one posting per document and field is
+    marked as its first, and the term frequencies add up to the length.
+    """
+    return post.groupBy("field").agg(
+        F.sum("first_of_document").alias("docs"),
+        (F.sum("tf") / F.sum("first_of_document")).alias("avg_length"),
+    )
 
 
 @dataclass
@@ -102,28 +101,30 @@ class SearchIndex:
 
 def build_index(documents: DataFrame, vectors: DataFrame | None = None) -> SearchIndex:
     post = postings(documents)
-    return SearchIndex(documents, post, term_statistics(post), field_statistics(documents), vectors)
+    return SearchIndex(documents, post, term_statistics(post), field_statistics(post), vectors)
 
 
 def write_index(index: SearchIndex, path: str) -> None:
     """Write the index tables; an index that exists is left alone (SNK-9).
 
     Documents lie in one folder per routing class; ``rebalance`` splits a class that holds most rows.
-    Postings are ordered by term **and** document, so a common term spreads over many files while a
-    query reads only the row groups of its terms.
+    Postings are spread by term and a salt of the document, so a common term lies in several files, and
+    sorted by term, so a query reads only the row groups of its terms.
     """
     spark = index.documents.sparkSession
     if index_exists(spark, path):
         return
     index.documents.hint("rebalance", "routing").write.partitionBy("routing").parquet(f"{path}/documents")
-    post = index.postings.repartitionByRange("field", "term", "staged_id").sortWithinPartitions("field", "term")
+    documents = spread_small(spark.read.parquet(f"{path}/documents"))
+    salt = F.pmod(F.xxhash64("staged_id"), F.lit(POSTING_SALTS))
+    post = postings(documents).repartition("field", "term", salt).sortWithinPartitions("field", "term")
     post.write.parquet(f"{path}/postings")
-    written = spark.read.schema(index.postings.schema).parquet(f"{path}/postings")
+    written = spark.read.parquet(f"{path}/postings")
     term_statistics(written).sortWithinPartitions("field", "term").write.parquet(f"{path}/terms")
     if index.vectors is not None:
         index.vectors.write.parquet(f"{path}/vectors")
     # Written last: its presence says the index is whole.
-    index.fields.coalesce(1).write.parquet(f"{path}/fields")
+    field_statistics(written).coalesce(1).write.parquet(f"{path}/fields")
 
 
 def index_exists(spark: SparkSession, path: str) -> bool:

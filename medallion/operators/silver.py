@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import DEFAULT_CLASS, DEFAULT_IMPORTANCE, DEFAULT_MODEL, DEFAULT_PROFILE, SourceProfile
 from ..functions import keys as K
 from ..functions.mapping import security_class
+from ..functions.text import computed_once, let
 from ..schemas import PARTS, STEPS
 from .tables import default_when_missing, last_per_key
 
@@ -27,9 +28,8 @@ def probe_batches(registry: DataFrame, batches: DataFrame, order: str, path: str
 def json_array(column: Column | str, schema) -> Column:
     """Parse a JSON array; bad JSON gives an empty array, NULL stays NULL (JSN-1)."""
     c = F.col(column) if isinstance(column, str) else column
-    return F.when(c.isNull(), F.lit(None).cast(schema)).otherwise(
-        F.coalesce(F.from_json(c, schema), F.from_json(F.lit("[]"), schema))
-    )
+    empty = F.array().cast(schema)
+    return F.when(c.isNull(), F.lit(None).cast(schema)).otherwise(F.coalesce(F.from_json(c, schema), empty))
 
 
 def structure(df: DataFrame, profile: SourceProfile = DEFAULT_PROFILE) -> DataFrame:
@@ -65,10 +65,9 @@ def structure(df: DataFrame, profile: SourceProfile = DEFAULT_PROFILE) -> DataFr
             field("reg_empno", "").alias("manager_name"),
         ).alias("display"),
     )
-    return (
-        df.withColumn("structured", document)
-        .withColumn("structured_content", F.to_json("structured", JSON_OPTIONS))
-        .withColumn("content_hash", F.md5("structured_content"))
+    once = computed_once(df, df.columns, F.struct(document.alias("structured")))
+    return once.withColumn("structured_content", F.to_json("structured", JSON_OPTIONS)).withColumn(
+        "content_hash", F.md5("structured_content")
     )
 
 
@@ -77,23 +76,26 @@ _FIELDS = (
 )
 
 
-def document_fields(content: Column | str, bad_code: str = "", bad_model: str = "") -> dict[str, Column]:
-    """Class, importance and model read from a document's JSON in one parse (JSN-3).
+def document_fields(content: Column | str, bad_code: str = "", bad_model: str = "") -> Column:
+    """Struct of class, importance and model read from a document's JSON in one parse (JSN-3).
 
     An absent field reads as its default, an explicit null as NULL.  A document that does not parse gives
     class INTERNAL and the ``bad_*`` values.
     """
     c = F.col(content) if isinstance(content, str) else content
-    doc = F.from_json(c, _FIELDS)
-    bad = c.isNull() | doc["_corrupt_record"].isNotNull()
-
-    def field(group: str, name: str, default: str, bad_value: str) -> Column:
-        values = doc["data"][group]
-        present = F.coalesce(F.map_contains_key(values, name), F.lit(False))
-        return F.when(bad, F.lit(bad_value)).when(present, values[name]).otherwise(F.lit(default))
-
-    return {
-        "pclrty_class": field("prob", "pclrty_class", DEFAULT_CLASS, DEFAULT_CLASS),
-        "importance_code": field("prob", "pilot_problem_importnrate_typecd", DEFAULT_IMPORTANCE, bad_code),
-        "vehicle_model": field("vehiclefuse", "pilot_vhclmodel_no", DEFAULT_MODEL, bad_model),
-    }
+
+    def fields(doc: Column) -> Column:
+        bad = doc.isNull() | doc["_corrupt_record"].isNotNull()
+
+        def field(group: str, name: str, default: str, bad_value: str) -> Column:
+            values = doc["data"][group]
+            present = F.coalesce(F.map_contains_key(values, name), F.lit(False))
+            return F.when(bad, F.lit(bad_value)).when(present, values[name]).otherwise(F.lit(default))
+
+        return F.struct(
+            field("prob", "pclrty_class", DEFAULT_CLASS, DEFAULT_CLASS).alias("pclrty_class"),
+            field("prob", "pilot_problem_importnrate_typecd", DEFAULT_IMPORTANCE, bad_code).alias("importance_code"),
+            field("vehiclefuse", "pilot_vhclmodel_no", DEFAULT_MODEL, bad_model).alias("vehicle_model"),
+        )
+
+    return let(F.from_json(c, _FIELDS), fields)

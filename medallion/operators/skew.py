@@ -137,7 +137,7 @@ def many_to_one(
     fraction: float = SAMPLE_FRACTION,
     small_bytes: int = SMALL_INPUT_BYTES,
 ) -> DataFrame:
-    """Join child rows to parents (unique on ``on``) when some parents own very many children.
+    """Join child rows to parents when some parents own very many children.
 
     A parent table below ``broadcast_bytes`` is broadcast, so nothing is shuffled.  Beyond that the rows
     of hot parents are spread over ``salts`` partitions and only those parents are repeated.

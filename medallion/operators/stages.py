@@ -14,6 +14,7 @@ from ..functions.chunking import chunk_documents
 from ..functions.enrichment import enrich_chunks
 from ..functions.keys import surrogate_id
 from ..functions.masking import mask_documents
+from ..functions.text import computed_once
 from .silver import document_fields
 
 
@@ -115,8 +116,13 @@ def enrich_stage(rows: DataFrame, enrich_fn: Callable[[DataFrame], DataFrame] |
         out = check_columns(enrich_fn(rows), ENRICH_CONTRACT)
     else:
         fields = document_fields("structured_content")
-        rows = rows.withColumns({"_class": fields["pclrty_class"], "_model": fields["vehicle_model"], "_code": fields["importance_code"]})
-        out = enrich_chunks(rows, security_class=F.col("_class"), model=F.col("_model"), importance=F.col("_code"))
+        rows = computed_once(rows, ["chunk_id", "chunk_content"], fields)
+        out = enrich_chunks(
+            rows,
+            security_class=F.col("pclrty_class"),
+            model=F.col("vehicle_model"),
+            importance=F.col("importance_code"),
+        )
     columns = ["chunk_id", "keywords", "entities", "summary", "category", "enrichment_metadata"]
     return out.select(
         surrogate_id(F.lit("enriched"), "chunk_id").alias("enriched_id"), *[c for c in columns if c in out.columns]
@@ -138,11 +144,11 @@ def staged_columns(code: Column, model: Column, profile: SourceProfile = DEFAULT
 def stage_stage(rows: DataFrame, profile: SourceProfile = DEFAULT_PROFILE) -> DataFrame:
     """Gold field mapping of pending enriched rows."""
     fields = document_fields("structured_content", bad_code="A", bad_model="NX01")
-    rows = rows.withColumns({"_code": fields["importance_code"], "_model": fields["vehicle_model"]})
+    rows = computed_once(rows, ["enriched_id"], fields)
     return rows.select(
         surrogate_id(F.lit("staged"), "enriched_id").alias("staged_id"),
         "enriched_id",
-        *[v.alias(k) for k, v in staged_columns(F.col("_code"), F.col("_model"), profile).items()],
+        *[v.alias(k) for k, v in staged_columns(F.col("importance_code"), F.col("vehicle_model"), profile).items()],
     )
 
 

@@ -10,7 +10,7 @@ from ..functions.text import l2_normalised, strip
 from ..operators import search as SE
 from ..operators import search_index as IX
 from ..operators.tables import lookup_or_first
-from ..session import spread_small
+from ..session import spread_small, work_path
 from .inputs import CODES, sql_class, sql_keywords, sql_strip, sql_summary
 from .registry import query, table
 
@@ -23,14 +23,20 @@ def _documents(spark, d):
         F.col("doc_id").alias("staged_id"), F.col("text").alias("chunk_content"), keywords(F.col("_s")).alias("keywords"),
         summary(F.col("_s")).alias("summary"), F.col("lang").alias("category"), cls.alias("pclrty_class"),
         role_ids(cls, F.col("lang")).alias("role_ids"), metadata_tags(cls, code, F.col("lang")).alias("metadata_tags"),
+        cls.alias("routing"),
     )
 
 
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("staged_id"), F.col("embedding").alias("content_vector"))
+
+
 def _index(spark, d, vectors: bool = False):
-    near = None
-    if vectors:
-        near = table(spark, d, "embeddings").select(F.col("vec_id").alias("staged_id"), F.col("embedding").alias("content_vector"))
-    return IX.build_index(_documents(spark, d), near)
+    """The index written to the shared folder and read back, the way searches use it."""
+    near = _vectors(spark, d) if vectors else None
+    path = work_path(spark, "index")
+    IX.write_index(IX.build_index(_documents(spark, d), near), path)
+    return IX.read_index(spark, path, vectors)
 
 
 def _queries(spark, d, vectors: bool = False):
@@ -79,7 +85,7 @@ nn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s
 )
 def index_terms(spark, d):
     """IDX-3, IDX-4: document frequencies of the text fields."""
-    index = _index(spark, d)
+    index = IX.build_index(_documents(spark, d))
     return index.terms.where(F.col("field") != IX.KEYWORD_FIELD)
 
 
@@ -87,11 +93,11 @@ def index_terms(spark, d):
     "index_fields",
     f"""WITH {_bm25()}, {sql_keywords('base', 'doc_id', 's')}
 SELECT CASE f WHEN 'c' THEN 'chunk_content' ELSE 'summary' END AS field, n AS docs, round(avgdl, 6) AS avg_length FROM av
-UNION ALL SELECT 'keywords', count(*), 1.0 FROM keywords""",
+UNION ALL SELECT 'keywords', count(*), round(avg(len(keywords)), 6) FROM keywords""",
 )
 def index_fields(spark, d):
     """IDX-4: documents per field and mean lengths."""
-    return _index(spark, d).fields.withColumn("avg_length", F.round("avg_length", 6))
+    return IX.build_index(_documents(spark, d)).fields.withColumn("avg_length", F.round("avg_length", 6))
 
 
 @query("bm25_search", f"WITH {_bm25()} SELECT query_id, staged_id, score, CAST(rank AS INTEGER) AS rank FROM kw")
@@ -103,7 +109,7 @@ def bm25_search(spark, d):
 @query("vector_topk", f"WITH {_knn()} SELECT query_id, staged_id, score, CAST(rank AS INTEGER) AS rank FROM nn")
 def vector_topk(spark, d):
     """RANK-2."""
-    return SE.vector_hits(_index(spark, d, True).vectors, _queries(spark, d, True))
+    return SE.vector_hits(_vectors(spark, d), _queries(spark, d, True))
 
 
 _RRF = """rrf AS (SELECT kw.query_id, kw.staged_id, 1.0::DOUBLE / (60 + kw.rank) + 1.0::DOUBLE / (60 + coalesce(nn.rank, 11)) AS score,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import row_hash
 from ..functions.mapping import security_class
 from ..functions.masking import mask_documents
+from ..functions.text import computed_once
 from ..operators import history as H
 from ..operators import silver as S
 from ..operators import spans as SP
@@ -123,7 +124,7 @@ def document_fields(spark, d):
     status = F.col("o_orderstatus")
     content = F.when(status == "P", F.lit("{broken")).when(status == "O", F.lit('{"data":{}}')).otherwise(full)
     docs = table(spark, d, "orders").select("o_orderkey", content.alias("content"))
-    return docs.select("o_orderkey", *[v.alias(k) for k, v in S.document_fields("content").items()])
+    return computed_once(docs, ["o_orderkey"], S.document_fields("content"))
 
 
 _TS = "strftime(ts, '%Y-%m-%d %H:%M:%S.%f')"

@@ -125,7 +125,7 @@ def test_document_fields(spark):
         ],
         "id int, c string",
     )
-    got = rows(df.select("id", *silver.document_fields("c").values()))
+    got = rows(df.select("id", silver.document_fields("c").alias("f")).select("id", "f.*"))
     assert got == [(1, "PUBLIC", None, "NX02"), (2, "INTERNAL", "A", "NX01"), (3, "INTERNAL", "", ""), (4, "INTERNAL", "", "")]
 
 
