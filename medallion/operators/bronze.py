@@ -78,18 +78,18 @@ def registry(
 ) -> DataFrame:
     """Hub x link x event x assembled satellite: one row per hub **and event** (JOIN-1, FLT-1).
 
-    A load event may own a large share of all links, so the events are joined many-to-one: broadcast
-    while small, salted beyond.  ``latest_event_only`` keeps each hub's newest event instead.
+    A load event may own a large share of all links, and so may a hub that is loaded over and over: both
+    are joined many-to-one, broadcast while small and salted beyond.  ``latest_event_only`` keeps each
+    hub's newest event instead.
     """
     assembled = satellite.where(F.col("assembly_status") == "assembled").select(HUB_KEY)
+    hubs = hub.select(HUB_KEY, "source_name", "source_primary_key").join(assembled, HUB_KEY)
     events = event.select("bronze_rdb_event_id", "s3_path", "batch_id", "event_dts")
     linked = many_to_one(link.select(HUB_KEY, "bronze_rdb_event_id"), events, ["bronze_rdb_event_id"])
     if latest_event_only:
         linked = last_per_key(linked, [HUB_KEY], ["event_dts", "bronze_rdb_event_id"])
-    return (
-        linked.join(hub.select(HUB_KEY, "source_name", "source_primary_key"), HUB_KEY)
-        .join(assembled, HUB_KEY)
-        .select(HUB_KEY, "source_name", "source_primary_key", "bronze_rdb_event_id", "s3_path", "batch_id")
+    return many_to_one(linked, hubs, [HUB_KEY]).select(
+        HUB_KEY, "source_name", "source_primary_key", "bronze_rdb_event_id", "s3_path", "batch_id"
     )
 
 

@@ -33,8 +33,11 @@ def detect_spans(
     return docs.select(doc_id, text).mapInPandas(run, f"`{doc_id}` {id_type}, {SPAN_SCHEMA}")
 
 
-def _has_tag(tag: str):
-    return lambda span: span["tag"] == tag
+def _hits(tag: str):
+    """Number of spans with the tag."""
+    return F.aggregate(
+        F.filter("_spans", lambda span: span["tag"] == tag), F.lit(0), lambda total, span: total + span["n"]
+    )
 
 
 def mask_spans(
@@ -50,26 +53,23 @@ def mask_spans(
 
     Offsets are 0-based code points, ``end`` exclusive.  Of overlapping spans the earlier, then the longer
     one is replaced; all of them count.  Both tags are always among the counts, also without a model
-    (``spans=None``).  The spans of one document are bounded by its text, so they are gathered per
-    document.
+    (``spans=None``).
     """
     if spans is None:
-        joined = docs.withColumn("_spans", F.lit(None).cast("array<struct<start:int,minus_end:int,tag:string>>"))
+        joined = docs.withColumn("_spans", F.lit(None).cast("array<struct<start:int,minus_end:int,tag:string,n:int>>"))
     else:
         wanted = spans.withColumn("tag", mapped("entity_type", tags, None)).where(
             F.col("tag").isNotNull() & (F.col("score") >= min_score)
         )
-        per_doc = wanted.groupBy(doc_id).agg(
-            F.sort_array(
-                F.collect_list(F.struct("start", (-F.col("end")).alias("minus_end"), "tag"))
-            ).alias("_spans")
-        )
+        # Equal spans become one row with their number inside the tasks first, so what is gathered per
+        # document is bounded by its text.
+        distinct = wanted.groupBy(doc_id, "start", "end", "tag").agg(F.count("*").cast("int").alias("n"))
+        span = F.struct("start", (-F.col("end")).alias("minus_end"), "tag", "n")
+        per_doc = distinct.groupBy(doc_id).agg(F.sort_array(F.collect_list(span)).alias("_spans"))
         joined = docs.join(per_doc, doc_id, "left")
-    empty = F.from_json(F.lit("[]"), "array<struct<start:int,minus_end:int,tag:string>>")
+    empty = F.from_json(F.lit("[]"), "array<struct<start:int,minus_end:int,tag:string,n:int>>")
     step = joined.withColumn("_spans", F.coalesce("_spans", empty))
-    found = F.create_map(
-        *[x for tag in dict.fromkeys(tags.values()) for x in (F.lit(tag), F.size(F.filter("_spans", _has_tag(tag))))]
-    )
+    found = F.create_map(*[x for tag in dict.fromkeys(tags.values()) for x in (F.lit(tag), _hits(tag))])
     # Greedy left-to-right choice of non-overlapping spans.
     kept = F.aggregate(
         "_spans",

@@ -92,7 +92,7 @@ def document_rollup(staged, enriched, chunked, masked, structured, hub) -> DataF
         .groupBy("masked_doc_id")
         .agg(F.min("pclrty_class").alias("pclrty_class"), F.min("es_field_info").alias("es_field_info"))
     )
-    return (
+    per_hub = (
         per_document.join(
             masked.select(
                 "masked_doc_id", "structured_doc_id", "is_masked", F.to_json("pii_pattern_types").alias("pii_pattern_types")
@@ -100,8 +100,7 @@ def document_rollup(staged, enriched, chunked, masked, structured, hub) -> DataF
             "masked_doc_id",
         )
         .join(structured.select("structured_doc_id", "document_hub_hash_key", "structured_content"), "structured_doc_id")
-        .join(hub.select("document_hub_hash_key", "source_primary_key"), "document_hub_hash_key")
-        .groupBy(F.col("document_hub_hash_key").alias("doc_id"), "source_primary_key")
+        .groupBy("document_hub_hash_key")
         .agg(
             F.min("pclrty_class").alias("pclrty_class"),
             F.min("es_field_info").alias("es_field_info"),
@@ -110,6 +109,12 @@ def document_rollup(staged, enriched, chunked, masked, structured, hub) -> DataF
             F.min("structured_content").alias("structured_content"),
         )
     )
+    # The hub joins last, one row to one row: a hub with very many versions is one row by then.
+    named = hub.select("document_hub_hash_key", "source_primary_key")
+    return per_hub.join(named, "document_hub_hash_key").select(
+        F.col("document_hub_hash_key").alias("doc_id"), "source_primary_key", "pclrty_class", "es_field_info",
+        "is_masked", "pii_pattern_types", "structured_content",
+    )
 
 
 def _first_text(*values: Column) -> Column:
