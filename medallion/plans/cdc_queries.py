@@ -9,7 +9,7 @@ from ..functions import keys as K
 from ..operators import cdc as C
 from ..operators import stats
 from ..operators import tables as T
-from ..session import work_path
+from ..session import state_partitions, work_path
 from ..sources import polling, records
 from ..streaming import changes as CH
 from ..streaming import sightings as SI
@@ -278,7 +278,9 @@ def stream_quarantine(spark, d):
 def stream_counts(spark, d):
     """CDC-9, AGG-8 as a stream."""
     out = work_path(spark, "counts")
-    CH.write_counts(_stream(spark, d), f"{out}/counts", f"{out}/state", profile=PROFILE).awaitTermination()
+    stream = _stream(spark, d)
+    with state_partitions(spark, table(spark, d, "events")):
+        CH.write_counts(stream, f"{out}/counts", f"{out}/state", profile=PROFILE).awaitTermination()
     return CH.latest_counts(spark, f"{out}/counts").select("change_operation", "events")
 
 
@@ -298,8 +300,7 @@ def stream_infer_op_ttl(spark, d):
         part.coalesce(1).write.mode("append").parquet(f"{out}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
     result = SI.infer_operations_stream(stream, "row_key", "ts", "event_id")
-    (
-        result.writeStream.format("parquet").option("path", f"{out}/out").option("checkpointLocation", f"{out}/state")
-        .trigger(availableNow=True).start().awaitTermination()
-    )
+    sink = result.writeStream.format("parquet").option("path", f"{out}/out")
+    with state_partitions(spark, rows):
+        sink.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/out").select("event_id", "row_key", "change_operation")

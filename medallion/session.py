@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,22 +46,25 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "med
     return spark
 
 
+_own_roots: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``.
 
     Only a local session without the setting gets a folder of its own: a machine-local folder on a
     cluster would be lost with its machine and invisible to the other executors.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="medallion-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        if context.applicationId not in _own_roots:
+            _own_roots[context.applicationId] = tempfile.mkdtemp(prefix="medallion-")
+        root = _own_roots[context.applicationId]
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
     return root
 
 
@@ -82,3 +87,19 @@ def spread_small(df: DataFrame, limit: int = 512 * 1024 * 1024) -> DataFrame:
     if estimated_bytes(df) > limit:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+@contextmanager
+def state_partitions(spark: SparkSession, first_input: DataFrame, bytes_each: int = 128 * 1024 * 1024) -> Iterator[None]:
+    """Shuffle partitions of a stateful stream sized to its data while it starts and runs.
+
+    A stream keeps the number it began with for the life of its checkpoint, and adaptive execution does
+    not change it.
+    """
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    wanted = max(spark.sparkContext.defaultParallelism, estimated_bytes(first_input) // bytes_each)
+    spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

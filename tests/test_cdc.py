@@ -157,6 +157,19 @@ def test_json_records_fail_fast(spark):
         records.parse_json_records(spark.createDataFrame([("{bad",)], "j string"), "j", "k:int").collect()
 
 
+def test_json_files(spark, tmp_path):
+    from medallion.schemas import T
+
+    schema = T.StructType([T.StructField("k", T.IntegerType())])
+    (tmp_path / "one.json").write_text('{"k": 1}')
+    (tmp_path / "list.json").write_text('[{"k": 2},\n {"k": 3}]')
+    (tmp_path / "empty.json").write_text("")
+    assert rows(records.read_json_records(spark, str(tmp_path), schema)) == [(1,), (2,), (3,)]
+    (tmp_path / "bad.json").write_text("{bad")
+    with pytest.raises(Exception):
+        records.read_json_records(spark, str(tmp_path), schema).collect()
+
+
 def test_hash_records(spark):
     from medallion.functions.keys import hub_hash
 
