@@ -9,7 +9,7 @@ from ..functions import keys as K
 from ..operators import cdc as C
 from ..operators import stats
 from ..operators import tables as T
-from ..session import state_partitions, work_path
+from ..session import spread_small, state_partitions, work_path
 from ..sources import polling, records
 from ..streaming import changes as CH
 from ..streaming import sightings as SI
@@ -49,7 +49,7 @@ def entries(spark, d):
         ).alias("payload")
     )
     value = F.when(kind == 0, F.lit("")).when(kind == 1, F.lit("{not json")).otherwise(F.to_json(envelope))
-    return table(spark, d, "events").select(
+    return spread_small(table(spark, d, "events")).select(
         F.concat(F.when(kind == 3, F.lit("other.")).otherwise(F.lit("src.app.")), event).alias("stream_key"),
         F.concat(F.col("event_id").cast("string"), F.lit("-0")).alias("msg_id"),
         value.alias("value"),

@@ -68,7 +68,7 @@ SELECT 'C' || c_custkey || '||7', 'C' || c_custkey, 1, 'A', 'INTERNAL', 'NX01',
 def structure_document(spark, d):
     """PRJ-2, PRJ-3, JSN-1, JSN-2, JOIN-2: bad JSON, NULL JSON and keys without a row included."""
     registry, batch = _order_registry(spark, d)
-    doc = S.structure(S.probe_batches(registry, batch, "_seq"))
+    doc = S.structure(S.probe_batches(spread_small(registry), batch, "_seq"))
     prob = "structured.data.prob"
     part = F.col("structured.data.part")
     return doc.select(
