@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sequences
+from . import decontaminate, sequences
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,3 +30,30 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of whole texts written to Arrow stream files and read back, per document."""
     return sequences.read_documents(sequences.write_sequences(table(spark, sf_dir, "documents")))
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10ffff}]+')"
+
+OP2_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+i0 AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark),
+i1 AS (SELECT item, ws, least(10, len(ws)) AS size FROM i0 WHERE len(ws) > 0),
+i2 AS (SELECT DISTINCT item, size, array_to_string(ws[p:p + size - 1], ' ') AS gram
+  FROM (SELECT item, ws, size, unnest(range(1, len(ws) - size + 2)) AS p FROM i1)),
+sizes AS (SELECT DISTINCT size FROM i2),
+g AS (SELECT doc_id, size, p, array_to_string(ws[p:p + size - 1], ' ') AS gram
+  FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS p FROM d, sizes WHERE len(ws) >= size)),
+h AS (SELECT doc_id, item, p, g.size FROM g JOIN i2 ON g.gram = i2.gram AND g.size = i2.size),
+hits AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS w FROM h) GROUP BY 1),
+own AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits ON d.doc_id = hits.doc_id LEFT JOIN own ON d.doc_id = own.doc_id"""
+
+
+@query("op2_decontaminate", OP2_SQL)
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of test items inside each document."""
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.select(
+        F.col("c0").alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
