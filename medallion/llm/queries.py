@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, sequences
-from .common import table
+from . import decontaminate, packing, quality, sequences, sharding
+from .common import table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,3 +91,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces, placed in sequences of at most 4096 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op6_uniform_shards")
+def op6_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents shuffled into 16 shards whose row counts are at most one apart."""
+    docs = table(spark, sf_dir, "documents")
+    text = text_of(docs).cast("binary")
+    digest = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return sharding.shuffle(digest).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
