@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, sequences, sharding
+from . import decontaminate, html_text, packing, quality, sequences, sharding
 from .common import table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,10 @@ def op6_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     return sharding.shuffle(digest).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op9_main_text")
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
+    texts = html_text.main_texts(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return texts.select(F.col("c0").alias("page_id"), F.col("c1").alias("url"), "text", F.char_length("text").cast("long").alias("n_chars"))
