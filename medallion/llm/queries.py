@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, packing, quality, sequences, sharding
+from . import decontaminate, html_text, licenses, packing, quality, sequences, sharding
 from .common import table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,13 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article of every page."""
     texts = html_text.main_texts(table(spark, sf_dir, "pages"), ["page_id", "url"])
     return texts.select(F.col("c0").alias("page_id"), F.col("c1").alias("url"), "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op10_licenses")
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences of each document in order, and the licences their sequence names."""
+    found = licenses.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select(
+        F.col("c0").alias("doc_id"), F.size("sentence_ids").cast("long").alias("n_sentences"),
+        F.concat_ws(",", "sentence_ids").alias("sentence_ids"), F.size("licenses").cast("long").alias("n_licenses"),
+        F.concat_ws(",", "licenses").alias("licenses"))
