@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licenses, packing, quality, sequences, sharding
+from . import decontaminate, html_text, licenses, packing, pii, quality, sequences, sharding
 from .common import table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +118,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c0").alias("doc_id"), F.size("sentence_ids").cast("long").alias("n_sentences"),
         F.concat_ws(",", "sentence_ids").alias("sentence_ids"), F.size("licenses").cast("long").alias("n_licenses"),
         F.concat_ws(",", "licenses").alias("licenses"))
+
+
+@query("op8_personal_data")
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in each document, the base kinds' counts and digest."""
+    found = pii.find(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select(
+        F.col("c0").alias("doc_id"), *(pii.count_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2("base", 256).alias("base_sha256"), "spans")
