@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licenses, packing, pii, quality, sequences, sharding
+from . import decontaminate, html_text, licenses, near_dup, packing, pii, quality, sequences, sharding
 from .common import table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,3 +127,10 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("c0").alias("doc_id"), *(pii.count_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS),
         F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query("op7_near_duplicates")
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near-duplicates, named by its least doc_id."""
+    found = near_dup.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "class_id", F.col("key").eqNullSafe(F.col("class_id")).alias("kept"))
