@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licenses, near_dup, packing, pii, quality, sequences, sharding
+from . import decontaminate, html_text, licenses, near_dup, ngram_lm, packing, pii, quality, sequences, sharding
 from .common import table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,3 +134,31 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near-duplicates, named by its least doc_id."""
     found = near_dup.classes(table(spark, sf_dir, "documents"))
     return found.select(F.col("key").alias("doc_id"), "class_id", F.col("key").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+OP4_SQL = f"""WITH d AS (SELECT doc_id, len({_WORDS}) AS n_words, {_WORDS} AS ws FROM documents),
+total AS (SELECT CAST(sum(n_words) AS BIGINT) AS n FROM d),
+p AS (SELECT doc_id, n_words, i, ws[i] AS g1, CASE WHEN i > 1 THEN ws[i - 1] || ' ' || ws[i] END AS g2,
+    CASE WHEN i > 2 THEN ws[i - 2] || ' ' || ws[i - 1] || ' ' || ws[i] END AS g3,
+    CASE WHEN i > 1 THEN ws[i - 1] END AS c1, CASE WHEN i > 2 THEN ws[i - 2] || ' ' || ws[i - 1] END AS c2
+  FROM (SELECT doc_id, n_words, ws, unnest(range(1, n_words + 1)) AS i FROM d)),
+grams AS (SELECT doc_id, g, count(*) AS own FROM (SELECT doc_id, g1 AS g FROM p UNION ALL SELECT doc_id, g2 FROM p UNION ALL SELECT doc_id, g3 FROM p)
+  WHERE g IS NOT NULL GROUP BY ALL),
+held AS (SELECT doc_id, g, CAST(sum(own) OVER (PARTITION BY g) AS BIGINT) - own AS n FROM grams),
+q AS (SELECT p.*, (SELECT n FROM total) - n_words AS rest, h1.n AS n1, h2.n AS n2, h3.n AS n3, k1.n AS m1, k2.n AS m2 FROM p
+  LEFT JOIN held h1 ON h1.doc_id = p.doc_id AND h1.g = g1 LEFT JOIN held h2 ON h2.doc_id = p.doc_id AND h2.g = g2
+  LEFT JOIN held h3 ON h3.doc_id = p.doc_id AND h3.g = g3 LEFT JOIN held k1 ON k1.doc_id = p.doc_id AND k1.g = c1
+  LEFT JOIN held k2 ON k2.doc_id = p.doc_id AND k2.g = c2),
+s AS (SELECT doc_id, least(i, 3) AS possible, CASE WHEN n3 > 0 THEN 3 WHEN n2 > 0 THEN 2 ELSE 1 END AS level,
+    CASE WHEN n3 > 0 THEN CAST(n3 AS DOUBLE) / m2 WHEN n2 > 0 THEN CAST(n2 AS DOUBLE) / m1
+      WHEN n1 > 0 THEN CAST(n1 AS DOUBLE) / rest ELSE 1.0 / (rest + 1) END AS ratio FROM q),
+t AS (SELECT doc_id, CAST(sum(CAST(round((ln(ratio) + (possible - level) * ln(CAST(0.4 AS DOUBLE))) * 1000000) AS BIGINT)) AS BIGINT) AS score_micro,
+    count_if(level = possible) AS n_full FROM s GROUP BY 1)
+SELECT d.doc_id, CAST(n_words AS BIGINT) AS n_words, coalesce(score_micro, 0) AS score_micro, CAST(coalesce(n_full, 0) AS BIGINT) AS n_full
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id"""
+
+
+@query("op4_lm_scores", OP4_SQL)
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document by the trigram counts of all others."""
+    return ngram_lm.score(table(spark, sf_dir, "documents"))
