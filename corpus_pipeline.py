@@ -1,4 +1,8 @@
-"""A training-data pipeline over ``documents``: quality rules, near-duplicates, benchmark passages, personal data, packing."""
+"""A training-data pipeline over ``documents``: quality rules, near-duplicates, benchmark passages, personal data, packing.
+
+Each stage gets all rows its predecessor kept.  The first three drop rows, the fourth rewrites texts, the last
+turns what is left into packed token sequences.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +10,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from medallion.llm import decontaminate, near_dup, packing, pii, quality
 from medallion.llm.common import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return quality.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return near_dup.deduplicate(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), "documents")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind; ``n_chars`` follows the text."""
+    return pii.redact(docs, length="n_chars")
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents, placed in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_passages", benchmark_passages),
+    ("personal_data", personal_data),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: Signatures, tokenizers and learned patterns have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None

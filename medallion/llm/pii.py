@@ -205,23 +205,24 @@ def redact(df: DataFrame, text: str = "text", length: str | None = None, rounds:
     """
     key = fresh(df.columns, "row")
     rows = written(df.withColumn(key, F.monotonically_increasing_id()), "to-redact")
-    spans = find(rows, [key], text, rounds).where("spans != ''").select(F.col("c0").alias(f"{key}_of"), F.col("spans").alias(f"{key}_spans"))
+    of, found, redacted = (fresh(rows.columns, c) for c in ("row_of", "spans", "redacted"))
+    spans = find(rows, [key], text, rounds).where("spans != ''").select(F.col("c0").alias(of), F.col("spans").alias(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [_replace(t, s) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row_of", "redacted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[of, redacted])
 
-    hit = rows.join(spans, F.col(key) == F.col(f"{key}_of"))
-    new = hit.select(key, text, f"{key}_spans").mapInArrow(run, "row_of long, redacted string")
-    out = rows.join(new, F.col(key) == F.col("row_of"), "left")
-    value = F.coalesce("redacted", F.col(f"`{text}`"))
+    hit = rows.join(spans, F.col(key) == F.col(of))
+    new = hit.select(key, text, found).mapInArrow(run, f"`{of}` long, `{redacted}` string")
+    out = rows.join(new, F.col(key) == F.col(of), "left")
+    value = F.coalesce(redacted, rows[text])
     columns = []
     for c in df.columns:
         if c == text:
             columns.append(value.alias(c))
         elif c == length:
-            columns.append(F.when(F.col("redacted").isNull(), F.col(f"`{c}`")).otherwise(F.char_length("redacted").cast(df.schema[c].dataType)).alias(c))
+            columns.append(F.when(F.col(redacted).isNull(), rows[c]).otherwise(F.char_length(redacted).cast(df.schema[c].dataType)).alias(c))
         else:
             columns.append(rows[c])
     return out.select(*columns)
