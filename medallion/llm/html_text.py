@@ -22,9 +22,9 @@ from .common import groups, text_of
 from .labelled_pages import labelled_pages
 
 #: Labelled pages the model is fitted on.
-TRAINING_PAGES = 600
+TRAINING_PAGES = 2000
 #: Added to each count of a feature.
-SMOOTHING = 0.01
+SMOOTHING = 0.05
 #: Children of one parent resemble each other: their messages weigh as much as so many at most.
 SIBLINGS = 3.0
 
@@ -164,7 +164,8 @@ def parse(source: str) -> tuple[list[_Node], list[tuple[int, str]]]:
 
 
 def features(nodes: list[_Node], blocks: list[tuple[int, str]]) -> list[tuple[str, ...]]:
-    """What each node looks like: tag, names, amount of text, share of links, punctuation."""
+    """What each node looks like: tag, share of links and names together (a list of links is no list of sentences),
+    the names alone for shapes never seen, amount of text, punctuation."""
     below, links, stops = [0] * len(nodes), [0] * len(nodes), [0] * len(nodes)
     for node, text in blocks:
         stops[node] += sum(map(text.count, ".!?,"))
@@ -177,10 +178,11 @@ def features(nodes: list[_Node], blocks: list[tuple[int, str]]) -> list[tuple[st
             links[node.parent] += links[i]
     out = []
     for i, node in enumerate(nodes):
-        size = below[i].bit_length() // 2
+        # What only wraps another element has that one's text: it's evidence there, not once more here.
+        size = "child's" if node.children == 1 and not node.own else below[i].bit_length() // 2
         share = "none" if not links[i] else "few" if 3 * links[i] < below[i] else "some" if 4 * links[i] < 3 * below[i] else "all"
         prose = "empty" if not node.own else "prose" if stops[i] else "words"
-        out.append((f"tag={node.kind}", f"names={node.names}", f"size={size}", f"links={share}", f"own={prose}"))
+        out.append((f"shape={node.kind}/{share}/{node.names}", f"names={node.names}", f"size={size}", f"own={prose}"))
     return out
 
 
@@ -244,11 +246,15 @@ class ContentModel:
             rows.append((math.log(n[0] / sum(n)), math.log(n[1] / sum(n))))
         return rows[0], rows[1]
 
+    def known(self, seen: tuple[str, ...]) -> tuple[str, ...]:
+        """The features that count: the names stand in for a shape that no labelled page has."""
+        return (seen[0] if seen[0] in self.own else seen[1], *seen[2:])
+
     def marginals(self, nodes: list[_Node], own: list[tuple[str, ...]]) -> list[float]:
         """Probability of each node to hold content."""
         up0, up1 = [0.0] * len(nodes), [0.0] * len(nodes)
         for i, seen in enumerate(own):
-            for f in seen:
+            for f in self.known(seen):
                 a, b = self.own.get(f, (0.0, 0.0))
                 up0[i] += a
                 up1[i] += b

@@ -114,6 +114,8 @@ class _Page:
         ))()
         before = "".join(self.boilerplate(k) for k in ("head", "menu", "notice", "advert", "form", "side") if r.random() < 0.35)
         after = "".join(self.boilerplate(k) for k in ("share", "comments", "side", "advert", "foot", "notice", "menu") if r.random() < 0.3)
+        for _ in range(r.choice((0, 0, 0, 1, 2, 4, 8))):  # wrappers
+            main = f"<div{self.name('plain')}>{main}</div>"
         if r.random() < 0.4:
             main = f"<div{self.name('plain')}>{before}{main}{after}</div>"
             before = after = ""
