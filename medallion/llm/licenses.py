@@ -89,7 +89,7 @@ _ANCHOR = re.compile(r"licen[sc]e|gpl|\bcc[ -]?(?:by|0)\b|creative commons|redis
 _HINTS = ("licen", "gpl", "cc by", "cc-by", "ccby", "cc0", "cc 0", "cc-0", "creative", "redistribut", "permission", "warrant", "rights", "domain", "shall")
 # A wrapped sentence begins with one of these where the line before has no full stop.
 _BEGIN = re.compile(r"(?:\d )?(?:permission|redistribution|redistributions|neither|the above|the software|this|unless|you|see|in no event|licensed|released) ")
-_STOP = re.compile(r"[.!?;:]+(?=\s|$)")
+_STOP = re.compile(r"[.!?]+(?=\s|$)")
 _OTHER = re.compile(r"[^a-z0-9]+")
 #: Words of the longest known sentence at most; a longer one matches none.
 _LONGEST = 120
