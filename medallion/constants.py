@@ -23,15 +23,13 @@ DEFAULT_IMPORTANCE = "A"
 DEFAULT_MODEL = "NX01"
 
 # --- fixed values: personal-data patterns, in order of application --------------------------------
-# (type, pattern, replacement)
+# (type, pattern, replacement, literal every match contains: texts without it skip the regex)
 PII_PATTERNS = (
-    ("KR_PHONE", r"\b(01[016789])[-.\s]?\d{3,4}[-.\s]?\d{4}\b", "010****1234"),
-    ("KR_RRN", r"\b\d{6}[-]\d{7}\b", "[주민번호 마스킹]"),
-    ("KR_EMAIL", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", "[이메일 마스킹]"),
-    ("KR_BANK_ACCOUNT", r"\b\d{3,4}[-]\d{5,7}[-]\d{2}\b", "[계좌번호 마스킹]"),
+    ("KR_PHONE", r"\b(01[016789])[-.\s]?\d{3,4}[-.\s]?\d{4}\b", "010****1234", "01"),
+    ("KR_RRN", r"\b\d{6}[-]\d{7}\b", "[주민번호 마스킹]", "-"),
+    ("KR_EMAIL", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", "[이메일 마스킹]", "@"),
+    ("KR_BANK_ACCOUNT", r"\b\d{3,4}[-]\d{5,7}[-]\d{2}\b", "[계좌번호 마스킹]", "-"),
 )
-# A literal every match of the pattern must contain; texts without it skip the regex.
-PII_REQUIRED_LITERAL = {"KR_PHONE": "01", "KR_RRN": "-", "KR_EMAIL": "@", "KR_BANK_ACCOUNT": "-"}
 MASKED_THRESHOLD = 4
 
 # --- fixed values: entity tags of the second masking layer ----------------------------------------

@@ -37,10 +37,10 @@ def equal_parts(text: Column, n: int = CHUNKS_PER_DOCUMENT) -> Column:
     return let(F.greatest(F.lit(1), F.floor(F.length(text) / F.lit(n)).cast("int")), cut)
 
 
-def chunk_array(stripped: Column, starts: Column, n: int = CHUNKS_PER_DOCUMENT, keep_all: bool = False) -> Column:
-    """Chunk texts of a stripped text: its first ``n`` sections if it has that many, else equal parts.
+def chunk_array(stripped: Column, starts: Column, n: int = CHUNKS_PER_DOCUMENT, keep_all: bool = True) -> Column:
+    """Chunk texts of a stripped text: its sections if it has ``n`` or more, else ``n`` equal parts.
 
-    ``keep_all`` keeps the sections after the ``n``-th instead of leaving them out.
+    ``keep_all=False`` leaves out the sections after the ``n``-th.
     """
     cut = sections(stripped, starts)
     by_section = cut if keep_all else F.slice(cut, 1, n)
@@ -55,7 +55,7 @@ def chunk_array(stripped: Column, starts: Column, n: int = CHUNKS_PER_DOCUMENT,
 
 
 def chunk_documents(
-    df: DataFrame, doc_id: str, text: str, n: int = CHUNKS_PER_DOCUMENT, keep_all: bool = False
+    df: DataFrame, doc_id: str, text: str, n: int = CHUNKS_PER_DOCUMENT, keep_all: bool = True
 ) -> DataFrame:
     """One row per chunk: id, parent id, 0-based sequence, text and metadata.  A narrow operation."""
     staged = df.withColumn("_text", strip(F.coalesce(F.col(text), F.lit(""))))

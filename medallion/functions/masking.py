@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import MASKED_THRESHOLD, PII_PATTERNS, PII_REQUIRED_LITERAL
+from ..constants import MASKED_THRESHOLD, PII_PATTERNS
 from .text import computed_once, let
 
 
@@ -35,11 +35,14 @@ def _step(pattern: str, replacement: str, literal: str | None):
     return apply
 
 
-def masking(text: Column, patterns=PII_PATTERNS, required=PII_REQUIRED_LITERAL) -> Column:
-    """Struct of the masked ``text`` and the counts ``found`` in the order of the patterns."""
+def masking(text: Column, patterns=PII_PATTERNS) -> Column:
+    """Struct of the masked ``text`` and the counts ``found`` in the order of the patterns.
+
+    A pattern is ``(type, regex, replacement)``, with a fourth item if every match contains that literal.
+    """
     state = F.struct(text.alias("text"), F.array().cast("array<int>").alias("found"))
-    for kind, pattern, replacement in patterns:
-        state = let(state, _step(pattern, replacement, required.get(kind)))
+    for _, pattern, replacement, *literal in patterns:
+        state = let(state, _step(pattern, replacement, literal[0] if literal else None))
     return state
 
 
@@ -49,18 +52,17 @@ def mask_text(
     masked: str = "masked_content",
     counts: str = "pii_pattern_types",
     patterns=PII_PATTERNS,
-    required=PII_REQUIRED_LITERAL,
 ) -> DataFrame:
     """Add the masked text and a ``{type: count}`` map that holds only the types that were found."""
     keep = [c for c in df.columns if c not in (masked, counts)]
-    kinds = F.array(*[F.lit(kind) for kind, _, _ in patterns])
+    kinds = F.array(*[F.lit(p[0]) for p in patterns])
 
     def result(state: Column) -> Column:
         pairs = F.zip_with(kinds, state["found"], lambda k, n: F.struct(k.alias("key"), n.alias("value")))
         types = F.map_from_entries(F.filter(pairs, lambda e: e["value"] > 0))
         return F.struct(state["text"].alias(masked), types.alias(counts))
 
-    return computed_once(df, keep, let(masking(F.col(text), patterns, required), result))
+    return computed_once(df, keep, let(masking(F.col(text), patterns), result))
 
 
 def detection_count(counts: Column | str) -> Column:

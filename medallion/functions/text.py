@@ -74,8 +74,12 @@ def mapped(code: Column | str, mapping: Mapping[str, str], default: Column | str
 
 
 def duration_ms(start: Column | str, end: Column | str) -> Column:
-    """Milliseconds between two timestamps or ISO strings (``Z`` accepted); NULL if either is missing."""
-    return F.unix_millis(_c(end).cast("timestamp")) - F.unix_millis(_c(start).cast("timestamp"))
+    """Whole milliseconds between two timestamps or ISO strings (``Z`` accepted); NULL if either is missing.
+
+    The difference is rounded down, not each end.
+    """
+    micros = F.unix_micros(_c(end).cast("timestamp")) - F.unix_micros(_c(start).cast("timestamp"))
+    return F.floor(micros / F.lit(1000)).cast("long")
 
 
 def duration_seconds(millis: Column | str) -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_PROFILE, SourceProfile
 from ..functions import keys as K
-from .skew import many_to_one
 from .tables import insert_ignore, last_per_key
 
 HUB_KEY = "document_hub_hash_key"
@@ -79,16 +78,16 @@ def registry(
     """Hub x link x event x assembled satellite: one row per hub **and event** (JOIN-1, FLT-1).
 
     A load event may own a large share of all links, and so may a hub that is loaded over and over: both
-    are joined many-to-one, broadcast while small and salted beyond.  ``latest_event_only`` keeps each
-    hub's newest event instead.
+    are the one side of their join, so adaptive execution splits what is hot on the other.
+    ``latest_event_only`` keeps each hub's newest event instead.
     """
     assembled = satellite.where(F.col("assembly_status") == "assembled").select(HUB_KEY)
     hubs = hub.select(HUB_KEY, "source_name", "source_primary_key").join(assembled, HUB_KEY)
     events = event.select("bronze_rdb_event_id", "s3_path", "batch_id", "event_dts")
-    linked = many_to_one(link.select(HUB_KEY, "bronze_rdb_event_id"), events, ["bronze_rdb_event_id"])
+    linked = link.select(HUB_KEY, "bronze_rdb_event_id").join(events, "bronze_rdb_event_id")
     if latest_event_only:
         linked = last_per_key(linked, [HUB_KEY], ["event_dts", "bronze_rdb_event_id"])
-    return many_to_one(linked, hubs, [HUB_KEY]).select(
+    return linked.join(hubs, HUB_KEY).select(
         HUB_KEY, "source_name", "source_primary_key", "bronze_rdb_event_id", "s3_path", "batch_id"
     )
 

@@ -11,7 +11,6 @@ from ..constants import DEFAULT_PROFILE, FIRST_SIGHT_TTL_DAYS, LOG_OPERATIONS, S
 from ..functions import keys as K
 from ..functions.text import computed_once, let, mapped, strip_prefix
 from ..session import checkpoint_root
-from .skew import SAMPLE_FRACTION, SMALL_INPUT_BYTES, SPLIT_ROWS, _small, hot_keys
 
 _ENVELOPE = (
     "struct<payload:struct<before:string,after:string,op:string,ts_ms:bigint,source:struct<table:string>>,"
@@ -99,6 +98,10 @@ def mark_processed(log: DataFrame, processed_ids: DataFrame) -> DataFrame:
     ).drop("_hit")
 
 
+#: Sightings of one key that are folded in one array at most; keys with more go round by round.
+KEY_ROWS = 100_000
+
+
 def infer_operations(
     rows: DataFrame,
     key: str,
@@ -107,9 +110,7 @@ def infer_operations(
     ttl_days: float | None = None,
     stateful: bool = True,
     out: str = "change_operation",
-    split_rows: int = SPLIT_ROWS,
-    fraction: float = SAMPLE_FRACTION,
-    small_bytes: int = SMALL_INPUT_BYTES,
+    key_rows: int = KEY_ROWS,
 ) -> DataFrame:
     """``insert`` for the first sighting of a key, ``update`` for later ones (WIN-6, CDC-6, CDC-7).
 
@@ -127,7 +128,7 @@ def infer_operations(
         inserts = rows.groupBy(key).agg(F.min(sight).alias("_s")).select(key, F.col("_s.id").alias(row_id))
     else:
         ttl = int(ttl_days * 86_400_000_000)
-        inserts = _anchors(rows.select(key, sight.alias("_s")), key, ttl, split_rows, fraction, small_bytes)
+        inserts = _anchors(rows.select(key, sight.alias("_s")), key, ttl, key_rows)
         inserts = inserts.select(key, F.col("_s.id").alias(row_id))
     flagged = rows.join(inserts.withColumn("_first", F.lit(True)), [key, row_id], "left")
     return flagged.select(
@@ -135,12 +136,11 @@ def infer_operations(
     )
 
 
-def _anchors(sights: DataFrame, key: str, ttl: int, split_rows: int, fraction: float, small_bytes: int) -> DataFrame:
+def _anchors(sights: DataFrame, key: str, ttl: int, key_rows: int) -> DataFrame:
     """The sightings that begin a memory, for every key."""
-    if _small(sights, small_bytes):
-        return _anchors_folded(sights, key, ttl)
     checkpoint_root(sights.sparkSession)
-    hot = hot_keys(sights, [key], split_rows, fraction).select(key).checkpoint()
+    # Counted, not estimated: at most rows / key_rows keys.
+    hot = sights.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > key_rows).select(key).checkpoint()
     if hot.isEmpty():
         return _anchors_folded(sights, key, ttl)
     cold = _anchors_folded(sights.join(F.broadcast(hot), key, "left_anti"), key, ttl)
@@ -167,7 +167,7 @@ def _anchors_by_rounds(sights: DataFrame, key: str, ttl: int) -> DataFrame:
     """Next sighting after the lifetime, for all hot keys at once per round.
 
     Each round is one minimum per key, combined inside the tasks; there are at most span/lifetime + 1
-    rounds and at most rows/split_rows keys.
+    rounds and at most rows/key_rows keys.
     """
     sights = sights.checkpoint()
     found = current = sights.groupBy(key).agg(F.min("_s").alias("_s")).checkpoint()

@@ -10,19 +10,19 @@ from pyspark.sql import functions as F
 from .skew import neighbour
 
 
-def versions(df: DataFrame, key: str, valid_from: str, seq: str, **hot) -> DataFrame:
+def versions(df: DataFrame, key: str, valid_from: str, seq: str) -> DataFrame:
     """Close every version with the start of the next one of the same key.
 
     Every row is a version, also with an unchanged hash.  Rows with equal ``valid_from`` follow each
     other by ``seq`` and give zero-length intervals.
     """
-    closed = neighbour(df, [key], [valid_from, seq], valid_from, "valid_to", step=1, **hot)
+    closed = neighbour(df, [key], [valid_from, seq], valid_from, "valid_to", step=1)
     return closed.withColumn("is_latest", F.col("valid_to").isNull())
 
 
-def drop_unchanged(df: DataFrame, key: str, content_hash: str, order: Sequence[str], **hot) -> DataFrame:
+def drop_unchanged(df: DataFrame, key: str, content_hash: str, order: Sequence[str]) -> DataFrame:
     """Leave out rows whose hash equals the previous row's of the same key (SCD-2)."""
-    before = neighbour(df, [key], list(order), content_hash, "_before", step=-1, **hot)
+    before = neighbour(df, [key], list(order), content_hash, "_before", step=-1)
     return before.where(~F.col(content_hash).eqNullSafe(F.col("_before"))).drop("_before")
 
 
@@ -34,7 +34,6 @@ def scd2_apply(
     seq: str = "seq",
     content_hash: str = "content_hash",
     changed_only: bool = False,
-    **hot,
 ) -> DataFrame:
     """The version table after one batch.
 
@@ -48,8 +47,8 @@ def scd2_apply(
     base = open_rows.join(touched, key, "left_semi").select(*incoming.columns)
     batch = base.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
     if changed_only:
-        batch = drop_unchanged(batch, key, content_hash, [valid_from, "_new", seq], **hot)
-    closed = neighbour(batch, [key], [valid_from, "_new", seq], valid_from, "valid_to", step=1, **hot)
+        batch = drop_unchanged(batch, key, content_hash, [valid_from, "_new", seq])
+    closed = neighbour(batch, [key], [valid_from, "_new", seq], valid_from, "valid_to", step=1)
     closed = closed.withColumn("is_latest", F.col("valid_to").isNull())
     return (
         current.where(~F.col("is_latest")).select(*columns)

@@ -13,7 +13,8 @@ from ..session import spread_small
 
 TEXT_FIELDS = ("chunk_content", "summary")
 KEYWORD_FIELD = "keywords"
-POSTING_SALTS = 16
+# Folders of postings by hash of the term; a search reads those of its terms.
+TERM_BUCKETS = 64
 
 
 def search_documents(rows: DataFrame) -> DataFrame:
@@ -82,10 +83,15 @@ def field_statistics(post: DataFrame) -> DataFrame:
     Both come from the postings in one aggregate of a few rows: one posting per document and field is
     marked as its first, and the term frequencies add up to the length.
     """
-    return post.groupBy("field").agg(
-        F.sum("first_of_document").alias("docs"),
-        (F.sum("tf") / F.sum("first_of_document")).alias("avg_length"),
-    )
+    return _mean_lengths(post.groupBy("field").agg(F.sum("first_of_document").alias("docs"), F.sum("tf").alias("total")))
+
+
+def _mean_lengths(sums: DataFrame) -> DataFrame:
+    return sums.where("docs > 0").select("field", "docs", "total", (F.col("total") / F.col("docs")).alias("avg_length"))
+
+
+def term_bucket(term: Column | str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
 
 
 @dataclass
@@ -107,37 +113,87 @@ def build_index(documents: DataFrame, vectors: DataFrame | None = None) -> Searc
 def write_index(index: SearchIndex, path: str) -> None:
     """Write the index tables; an index that exists is left alone (SNK-9).
 
-    Documents lie in one folder per routing class; ``rebalance`` splits a class that holds most rows.
-    Postings are spread by term and a salt of the document, so a common term lies in several files, and
-    sorted by term, so a query reads only the row groups of its terms.
+    Documents lie in one folder per routing class, postings in one per term bucket, sorted by term;
+    ``rebalance`` splits a folder's rows by size, so a class or a term of most rows lies in several files.
     """
-    spark = index.documents.sparkSession
-    if index_exists(spark, path):
-        return
-    index.documents.hint("rebalance", "routing").write.partitionBy("routing").parquet(f"{path}/documents")
-    documents = spread_small(spark.read.parquet(f"{path}/documents"))
-    salt = F.pmod(F.xxhash64("staged_id"), F.lit(POSTING_SALTS))
-    post = postings(documents).repartition("field", "term", salt).sortWithinPartitions("field", "term")
-    post.write.parquet(f"{path}/postings")
-    written = spark.read.parquet(f"{path}/postings")
-    term_statistics(written).sortWithinPartitions("field", "term").write.parquet(f"{path}/terms")
-    if index.vectors is not None:
-        index.vectors.write.parquet(f"{path}/vectors")
-    # Written last: its presence says the index is whole.
-    field_statistics(written).coalesce(1).write.parquet(f"{path}/fields")
+    if not index_exists(index.documents.sparkSession, path):
+        _write(index.documents, index.vectors, None, path)
 
 
-def index_exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/fields/_SUCCESS")
+def upsert_index(spark: SparkSession, path: str, documents: DataFrame, vectors: DataFrame | None = None) -> None:
+    """Replace or add documents, one row per ``staged_id``, with all that the index holds of them (SNK-6).
+
+    What is new is written beside the index as a part of its own: the documents, their postings, the ids they
+    replace, and the change of the statistics.  For that only the replaced documents are read again; nothing
+    written before is touched.  Searches see the part once it is whole.
+    """
+    current = read_index(spark, path).documents
+    replaced = current.join(documents.select("staged_id"), "staged_id", "left_semi")
+    _write(documents, vectors, replaced, f"{path}/{_PART}{len(_parts(spark, path)):06d}")
+
+
+_PART = "upsert-"
+
+
+def _write(documents: DataFrame, vectors: DataFrame | None, replaced: DataFrame | None, path: str) -> None:
+    spark = documents.sparkSession
+    documents.hint("rebalance", "routing").write.partitionBy("routing").parquet(f"{path}/documents")
+    post = postings(spread_small(spark.read.schema(documents.schema).parquet(f"{path}/documents"))).withColumn("bucket", term_bucket("term"))
+    post = post.hint("rebalance", "bucket").sortWithinPartitions("bucket", "field", "term")
+    post.write.partitionBy("bucket").parquet(f"{path}/postings")
+    written = spark.read.schema(post.schema).parquet(f"{path}/postings")
+    terms, fields = term_statistics(written), field_statistics(written).drop("avg_length")
+    if replaced is not None:
+        gone = postings(replaced)
+        less = field_statistics(gone).select("field", (-F.col("docs")).alias("docs"), (-F.col("total")).alias("total"))
+        terms = terms.unionByName(term_statistics(gone).withColumn("df", -F.col("df"))).groupBy("field", "term").agg(F.sum("df").alias("df"))
+        fields = fields.unionByName(less).groupBy("field").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total"))
+        documents.select("staged_id").write.parquet(f"{path}/replaced")
+    terms.sortWithinPartitions("field", "term").write.parquet(f"{path}/terms")
+    if vectors is not None:
+        vectors.write.parquet(f"{path}/vectors")
+    # A row per field, written last: its presence says the index, or the part, is whole.
+    fields.coalesce(1).write.parquet(f"{path}/fields")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def index_exists(spark: SparkSession, path: str) -> bool:
+    return _exists(spark, f"{path}/fields/_SUCCESS")
+
+
+def _parts(spark: SparkSession, path: str) -> list[str]:
+    """The first build and the whole upserts after it, in order; a broken upsert's number is used no more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    names = [str(s.getPath().getName()) for s in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)]
+    return [path, *(f"{path}/{n}" for n in sorted(names) if n.startswith(_PART))]
+
+
 def read_index(spark: SparkSession, path: str, vectors: bool = False) -> SearchIndex | None:
-    """The index at the path, None when there is none."""
+    """The index at the path with its upserts, None when there is none."""
     if not index_exists(spark, path):
         return None
-    read = spark.read.parquet
+    parts = [p for p in _parts(spark, path) if index_exists(spark, p)]
+
+    def rows(name: str) -> DataFrame:
+        """Rows of every part that no later part replaces."""
+        out = None
+        for i, part in enumerate(parts):
+            own = spark.read.parquet(f"{part}/{name}")
+            if parts[i + 1:]:
+                later = spark.read.parquet(*[f"{p}/replaced" for p in parts[i + 1:]]).distinct()
+                own = own.join(later, "staged_id", "left_anti")
+            out = own if out is None else out.unionByName(own)
+        return out
+
+    def sums(name: str, keys: list[str], values: list[str]) -> DataFrame:
+        tables = spark.read.parquet(*[f"{p}/{name}" for p in parts])
+        return tables if len(parts) == 1 else tables.groupBy(*keys).agg(*(F.sum(v).alias(v) for v in values))
+
     return SearchIndex(
-        read(f"{path}/documents"), read(f"{path}/postings"), read(f"{path}/terms"), read(f"{path}/fields"),
-        read(f"{path}/vectors") if vectors else None,
+        rows("documents"), rows("postings"), sums("terms", ["field", "term"], ["df"]).where("df > 0"),
+        _mean_lengths(sums("fields", ["field"], ["docs", "total"])), rows("vectors") if vectors else None,
     )

@@ -1,11 +1,4 @@
-"""Ways around hot keys, for keys that may hold a large share of all rows.
-
-* ``split_points`` finds hot keys and cuts their order column into ranges, so that a per-key window
-  becomes many range windows of bounded size (``neighbour``).
-* ``many_to_one`` joins rows to their parent and salts the hot parents.
-
-Detection may sample, because it only decides where to cut; the results always hold every row.
-"""
+"""Windows and joins over keys that may hold a large share of all rows."""
 
 from __future__ import annotations
 
@@ -15,150 +8,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_root, estimated_bytes
-
-SMALL_INPUT_BYTES = 512 * 1024 * 1024
-SPLIT_ROWS = 2_000_000
-SAMPLE_FRACTION = 0.001
-BROADCAST_BYTES = 64 * 1024 * 1024
-MAX_SPLITS = 1000
-SALTS = 64
-
-
-def _small(df: DataFrame, small_bytes: int) -> bool:
-    return estimated_bytes(df) <= small_bytes
-
-
-def _sampled(df: DataFrame, fraction: float) -> DataFrame:
-    return df if fraction >= 1.0 else df.sample(fraction=fraction, seed=17)
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], split_rows: int = SPLIT_ROWS, fraction: float = SAMPLE_FRACTION):
-    """Keys with more than ``split_rows`` rows and their estimated count; at most rows/split_rows of them."""
-    counts = _sampled(df.select(*keys), fraction).groupBy(*keys).agg(F.count("*").alias("_n"))
-    return counts.where(F.col("_n") > split_rows * fraction).withColumn(
-        "_n", (F.col("_n") / F.lit(fraction)).cast("long")
-    )
-
+from ..session import materialized
 
-def split_points(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Column,
-    split_rows: int = SPLIT_ROWS,
-    fraction: float = SAMPLE_FRACTION,
-    small_bytes: int = SMALL_INPUT_BYTES,
-) -> DataFrame | None:
-    """Per hot key an array of cut points of the numeric ``order``; None when the input has no hot key.
 
-    The cut points are checkpointed, so that every later use sees the same ranges also when lost tasks
-    run again.  Their number over all keys is at most rows/split_rows.
-    """
-    if _small(df, small_bytes):
-        return None
-    checkpoint_root(df.sparkSession)
-    hot = hot_keys(df, keys, split_rows, fraction).checkpoint()
-    if hot.isEmpty():
-        return None
-    values = _sampled(df.select(*keys, order.cast("double").alias("_o")), fraction)
-    fractions = [i / MAX_SPLITS for i in range(1, MAX_SPLITS)]
-    cuts = values.join(F.broadcast(hot), list(keys)).groupBy(*keys).agg(
-        F.first("_n").alias("_n"), F.percentile_approx("_o", fractions, 10_000).alias("_cuts")
-    )
-    needed = F.least(F.lit(MAX_SPLITS), F.ceil(F.col("_n") / F.lit(split_rows))).cast("int")
-    chosen = F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.lit(1), needed - 1)),
-            lambda i: F.get("_cuts", F.floor(i * F.lit(MAX_SPLITS) / needed).cast("int") - 1),
-        )
-    )
-    return cuts.select(*keys, F.filter(chosen, lambda p: p.isNotNull()).alias("_cuts")).checkpoint()
-
-
-def neighbour(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    value: Column | str,
-    out: str,
-    step: int = 1,
-    split_on: Column | None = None,
-    **hot,
-) -> DataFrame:
+def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column | str, out: str, step: int = 1) -> DataFrame:
     """Value of the next (``step=1``) or previous (``step=-1``) row of the same key.
 
-    Hot keys are windowed range by range; only the first or last value of each range, one row per range,
-    is looked up across ranges.  ``split_on`` is a numeric column monotone in ``order``, by default the
-    first order column.
+    The rows are dealt out by ranges of the key and the whole order, so a key of any size spreads over as many
+    ranges as its rows fill, also where many rows share the first order column.  Each window is one key within
+    one range; what lies beyond a range's edge is looked up among the edges, one row per range.
     """
     value = F.col(value) if isinstance(value, str) else value
-    shift = F.lead if step > 0 else F.lag
-    on = _numeric(df, order[0]) if split_on is None else split_on
-    cuts = split_points(df, keys, on, **hot)
-    if cuts is None:
-        return df.withColumn(out, shift(value).over(W.partitionBy(*keys).orderBy(*order)))
-
-    tagged = (
-        df.withColumn("_o", on.cast("double"))
-        .withColumn("_v", F.struct(value.alias("v")))
-        .join(F.broadcast(cuts), list(keys), "left")
-        .withColumn("_part", F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda p: p <= F.col("_o"))))
-    )
-    inner = tagged.withColumn("_next", shift("_v").over(W.partitionBy(*keys, "_part").orderBy(*order)))
-    edge = F.min_by if step > 0 else F.max_by
-    edges = (
-        tagged.where(F.col("_cuts").isNotNull())
-        .groupBy(*keys, "_part")
-        .agg(edge("_v", F.struct(*order)).alias("_edge"))
-    )
-    # One row per range: a key has at most MAX_SPLITS of them.
-    linked = edges.withColumn("_edge", shift("_edge").over(W.partitionBy(*keys).orderBy("_part"))).checkpoint()
-    joined = inner.join(F.broadcast(linked), [*keys, "_part"], "left")
-    return joined.select(*df.columns, F.coalesce("_next", "_edge")["v"].alias(out))
-
-
-def _numeric(df: DataFrame, name: str) -> Column:
-    kind = dict(df.dtypes)[name]
-    if kind.startswith("timestamp"):
-        return F.unix_micros(F.col(name).cast("timestamp"))
-    if kind == "date":
-        return F.unix_date(name)
-    return F.col(name)
-
-
-def many_to_one(
-    rows: DataFrame,
-    parents: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    salts: int = SALTS,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    split_rows: int = SPLIT_ROWS,
-    fraction: float = SAMPLE_FRACTION,
-    small_bytes: int = SMALL_INPUT_BYTES,
-) -> DataFrame:
-    """Join child rows to parents when some parents own very many children.
-
-    A parent table below ``broadcast_bytes`` is broadcast, so nothing is shuffled.  Beyond that the rows
-    of hot parents are spread over ``salts`` partitions and only those parents are repeated.
-    """
-    on = list(on)
-    if how not in ("inner", "left"):
-        raise ValueError("many_to_one joins inner or left")
-    if estimated_bytes(parents) <= broadcast_bytes:
-        return rows.join(F.broadcast(parents), on, how)
-    if _small(rows, small_bytes):
-        return rows.join(parents, on, how)
-    checkpoint_root(rows.sparkSession)
-    hot = hot_keys(rows, on, split_rows, fraction).select(*on, F.lit(True).alias("_hot")).checkpoint()
-    if hot.isEmpty():
-        return rows.join(parents, on, how)
-    others = [c for c in rows.columns if c not in on] or on
-    salted_rows = rows.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    )
-    salted_parents = parents.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt",
-        F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-    )
-    return salted_rows.drop("_hot").join(salted_parents.drop("_hot"), [*on, "_salt"], how).drop("_salt")
+    shift, edge = (F.lead, F.min_by) if step > 0 else (F.lag, F.max_by)
+    # The ranges come from a sample of each run, so all uses must read one run's.
+    ranged = materialized(df.repartitionByRange(*keys, *order).select(
+        "*", F.struct(value.alias("v")).alias("_v"), F.spark_partition_id().alias("_range")), "ranges")
+    inner = ranged.withColumn("_near", shift("_v").over(W.partitionBy(*keys, "_range").orderBy(*order)))
+    edges = ranged.groupBy(*keys, "_range").agg(edge("_v", F.struct(*order)).alias("_edge"))
+    # Only the first and the last key of a range can go on in another.
+    key = F.struct(*keys)
+    outer = ranged.groupBy("_range").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    outer = outer.select("_range", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("_key"))
+    edges = edges.withColumn("_key", key).alias("e").join(
+        F.broadcast(outer).alias("o"), (F.col("e._range") == F.col("o._range")) & F.col("e._key").eqNullSafe(F.col("o._key"))
+    ).select("e._range", "e._key", "e._edge")
+    linked = edges.withColumn("_beyond", shift("_edge").over(W.partitionBy("_key").orderBy("_range")))
+    linked = linked.where("_beyond IS NOT NULL").select("_range", "_key", "_beyond")  # fewer rows than ranges
+    joined = inner.withColumn("_key", key).alias("i").join(
+        F.broadcast(linked).alias("l"), (F.col("i._range") == F.col("l._range")) & F.col("i._key").eqNullSafe(F.col("l._key")), "left")
+    return joined.select(*(F.col(f"i.`{c}`") for c in df.columns), F.coalesce("_near", "_beyond")["v"].alias(out))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,7 @@ from ..functions.keys import surrogate_id
 from ..functions.masking import mask_documents
 from ..functions.text import computed_once
 from .silver import document_fields
+from .spans import detect_spans, mask_spans
 
 
 def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -66,21 +68,35 @@ def to_index(staged: DataFrame, enriched: DataFrame, chunked: DataFrame) -> Data
     )
 
 
-def mask_stage(rows: DataFrame, on: str = "json") -> DataFrame:
+# Control characters and their letters in JSON; a serialised text holds none of them as they are.
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
+
+
+def mask_stage(
+    rows: DataFrame, on: str = "leaf", detector: Callable[[], Callable[[pd.Series], list]] | None = None
+) -> DataFrame:
     """Silver masking of structured documents.
 
-    ``on="json"`` masks the serialised document.  ``on="lines"`` first turns the escaped line breaks of the
-    JSON into real ones and back, which also finds personal data at the start of a line: in JSON that
-    line break is a backslash and the letter ``n``, and the letter hides the word boundary.
+    ``on="leaf"`` masks the texts as they were before serialisation: the escaped line breaks and tabs of the
+    JSON are real ones while the patterns look.  ``on="json"`` masks the serialised document; there a line
+    break is a backslash and a letter, the letter hides the word boundary, and what follows it is missed.
+
+    With a ``detector`` (see ``spans.detect_spans``) its entity spans are replaced on top: the two-layer mode.
     """
-    if on not in ("json", "lines"):
-        raise ValueError("on is json or lines")
+    if on not in ("json", "leaf"):
+        raise ValueError("on is leaf or json")
     text = F.col("structured_content")
-    if on == "lines":
-        text = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\n", "$1\n")
+    if on == "leaf":
+        for letter, char in _ESCAPES.items():
+            text = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\" + letter, "$1" + char)
     out = mask_documents(rows.select("structured_doc_id", text.alias("_content")), "_content")
-    if on == "lines":
-        out = out.withColumn("masked_content", F.replace("masked_content", F.lit("\n"), F.lit("\\n")))
+    if detector is not None:
+        out = mask_spans(out, detect_spans(out, "structured_doc_id", "masked_content", detector), "structured_doc_id")
+    if on == "leaf":
+        masked = F.col("masked_content")
+        for letter, char in _ESCAPES.items():
+            masked = F.replace(masked, F.lit(char), F.lit("\\" + letter))
+        out = out.withColumn("masked_content", masked)
     return out.select(
         surrogate_id(F.lit("masked"), "structured_doc_id").alias("masked_doc_id"),
         *[c for c in out.columns if c != "_content"],
@@ -103,11 +119,16 @@ ENRICH_CONTRACT = {
 }
 
 
-def chunk_stage(rows: DataFrame, chunk_fn: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Gold chunking of masked documents; ``chunk_fn`` replaces the native chunker."""
+def chunk_stage(
+    rows: DataFrame, chunk_fn: Callable[[DataFrame], DataFrame] | None = None, keep_all: bool = True
+) -> DataFrame:
+    """Gold chunking of masked documents; ``chunk_fn`` replaces the native chunker.
+
+    ``keep_all=False`` leaves out sections after the third.
+    """
     if chunk_fn is not None:
         return check_columns(chunk_fn(rows), CHUNK_CONTRACT)
-    return chunk_documents(rows.select("masked_doc_id", "masked_content"), "masked_doc_id", "masked_content")
+    return chunk_documents(rows.select("masked_doc_id", "masked_content"), "masked_doc_id", "masked_content", keep_all=keep_all)
 
 
 def enrich_stage(rows: DataFrame, enrich_fn: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +39,16 @@ def _pick(df, keys, order, best):
 def insert_ignore(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None):
     """Rows of the batch to append: one per key, none whose key exists (SNK-3).
 
-    The batch is reduced to one row per key before it meets the target, so duplicates never travel far.
+    The batch is reduced to one row per key before it meets the target, so duplicates never travel far.  Rows
+    with a NULL in the key name nothing and are never appended; ``null_keys`` has them.
     """
-    return first_per_key(batch, keys, order).join(target.select(*keys), list(keys), "left_anti")
+    named = batch.dropna("any", subset=list(keys))
+    return first_per_key(named, keys, order).join(target.select(*keys), list(keys), "left_anti")
+
+
+def null_keys(batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows to quarantine: a part of their key is NULL."""
+    return batch.where(reduce(or_, [F.col(k).isNull() for k in keys]))
 
 
 def apply_mutations(
@@ -89,16 +98,19 @@ def mutation_report(target: DataFrame, changes: DataFrame, keys: Sequence[str],
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """INSERT/UPDATE/DELETE per key between two snapshots (CDC-8); unchanged rows give nothing."""
+    """INSERT/UPDATE/DELETE per key between two snapshots (CDC-8); unchanged rows give nothing.
+
+    The values themselves are compared, NULL equal to NULL, so the smallest difference of a type counts.
+    """
     keys = list(keys)
-    image = F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+    image = F.struct(*columns)
     b = before.select(*keys, image.alias("_b"))
     a = after.select(*keys, image.alias("_a"))
     both = b.join(a, keys, "full_outer")
     operation = (
         F.when(F.col("_b").isNull(), F.lit("INSERT"))
         .when(F.col("_a").isNull(), F.lit("DELETE"))
-        .when(F.col("_a") != F.col("_b"), F.lit("UPDATE"))
+        .when(~F.col("_a").eqNullSafe(F.col("_b")), F.lit("UPDATE"))
     )
     return both.select(*keys, operation.alias("operation")).where(F.col("operation").isNotNull())
 
@@ -127,6 +139,9 @@ def default_when_missing(matched: Column | str, value: Column, default) -> Colum
 
 
 def lookup_or_first(df: DataFrame, column: str, value, order: Sequence[str]) -> DataFrame:
-    """The row with the id, else the first row (FLT-7); one pass with a one-row top-k."""
-    hit = F.col(column).eqNullSafe(F.lit(value))
-    return df.orderBy(hit.desc(), *order).limit(1)
+    """The row with the id, else the first row (FLT-7).
+
+    The look-up is a filter the scan can use; the first row is searched only when it finds nothing.
+    """
+    hit = df.where(F.col(column).isNull() if value is None else F.col(column) == F.lit(value)).orderBy(*order).limit(1)
+    return df.orderBy(*order).limit(1) if hit.isEmpty() else hit

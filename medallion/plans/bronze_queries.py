@@ -10,7 +10,6 @@ from ..operators import bronze as B
 from ..operators import tables as T
 from ..session import work_path
 from ..sources import batches
-from ..sources.synthetic import synthetic_reports
 from .inputs import LOAD_TS, REPORTS_SQL, reports, sql_class
 from .registry import query, table
 
@@ -306,25 +305,6 @@ def batch_parity(spark, d):
     return B.parity(a, a.distinct(), a.columns)
 
 
-@query(
-    "synthetic_source",
-    f"""WITH s AS (SELECT doc_id, 'AP' || lpad(CAST(doc_id + 10000 AS VARCHAR), 8, '0') AS no,
-  ['S', 'A', 'B', 'C', 'D'][doc_id % 5 + 1] AS code FROM documents)
-SELECT no AS pilot_problem_no, code, {sql_class('code')} AS pclrty_class,
-  'NX0' || CAST(doc_id % 3 + 1 AS VARCHAR) AS model, md5(no || '||1') AS row_hash,
-  CASE WHEN doc_id < 3 THEN 4 ELSE 1 END AS pii_lines, 3 AS parts, 2 AS steps FROM s""",
-)
-def synthetic_source(spark, d):
-    """SRC-10 with the documents' ids as row numbers."""
-    made = synthetic_reports(table(spark, d, "documents").select("doc_id"), "doc_id")
-    pii = F.size(F.split("display_content", "\n")) - 1
-    return made.select(
-        "pilot_problem_no", F.col("pilot_problem_importnrate_typecd").alias("code"), "pclrty_class",
-        F.col("pilot_vhclmodel_no").alias("model"), "row_hash", pii.alias("pii_lines"),
-        F.json_array_length("parts").alias("parts"), F.json_array_length("steps").alias("steps"),
-    )
-
-
 @query(
     "locator_parse",
     r"""WITH p AS (SELECT page_id, 's3://' || regexp_replace(url, '^[a-z]+://', '') AS path, url FROM pages)
@@ -349,27 +329,31 @@ def locator_parse(spark, d):
 
 @query(
     "snapshot_diff",
-    """WITH b AS (SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders),
+    """WITH b AS (SELECT o_orderkey, o_totalprice, o_orderstatus, epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS t FROM orders),
 a AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
-  o_orderstatus FROM orders WHERE o_orderpriority <> '1-URGENT'
-  UNION ALL SELECT -1 - c_custkey, c_acctbal, 'N' FROM customer)
+  o_orderstatus, epoch_us(CAST(o_orderdate AS TIMESTAMP)) + CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS t
+  FROM orders WHERE o_orderpriority <> '1-URGENT'
+  UNION ALL SELECT -1 - c_custkey, c_acctbal, 'N', 0 FROM customer)
 SELECT coalesce(b.o_orderkey, a.o_orderkey) AS o_orderkey,
   CASE WHEN b.o_orderkey IS NULL THEN 'INSERT' WHEN a.o_orderkey IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS operation
 FROM b FULL JOIN a ON a.o_orderkey = b.o_orderkey
-WHERE b.o_orderkey IS NULL OR a.o_orderkey IS NULL OR a.o_totalprice <> b.o_totalprice""",
+WHERE b.o_orderkey IS NULL OR a.o_orderkey IS NULL OR a.o_totalprice <> b.o_totalprice OR a.t <> b.t""",
 )
 def snapshot_diff(spark, d):
-    """CDC-8."""
-    before = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    """CDC-8; some rows differ by a microsecond only."""
+    micros = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    before = table(spark, d, "orders").select(
+        "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority", F.timestamp_micros(micros).alias("at"))
+    later = F.timestamp_micros(F.unix_micros("at") + F.when(F.col("o_orderkey") % 10 == 0, 1).otherwise(0))
     price = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
     after = (
         before.where("o_orderpriority <> '1-URGENT'")
-        .select("o_orderkey", price.alias("o_totalprice"), "o_orderstatus")
+        .select("o_orderkey", price.alias("o_totalprice"), "o_orderstatus", later.alias("at"))
         .unionByName(
             table(spark, d, "customer").select(
                 (-1 - F.col("c_custkey")).alias("o_orderkey"), F.col("c_acctbal").alias("o_totalprice"),
-                F.lit("N").alias("o_orderstatus"),
+                F.lit("N").alias("o_orderstatus"), F.timestamp_micros(F.lit(0)).alias("at"),
             )
         )
     )
-    return T.snapshot_diff(before, after, ["o_orderkey"], ["o_totalprice", "o_orderstatus"])
+    return T.snapshot_diff(before, after, ["o_orderkey"], ["o_totalprice", "o_orderstatus", "at"])

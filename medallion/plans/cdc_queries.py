@@ -9,7 +9,7 @@ from ..functions import keys as K
 from ..operators import cdc as C
 from ..operators import stats
 from ..operators import tables as T
-from ..session import spread_small, state_partitions, work_path
+from ..session import spread_small, stream_session, work_path
 from ..sources import polling, records
 from ..streaming import changes as CH
 from ..streaming import sightings as SI
@@ -216,21 +216,24 @@ def snapshot_plus_changes(spark, d):
 
 @query(
     "hash_bridge",
-    """WITH j AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '{}'
-    WHEN 2 THEN '{"source_name": "' || event_type || '", "primary_key": ' || user_id || '}' ELSE '{bad' END AS js,
-  event_id % 4 AS k, event_type, user_id FROM events),
-h AS (SELECT *, CASE k WHEN 3 THEN NULL WHEN 2 THEN sha256(event_type || '||' || user_id) ELSE sha256('unknown||') END AS row_hash FROM j)
-SELECT event_id, row_hash, CASE k WHEN 3 THEN NULL WHEN 1 THEN '{"row_hash": "' || row_hash || '"}'
+    """WITH j AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '{}'
+    WHEN 2 THEN '{"source_name": "' || event_type || '", "primary_key": ' || user_id || '}' ELSE '' END AS js,
+  event_id % 6 AS k, event_type, user_id FROM events),
+h AS (SELECT *, CASE WHEN k IN (3, 5) THEN NULL WHEN k = 2 THEN sha256(event_type || '||' || user_id) ELSE sha256('unknown||') END AS row_hash FROM j)
+SELECT event_id, row_hash, CASE WHEN k IN (3, 5) THEN NULL WHEN k = 1 THEN '{"row_hash": "' || row_hash || '"}'
+  WHEN k = 4 THEN '{"a":' || user_id || ',"row_hash":"' || row_hash || '"}'
   ELSE substr(js, 1, length(js) - 1) || ', "row_hash": "' || row_hash || '"}' END AS record,
-  CASE k WHEN 3 THEN 'invalid JSON input' END AS error FROM h""",
+  CASE WHEN k IN (3, 5) THEN 'invalid JSON input' END AS error FROM h""",
 )
 def hash_bridge(spark, d):
-    """KEY-10, UDF-4."""
-    kind = F.col("event_id") % 4
+    """KEY-10, UDF-4; some records have a row hash already, some have text after their end."""
+    kind = F.col("event_id") % 6
     named = F.concat(
         F.lit('{"source_name": "'), "event_type", F.lit('", "primary_key": '), F.col("user_id").cast("string"), F.lit("}")
     )
-    js = F.when(kind == 0, F.col("props")).when(kind == 1, F.lit("{}")).when(kind == 2, named).otherwise(F.lit("{bad"))
+    js = F.when(kind == 0, F.col("props")).when(kind == 1, F.lit("{}")).when(kind == 2, named).when(kind == 3, F.lit("{bad"))
+    js = js.when(kind == 4, F.concat(F.lit('{"row_hash": "old", "a": '), F.col("user_id").cast("string"), F.lit("}")))
+    js = js.otherwise(F.concat("props", F.lit(" trailing")))
     out = records.hash_records(table(spark, d, "events").select("event_id", js.alias("js")), "js")
     return out.select("event_id", "row_hash", "record", "error")
 
@@ -278,9 +281,8 @@ def stream_quarantine(spark, d):
 def stream_counts(spark, d):
     """CDC-9, AGG-8 as a stream."""
     out = work_path(spark, "counts")
-    stream = _stream(spark, d)
-    with state_partitions(spark, table(spark, d, "events")):
-        CH.write_counts(stream, f"{out}/counts", f"{out}/state", profile=PROFILE).awaitTermination()
+    stream = _stream(stream_session(spark), d)
+    CH.write_counts(stream, f"{out}/counts", f"{out}/state", profile=PROFILE).awaitTermination()
     return CH.latest_counts(spark, f"{out}/counts").select("change_operation", "events")
 
 
@@ -298,9 +300,8 @@ def stream_infer_op_ttl(spark, d):
         part = rows.where((F.col("ts") >= span.a + i * third) | F.lit(i == 0))
         part = part.where((F.col("ts") < span.a + (i + 1) * third) | F.lit(i == 2))
         part.coalesce(1).write.mode("append").parquet(f"{out}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    stream = stream_session(spark).readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
     result = SI.infer_operations_stream(stream, "row_key", "ts", "event_id")
     sink = result.writeStream.format("parquet").option("path", f"{out}/out")
-    with state_partitions(spark, rows):
-        sink.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    sink.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/out").select("event_id", "row_key", "change_operation")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import enrichment as E
 from ..functions import mapping as M
 from ..functions.chunking import chunk_documents
-from ..functions.text import strip
+from ..functions.text import mapped, strip
 from ..operators import search_index as IX
 from ..operators import stages as ST
 from ..operators import stats
@@ -245,14 +245,17 @@ def document_rollup(spark, d):
 @query(
     "document_filter",
     f"""WITH {_ROLLUP_SQL}
-SELECT doc_id AS id, substr(structured_content, 19, strpos(structured_content, '"}}') - 19) AS title, 'C' AS priority,
+SELECT doc_id AS id, substr(structured_content, 19, strpos(structured_content, '"}}') - 19) AS title, 'B' AS priority,
   pclrty_class AS security, 'NX01' AS "vehicleModel", is_masked AS masked, 'KR_PHONE' AS type, '전화번호' AS label,
-  CAST(substr(pii_pattern_types, 13, 1) AS INTEGER) AS count FROM rollup_rows WHERE is_masked""",
+  CAST(substr(pii_pattern_types, 13, 1) AS INTEGER) AS count FROM rollup_rows
+WHERE is_masked AND pclrty_class = 'INTERNAL'""",
 )
 def document_filter(spark, d):
     """PRJ-6, MAP-3, FLT-4."""
-    view = stats.document_view(stats.document_rollup(*_rollup_tables(spark, d)))
-    shown = stats.filter_documents(view, priority="C", masked_only=True)
+    rollup = stats.document_rollup(*_rollup_tables(spark, d))
+    codes = {"RESTRICTED": "S", "INTERNAL": "B", "PUBLIC": "D"}
+    view = stats.document_view(rollup, mapped("pclrty_class", codes, "C"))
+    shown = stats.filter_documents(view, priority="B", masked_only=True)
     return shown.select("id", "title", "priority", "security", "vehicleModel", "masked", F.inline_outer("piiCounts"))
 
 

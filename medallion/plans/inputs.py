@@ -62,6 +62,7 @@ REPORTS_SQL = f"""reports AS (
       WHEN 2 THEN {_PHONE} || {_IDS} || ' end' ELSE {_PHONE} || {_IDS} || {_MAIL} || ' end' END AS content
   FROM documents)"""
 
+# The patterns and replacements of the masking rules, for the SQL side.
 _PATTERNS = (
     ("phone", r"\b(01[016789])[-.\s]?\d{3,4}[-.\s]?\d{4}\b", "010****1234"),
     ("rrn", r"\b\d{6}[-]\d{7}\b", "[주민번호 마스킹]"),
@@ -119,13 +120,14 @@ c1 AS (SELECT *, list_sort(list_filter([strpos(t, '현상:'), strpos(t, '원인:
   greatest(1, length(t) // 3) AS size FROM c0),
 c2 AS (SELECT *, CASE WHEN p[1] > 1 THEN list_concat([CAST(1 AS BIGINT)], p) ELSE p END AS st FROM c1),
 c3 AS (SELECT {doc}, CASE WHEN len(st) >= 3 THEN
-    list_transform([1, 2, 3], lambda i: substr(t, st[i], coalesce(st[i + 1], length(t) + 1) - st[i]))
+    list_transform(range(1, len(st) + 1), lambda i: substr(t, st[i], coalesce(st[i + 1], length(t) + 1) - st[i]))
   ELSE [{part.format(0)}, {part.format(1)}, substr(t, 2 * size + 1)] END AS parts FROM c2),
-c4 AS (SELECT {doc}, unnest([0, 1, 2]) AS chunk_sequence, unnest(parts) AS raw FROM c3),
+c4 AS (SELECT {doc}, CAST(unnest(range(0, len(parts))) AS INTEGER) AS chunk_sequence, unnest(parts) AS raw FROM c3),
 chunks AS (SELECT {doc}, chunk_sequence, CASE WHEN {sql_strip('raw')} = ''
   THEN '(빈 청크 ' || CAST(chunk_sequence + 1 AS VARCHAR) || ')' ELSE {sql_strip('raw')} END AS chunk_content FROM c4)"""
 
 
+# The stop words, for the SQL side.
 _STOP = (
     "'이','가','을','를','의','에','은','는','과','와','도','로','으로','에서','이다','있다','하다','되다','않다'"
 )

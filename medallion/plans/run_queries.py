@@ -9,15 +9,17 @@ from ..operators import runs as R
 from .registry import query, table
 
 # End of a run: its value in seconds after the start; every ninth run has not ended.
-_LEDGER_SQL = """ledger AS (SELECT event_type AS dag_id, event_id AS run_id, ts AS start_date,
-  CASE WHEN event_id % 9 <> 8 THEN ts + to_microseconds(CAST(round(value * 1000) AS BIGINT) * 1000) END AS end_date,
+_LEDGER_SQL = """ledger AS (SELECT event_type AS dag_id, event_id AS run_id, ts + to_microseconds(event_id * 613 % 1000) AS start_date,
+  CASE WHEN event_id % 9 <> 8 THEN ts + to_microseconds(CAST(round(value * 1000) AS BIGINT) * 1000 + event_id * 37 % 1000) END AS end_date,
   CASE event_id % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'running' WHEN 2 THEN 'failed' ELSE 'queued' END AS state FROM events)"""
 
 
 def ledger(spark, d):
     event = F.col("event_id")
-    started = F.col("ts").cast("timestamp")
-    ended = F.timestamp_micros(F.unix_micros(started) + F.round(F.col("value") * 1000).cast("long") * 1000)
+    ts = F.unix_micros(F.col("ts").cast("timestamp"))
+    # Both ends have microseconds of their own.
+    started = F.timestamp_micros(ts + event * 613 % 1000)
+    ended = F.timestamp_micros(ts + F.round(F.col("value") * 1000).cast("long") * 1000 + event * 37 % 1000)
     return table(spark, d, "events").select(
         F.col("event_type").alias("dag_id"),
         event.alias("run_id"),
@@ -30,7 +32,7 @@ def ledger(spark, d):
     )
 
 
-_MS = "CAST(epoch_ms(end_date) - epoch_ms(start_date) AS BIGINT)"
+_MS = "CAST(floor((epoch_us(end_date) - epoch_us(start_date)) / 1000.0) AS BIGINT)"
 _STATUS = "CASE state WHEN 'success' THEN '{0}' WHEN 'running' THEN 'in_progress' WHEN 'failed' THEN 'failed' ELSE '{1}' END"
 _FORMAT = "'%Y-%m-%d %H:%M:%S.%f'"
 
@@ -91,7 +93,7 @@ def run_tasks(spark, d):
 
 
 _DAYS_SQL = """n AS (SELECT date_diff('day', date '2024-01-01', CAST(ts AS DATE)) AS run, event_type AS key, count(*) AS value
-  FROM events WHERE event_type <> 'error' OR hour(ts) < 12 GROUP BY ALL)"""
+  FROM (SELECT ts, CASE WHEN event_type = 'error' AND hour(ts) >= 12 THEN 'late error' ELSE event_type END AS event_type FROM events) GROUP BY ALL)"""
 
 
 @query(
@@ -105,8 +107,10 @@ FROM a FULL JOIN b ON a.run = b.run AND a.key = b.key""",
 def run_diff(spark, d):
     """JOIN-11, MTH-1, SORT-1, SET-3: every day's counts per type against the day before."""
     day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long")
-    kept = table(spark, d, "events").where("event_type <> 'error' OR hour(ts) < 12")
-    counts = kept.groupBy(day.alias("run"), F.col("event_type").alias("key")).agg(F.count("*").alias("value"))
+    # A type that some days lack.
+    late = (F.col("event_type") == "error") & (F.hour("ts") >= 12)
+    events = table(spark, d, "events").withColumn("event_type", F.when(late, "late error").otherwise(F.col("event_type")))
+    counts = events.groupBy(day.alias("run"), F.col("event_type").alias("key")).agg(F.count("*").alias("value"))
     # One map per run, as the ledger keeps it: as many entries as there are event types.
     runs = counts.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("stage_counts"))
     entries = R.run_entries(runs, "run", "stage_counts")

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,33 +71,31 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/medallion/{name}-{uuid.uuid4().hex}"
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate of a plan; runs no job.  Joins are over- rather than underestimated."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame below the shared root and read it back: no later use, and no lost executor, runs it again."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread_small(df: DataFrame, limit: int = 512 * 1024 * 1024) -> DataFrame:
-    """Spread an input below ``limit`` over all cores before costly expressions.
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread an input that has fewer partitions than there are cores, before costly expressions.
 
-    A small Parquet file is often one row group and so one task.  Larger inputs have enough row groups
-    and are left alone: no shuffle of the data.
+    A small Parquet file is often one row group and so one task.  Inputs with a task for each core are left
+    alone: no shuffle of the data.
     """
-    if estimated_bytes(df) > limit:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-@contextmanager
-def state_partitions(spark: SparkSession, first_input: DataFrame, bytes_each: int = 128 * 1024 * 1024) -> Iterator[None]:
-    """Shuffle partitions of a stateful stream sized to its data while it starts and runs.
+def stream_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
+    """A session for one stateful stream, with shuffle partitions of its own.
 
-    A stream keeps the number it began with for the life of its checkpoint, and adaptive execution does
-    not change it.
+    A stream keeps the number it began with for the life of its checkpoint, and adaptive execution does not
+    change it; ``partitions`` is what its state will need, by default the session's setting.  Other queries
+    keep theirs.
     """
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    wanted = max(spark.sparkContext.defaultParallelism, estimated_bytes(first_input) // bytes_each)
-    spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    own = spark.newSession()
+    wanted = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return prepare(own)

@@ -23,22 +23,31 @@ def parse_json_records(df: DataFrame, column: str, schema: str) -> DataFrame:
 def hash_records(df: DataFrame, column: str) -> DataFrame:
     """Add the row hash of JSON records and the record with the hash in it (KEY-10).
 
-    ``error`` is NULL for good records; the others have neither hash nor record.
+    ``error`` is NULL for good records; the others have neither hash nor record.  A record is the whole text:
+    anything after its end is an error.  A ``row_hash`` it brings along is replaced.
     """
-    names = "struct<source_name:string,primary_key:string,_corrupt_record:string>"
+    names = "struct<source_name:string,primary_key:string,row_hash:string>"
+    # As the only item of a list, so that text after the object can't be overlooked.
     parsed = df.withColumn("_r", F.from_json(column, names))
-    is_object = F.trim(column).startswith("{") & F.col("_r._corrupt_record").isNull() & F.col("_r").isNotNull()
+    parsed = parsed.withColumn("_whole", F.try_parse_json(F.concat(F.lit("["), F.col(column), F.lit("]"))))
+    one = F.size(F.col("_whole").cast("array<variant>")) == 1
+    is_object = F.trim(column).startswith("{") & F.col("_r").isNotNull() & one
     hashed = hub_hash(
         F.coalesce("_r.source_name", F.lit("unknown")), F.coalesce("_r.primary_key", F.lit(""))
     )
     body = F.regexp_replace(F.rtrim(F.col(column)), r"\s*\}$", "")
     comma = F.when(F.trim(body) == "{", F.lit("")).otherwise(F.lit(", "))
+    added = F.concat(body, comma, F.lit('"row_hash": "'), F.col("row_hash"), F.lit('"}'))
+    fields = F.col("_whole").cast("array<map<string, variant>>")[0]
+    others = F.map_filter(fields, lambda k, _: k != "row_hash")
+    replaced = F.to_json(F.map_concat(others, F.create_map(F.lit("row_hash"), F.parse_json(F.concat(F.lit('"'), F.col("row_hash"), F.lit('"'))))))
+    has_hash = F.array_contains(F.map_keys(fields), "row_hash")
     good = F.coalesce(is_object, F.lit(False))
     return (
         parsed.withColumn("row_hash", F.when(good, hashed))
         .withColumn(
-            "record", F.when(good, F.concat(body, comma, F.lit('"row_hash": "'), F.col("row_hash"), F.lit('"}')))
+            "record", F.when(good & has_hash, replaced).when(good, added)
         )
         .withColumn("error", F.when(~good, F.lit("invalid JSON input")))
-        .drop("_r")
+        .drop("_r", "_whole")
     )

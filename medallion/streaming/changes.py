@@ -14,7 +14,6 @@ from ..operators.stats import operation_counts
 from ..schemas import STREAM_ENTRY
 
 TRIGGER = "5 seconds"
-ENTRIES_PER_READ = 100
 
 
 def file_entries(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -26,16 +25,18 @@ def file_entries(spark: SparkSession, path: str, max_files: int | None = None) -
 
 
 def kafka_entries(
-    spark: SparkSession, servers: str, profile: SourceProfile = DEFAULT_PROFILE, per_read: int = ENTRIES_PER_READ, **options
+    spark: SparkSession, servers: str, profile: SourceProfile = DEFAULT_PROFILE, per_read: int | None = None, **options
 ) -> DataFrame:
-    """Entries of all topics with the prefix, new topics included, from their start (needs the Kafka package)."""
+    """Entries of all topics with the prefix, new topics included, from their start (needs the Kafka package).
+
+    ``per_read`` limits the messages of a micro-batch; without it a stream reads all there is.
+    """
     raw = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribePattern", profile.stream_prefix.replace(".", r"\.") + ".*")
         .option("startingOffsets", "earliest")
-        .option("maxOffsetsPerTrigger", per_read)
-        .options(**options)
+        .options(**options | ({"maxOffsetsPerTrigger": per_read} if per_read else {}))
         .load()
     )
     return raw.select(

@@ -98,7 +98,7 @@ def test_infer_days(spark):
 def test_infer_matches_rule(spark, ttl, hot):
     data = _events()
     df = spark.createDataFrame(data, "k string, ts timestamp, id int")
-    options = {"split_rows": 50, "fraction": 1.0, "small_bytes": 0} if hot else {}
+    options = {"key_rows": 50} if hot else {}
     out = cdc.infer_operations(df, "k", "ts", "id", ttl_days=ttl, **options)
     assert {r.id: r.change_operation for r in out.collect()} == _python_rule(data, None if ttl is None else timedelta(days=ttl))
 
@@ -180,6 +180,11 @@ def test_hash_records(spark):
     assert json.loads(got[0].record) == {"source_name": "s", "primary_key": 5, "x": 1, "row_hash": expected[0]}
     assert json.loads(got[1].record) == {"row_hash": expected[1]}
     assert got[2].error == "invalid JSON input"
+    odd = spark.createDataFrame([('{"row_hash":"old","a":[1,{"b":null}]}',), ('{"a":1} trailing',), ('{"a":1},{"b":2}',), ('{"x":{"row_hash":1}} ',), (None,)], "j string")
+    got = records.hash_records(odd, "j").collect()
+    assert json.loads(got[0].record) == {"a": [1, {"b": None}], "row_hash": expected[1]} and got[0].record.count("row_hash") == 1
+    assert [r.error for r in got] == [None, "invalid JSON input", "invalid JSON input", None, "invalid JSON input"]
+    assert json.loads(got[3].record) == {"x": {"row_hash": 1}, "row_hash": expected[1]}
 
 
 def test_batch_overwrites_only_itself(spark):

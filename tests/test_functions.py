@@ -65,6 +65,7 @@ def test_differences_and_durations(spark):
     ms = text.duration_ms("a", "b")
     assert one(spark, ms, a="2026-01-01T00:00:00Z", b="2026-01-01T00:00:02.500Z") == 2500
     assert one(spark, ms, a="2026-01-01T00:00:00Z", b=None) is None
+    assert one(spark, ms, a="2026-01-01T00:00:00.000500Z", b="2026-01-01T00:00:01.000400Z") == 999
     assert one(spark, text.duration_seconds("a"), a=2500) == 3
 
 
@@ -100,7 +101,7 @@ def test_mask_matches_python_on_random_texts(spark):
     got = masked(spark, *texts)
     for i, raw in enumerate(texts):
         counts, value = {}, raw
-        for kind, pattern, replacement in K.PII_PATTERNS:
+        for kind, pattern, replacement, _ in K.PII_PATTERNS:
             value, n = re.subn(pattern, lambda _, r=replacement: r, value)
             if n:
                 counts[kind] = n
@@ -126,7 +127,7 @@ CHUNKS = [
     ("😀bc😀ef😀", ["😀b", "c😀", "ef😀"]),
     ("현상: x 원인: y 대책: z", ["현상: x", "원인: y", "대책: z"]),
     ("대책: z 현상: x 원인: y", ["대책: z", "현상: x", "원인: y"]),
-    ("lead 현상: x 원인: y 대책: z", ["lead", "현상: x", "원인: y"]),
+    ("lead 현상: x 원인: y 대책: z", ["lead", "현상: x", "원인: y", "대책: z"]),
     ("lead 현상: x 원인: y", ["lead", "현상: x", "원인: y"]),
     ("현상: x 현상: y 원인: z 대책: 원인: w", ["현상: x 현상: y", "원인: z", "대책: 원인: w"]),
     ("현상:원인:대책:", ["현상:", "원인:", "대책:"]),
@@ -138,8 +139,14 @@ def test_chunks(spark, raw, expected):
     assert chunks_of(spark, raw) == expected
 
 
-def test_chunks_keep_all(spark):
-    assert chunks_of(spark, "lead 현상: x 원인: y 대책: z", keep_all=True) == ["lead", "현상: x", "원인: y", "대책: z"]
+def test_chunks_up_to_a_number(spark):
+    assert chunks_of(spark, "lead 현상: x 원인: y 대책: z", keep_all=False) == ["lead", "현상: x", "원인: y"]
+
+
+def test_own_pattern_has_no_other_patterns_literal(spark):
+    df = spark.createDataFrame([("call 02-123-4567",)], "t string")
+    own = (("KR_PHONE", r"\b02-\d{3}-\d{4}\b", "X"),)
+    assert masking.mask_text(df, "t", patterns=own).first().masked_content == "call X"
 
 
 def test_chunk_metadata(spark):

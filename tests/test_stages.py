@@ -1,4 +1,4 @@
-"""The whole way over stage tables: golden numbers, reruns, spans, hooks, synthetic records."""
+"""The whole way over stage tables: golden numbers, reruns, spans, hooks, sample reports."""
 
 from __future__ import annotations
 
@@ -9,14 +9,14 @@ from medallion import schemas as S
 from medallion.functions.masking import mask_documents
 from medallion.operators import bronze, checks, silver, spans, stages, stats
 from medallion.session import work_path
-from medallion.sources.synthetic import synthetic_reports
 from tests.conftest import rows
+from tests.reports import sample_reports
 
 TABLES = {"masked": S.MASKED, "chunked": S.CHUNK, "enriched": S.ENRICHED, "staged": S.STAGED}
 
 
 def structured(spark, n=5):
-    reports = synthetic_reports(spark.range(n)).withColumn("s3_path", F.lit("s3://bronze/1")).withColumn("_seq", F.lit(1))
+    reports = sample_reports(spark, n).withColumn("s3_path", F.lit("s3://bronze/1")).withColumn("_seq", F.lit(1))
     reports = reports.withColumn("source_primary_key", F.concat_ws("||", "pilot_problem_no", "reform_numseq"))
     hub = bronze.hub_rows(reports, F.col("source_primary_key"), "2026-01-01 00:00:00")
     registry = hub.select(bronze.HUB_KEY, "source_primary_key").withColumn("s3_path", F.lit("s3://bronze/1"))
@@ -34,7 +34,7 @@ def run_stages(spark, root, docs):
         stages.append_stage(rows_, f"{root}/{name}", TABLES[name])
 
     add("masked", stages.mask_stage(stages.to_mask(docs, t("masked"))))
-    add("chunked", stages.chunk_stage(stages.to_chunk(t("masked"), t("chunked"))))
+    add("chunked", stages.chunk_stage(stages.to_chunk(t("masked"), t("chunked")), keep_all=False))
     add("enriched", stages.enrich_stage(stages.to_enrich(t("chunked"), t("masked"), docs, t("enriched"))))
     add("staged", stages.stage_stage(stages.to_stage(t("enriched"), t("chunked"), t("masked"), docs, t("staged"))))
     return {name: t(name) for name in TABLES}
@@ -97,11 +97,26 @@ def test_rollup_and_view(chain):
     assert rows(stats.masking_stats(out["masked"])) == [(3, 2, 5)]
 
 
-def test_mask_stage_on_lines(spark):
+def test_mask_stage_masks_leaf_texts(spark):
     docs = spark.createDataFrame([("1", '{"t":"a\\n010-1234-5678 \\\\n x"}')], "structured_doc_id string, structured_content string")
-    assert stages.mask_stage(docs).first().pii_detection_count == 0
-    row = stages.mask_stage(docs, on="lines").first()
+    assert stages.mask_stage(docs, on="json").first().pii_detection_count == 0
+    row = stages.mask_stage(docs).first()
     assert row.pii_detection_count == 1 and row.masked_content == '{"t":"a\\n010****1234 \\\\n x"}'
+    for letter in "nrtbf":
+        one = spark.createDataFrame([("1", '{"t":"\\%s\\%s010-1234-5678"}' % (letter, letter))], "structured_doc_id string, structured_content string")
+        assert stages.mask_stage(one).first().masked_content == '{"t":"\\%s\\%s010****1234"}' % (letter, letter)
+
+
+def test_two_layer_mask_stage(spark):
+    docs = spark.createDataFrame([("1", '{"t":"Kim\\n010-1234-5678"}'), ("2", '{"t":"none"}')], "structured_doc_id string, structured_content string")
+
+    def detector():
+        return lambda texts: [[("PERSON", t.index("Kim"), t.index("Kim") + 3, 0.9)] if "Kim" in t else [] for t in texts]
+
+    got = {r.structured_doc_id: r for r in stages.mask_stage(docs, detector=detector).collect()}
+    assert got["1"].masked_content == '{"t":"[KR_NAME]\\n010****1234"}' and got["1"].masking_method == "presidio_2layer"
+    assert got["1"].pii_pattern_types == {"KR_PHONE": 1, "KR_NAME": 1, "KR_ADDRESS": 0}
+    assert got["2"].pii_pattern_types == {"KR_NAME": 0, "KR_ADDRESS": 0}
 
 
 def test_hook_contract(spark, chain):
@@ -114,13 +129,6 @@ def test_hook_contract(spark, chain):
     assert own.count() == 5
 
 
-def test_synthetic(spark):
-    got = synthetic_reports(spark.range(7)).orderBy("pilot_problem_no").collect()
-    assert [r.pilot_problem_importnrate_typecd for r in got] == list("SABCDSA")
-    assert [r.pilot_vhclmodel_no for r in got[:4]] == ["NX01", "NX02", "NX03", "NX01"]
-    assert got[0].pilot_problem_no == "AP00010000"
-
-
 def test_spans(spark):
     docs = mask_documents(spark.createDataFrame([(1, "😀홍길동 in 서울 010-1234-5678"), (2, "none")], "doc int, t string"), "t")
     data = [(1, "PERSON", 1, 4, 0.6), (1, "LOCATION", 8, 10, 0.9), (1, "GPE", 8, 9, 0.9), (1, "PERSON", 5, 7, 0.59), (1, "DATE", 5, 7, 1.0)]

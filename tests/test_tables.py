@@ -6,12 +6,12 @@ import random
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from medallion.operators import bronze, checks, history, silver, skew, tables
 from tests.conftest import rows
 
-HOT = {"split_rows": 50, "fraction": 1.0, "small_bytes": 0}
 
 
 def test_insert_ignore_keeps_existing_and_first(spark):
@@ -70,27 +70,51 @@ def _skewed(spark, n=900):
     return spark.createDataFrame(data, "key string, valid_from long, seq long, content_hash string")
 
 
-@pytest.mark.parametrize("step", [1, -1])
-def test_neighbour_of_hot_key_equals_plain_window(spark, step):
-    df = _skewed(spark)
-    args = (["key"], ["valid_from", "seq"], "content_hash", "n", step)
-    plain = skew.neighbour(df, *args)
-    split = skew.neighbour(df, *args, **HOT)
-    assert skew.split_points(df, ["key"], F.col("valid_from"), **HOT).count() >= 1
-    assert rows(split) == rows(plain)
+def _plain_neighbour(df, value, step):
+    shift = F.lead if step > 0 else F.lag
+    return df.withColumn("n", shift(value).over(W.partitionBy("key").orderBy("valid_from", "seq")))
 
 
-def test_versions_with_hot_key(spark):
+@pytest.mark.parametrize("step", [1, -1])
+@pytest.mark.parametrize("partitions", [1, 7, 40])
+def test_neighbour_equals_plain_window(spark, step, partitions):
     df = _skewed(spark)
-    assert rows(history.versions(df, "key", "valid_from", "seq", **HOT)) == rows(history.versions(df, "key", "valid_from", "seq"))
-
-
-def test_many_to_one_salted_equals_join(spark):
-    children = spark.createDataFrame([("hot" if i % 3 else f"k{i % 5}", i) for i in range(600)], "k string, v int")
-    parents = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3), ("none", 4)], "k string, p int")
-    for how in ("inner", "left"):
-        salted = skew.many_to_one(children, parents, ["k"], how, broadcast_bytes=0, split_rows=50, fraction=1.0, small_bytes=0)
-        assert rows(salted.select("k", "v", "p")) == rows(children.join(parents, "k", how).select("k", "v", "p"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        for own in (df, df.withColumn("valid_from", F.lit(5)), df.withColumn("key", F.lit(None).cast("string")), df.limit(0)):
+            got = skew.neighbour(own, ["key"], ["valid_from", "seq"], "content_hash", "n", step)
+            assert got.columns == [*own.columns, "n"]
+            assert rows(got) == rows(_plain_neighbour(own, "content_hash", step))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_key_of_one_time_is_split(spark):
+    """One load time for a whole batch of one key: no window holds them all."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        df = spark.range(5000).selectExpr("'k' AS key", "10L AS valid_from", "id AS seq", "'h' AS content_hash")
+        got = history.versions(df, "key", "valid_from", "seq")
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "windowspecdefinition(key" in plan and "_range" in plan.split("windowspecdefinition(key")[1][:30]
+        assert got.where("is_latest").count() == 1 and got.where("valid_to = 10").count() == 4999
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_null_keys_are_not_registered(spark):
+    hub = spark.createDataFrame([("a", 1)], "k string, v int")
+    batch = spark.createDataFrame([("a", 2), ("b", 3), (None, 4), (None, 5)], "k string, v int")
+    assert rows(tables.insert_ignore(hub, batch, ["k"])) == [("b", 3)]
+    assert rows(tables.null_keys(batch, ["k"])) == [(None, 4), (None, 5)]
+
+
+def test_snapshot_diff_sees_microseconds_and_nulls(spark):
+    before = spark.sql("SELECT 1 AS k, timestamp_micros(1000001) AS t UNION ALL SELECT 2, NULL UNION ALL SELECT 3, NULL")
+    after = spark.sql("SELECT 1 AS k, timestamp_micros(1000002) AS t UNION ALL SELECT 2, NULL UNION ALL SELECT 3, timestamp_micros(0)")
+    assert rows(tables.snapshot_diff(before, after, ["k"], ["t"])) == [(1, "UPDATE"), (3, "UPDATE")]
 
 
 def _doc(key, h, ts, seq):
