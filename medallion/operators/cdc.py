@@ -54,16 +54,22 @@ def parse_entries(entries: DataFrame, profile: SourceProfile = DEFAULT_PROFILE)
         )
 
     parsed = computed_once(filled, ["stream_key", "msg_id", "value"], let(F.from_json("value", _ENVELOPE), event))
+    table, locator = F.coalesce("_table", strip_prefix("stream_key", profile.stream_prefix)), K.stream_locator("stream_key", "msg_id")
     return parsed.select(
-        F.coalesce("_table", strip_prefix("stream_key", profile.stream_prefix)).alias("table_name"),
+        K.surrogate_id(table, "msg_id", locator).alias("bronze_rdb_event_id"),
+        table.alias("table_name"),
         F.col("msg_id").alias("batch_id"),
-        K.stream_locator("stream_key", "msg_id").alias("s3_path"),
+        locator.alias("s3_path"),
         F.lit(1).cast("long").alias("record_count"),
-        "change_operation", "ts_ms", "before", "after", "value", "error",
+        "change_operation",
+        F.timestamp_millis("ts_ms").alias("event_dts"),
+        "ts_ms", "before", "after", "value", "error",
     )
 
 
 def good_events(parsed: DataFrame) -> DataFrame:
+    """Rows of the event table (``schemas.EVENT``) with the images; id and time come from the message, so a
+    replay gives the same rows."""
     return parsed.where("error IS NULL").drop("error", "value")
 
 
@@ -72,17 +78,29 @@ def quarantined(parsed: DataFrame) -> DataFrame:
     return parsed.where("error IS NOT NULL").select("batch_id", "s3_path", "value", "error")
 
 
-def row_events(rows: DataFrame, op: Column | str, key_parts: Sequence[str], profile: SourceProfile = DEFAULT_PROFILE):
-    """Event rows of polled or logged rows: batch id ``no:seq`` and its locator (KEY-9)."""
+def row_events(
+    rows: DataFrame, op: Column | str, key_parts: Sequence[str], profile: SourceProfile = DEFAULT_PROFILE, at: Column | None = None
+) -> DataFrame:
+    """Event rows of polled or logged rows: batch id ``no:seq`` and its locator (KEY-9).
+
+    With the time ``at`` of the change they are whole rows of the event table; the time is part of the id, so each
+    change of a row is an event of its own.
+    """
     operation = F.col(op) if isinstance(op, str) else op
     batch = K.joined(":", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in key_parts])
-    return rows.select(
+    locator = K.row_locator(profile.table_name, *key_parts)
+    columns = [
         F.lit(profile.table_name).alias("table_name"),
         batch.alias("batch_id"),
-        K.row_locator(profile.table_name, *key_parts).alias("s3_path"),
+        locator.alias("s3_path"),
         F.lit(1).cast("long").alias("record_count"),
         operation.alias("change_operation"),
-    )
+    ]
+    if at is not None:
+        moment = at.cast("timestamp")
+        event_id = K.surrogate_id(F.lit(profile.table_name), batch, locator, operation, F.unix_micros(moment))
+        columns = [event_id.alias("bronze_rdb_event_id"), *columns, moment.alias("event_dts")]
+    return rows.select(*columns)
 
 
 def pending_log(log: DataFrame, last_id: int = 0) -> DataFrame:

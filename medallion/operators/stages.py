@@ -191,6 +191,29 @@ def read_stage(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).parquet(path)
 
 
+def run_stage(
+    spark: SparkSession, path: str, schema: T.StructType, pending_rows: Callable[[DataFrame], DataFrame],
+    transform: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """One run of a stage: read its table, take what it does not hold yet, transform, append (INC-1).
+
+    ``pending_rows`` maps the stage's table to the rows to do.  Returns the table after the run; a second run
+    adds nothing.
+    """
+    append_stage(transform(pending_rows(read_stage(spark, path, schema))), path, schema)
+    return read_stage(spark, path, schema)
+
+
+def write_indexed(spark: SparkSession, indexed_ids: DataFrame, path: str, key: str = "staged_id") -> DataFrame:
+    """Record ids as indexed; returns all recorded ids (SNK-7).
+
+    The record only grows: ``mark_indexed`` with it gives every staged row's status, and nothing rewrites the
+    staged rows themselves.
+    """
+    schema = T.StructType([T.StructField(key, indexed_ids.schema[key].dataType)])
+    return run_stage(spark, path, schema, lambda done: indexed_ids.select(key).distinct().join(done, key, "left_anti"), lambda rows: rows)
+
+
 def append_stage(rows: DataFrame, path: str, schema: T.StructType) -> None:
     """Append in the table's column order; the commit is atomic per job, so a failed run adds nothing."""
     rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.mode("append").parquet(path)

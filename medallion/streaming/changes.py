@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from ..operators.stats import operation_counts
 from ..schemas import STREAM_ENTRY
 
 TRIGGER = "5 seconds"
+LOG = logging.getLogger(__name__)
 
 
 def file_entries(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -68,15 +70,16 @@ def write_events(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_entries(batch, profile)
+        parsed = parse_entries(batch, profile).persist()  # read and parsed once for both writes
         target = f"{events_path}/stream_batch={batch_id}"
         good_events(parsed).write.mode("overwrite").parquet(target)
         quarantined(parsed).write.mode("overwrite").parquet(f"{quarantine_path}/stream_batch={batch_id}")
+        parsed.unpersist()
         if on_batch is not None:
             try:
                 on_batch(batch.sparkSession.read.parquet(target), batch_id)
             except Exception as error:  # the event rows stay
-                print(f"downstream call failed for batch {batch_id}: {error}")
+                LOG.warning("downstream call failed for batch %s: %s", batch_id, error)
 
     return _start(entries.writeStream.foreachBatch(write), checkpoint, available_now)
 
@@ -86,11 +89,19 @@ def write_counts(
 ) -> StreamingQuery:
     """Live counts per operation, the whole result after every trigger (CDC-9, AGG-8).
 
-    The result has one row per operation; the newest ``stream_batch`` folder is the current one.
+    The result has one row per operation; the newest ``stream_batch`` folder is the current one, and those
+    before the last two go.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/stream_batch={batch_id:012d}")
+        spark = batch.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for entry in files.listStatus(folder):
+            name = entry.getPath().getName()
+            if name.startswith("stream_batch=") and int(name.partition("=")[2]) < batch_id - 1:
+                files.delete(entry.getPath(), True)
 
     counted = operation_counts(good_events(parse_entries(entries, profile)))
     return _start(counted.writeStream.outputMode("complete").foreachBatch(write), checkpoint, available_now)

@@ -12,10 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..constants import FIRST_SIGHT_TTL_DAYS
 
 
-def _first_sight(key: str, order: str, row_id: str, ttl_days: float, expire_state: bool):
+def _first_sight(key: str, order: str, row_id: str, ttl_days: float, expire: bool):
     ttl = int(ttl_days * 86_400_000_000)
-    # Stored state may go once wall-clock time has passed twice the lifetime since it was set.
-    keep_ms = int(2 * ttl / 1000)
 
     def infer(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -25,17 +23,19 @@ def _first_sight(key: str, order: str, row_id: str, ttl_days: float, expire_stat
         times = np.concatenate([t for t, _ in pieces])
         ids = np.concatenate([i for _, i in pieces])
         places = np.lexsort((ids, times))
+        ordered = times[places]
         before = anchor = state.get[0] if state.exists else None
         operations = np.full(len(times), "update", dtype=object)
-        for place in places:
-            t = times[place]
-            if anchor is None or t > anchor + ttl:
-                anchor = int(t)
-                operations[place] = "insert"
+        # From each sighting that begins a memory to the first one after its end.
+        at = 0 if anchor is None else int(np.searchsorted(ordered, anchor + ttl, "right"))
+        while at < len(ordered):
+            anchor = int(ordered[at])
+            operations[places[at]] = "insert"
+            at = int(np.searchsorted(ordered, anchor + ttl, "right"))
         if anchor != before:
             state.update((anchor,))
-        if expire_state:
-            state.setTimeoutDuration(keep_ms)
+        if expire:  # the memory's end, in event time: a later row is an insert with or without it
+            state.setTimeoutTimestamp(max((anchor + ttl) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: group[0], row_id: ids, "change_operation": operations})
 
     return infer
@@ -47,25 +47,27 @@ def infer_operations_stream(
     order: str,
     row_id: str,
     ttl_days: float = FIRST_SIGHT_TTL_DAYS,
-    expire_state: bool = False,
+    watermark: str | None = None,
 ) -> DataFrame:
     """Streaming ``(key, row_id, change_operation)``.
 
-    ``expire_state`` removes the state of keys unseen for long and is meant for queries that run all the
-    time: with a timeout Spark keeps starting batches, so a bounded run would never end.
+    With a ``watermark`` (how late rows may come) the state of a key goes when event time has passed its
+    lifetime, so the state holds the keys of one lifetime only; a stream that lags loses nothing.
 
     State is one number per key.  Only key, time and id of the rows go to Python, and a micro-batch holds
     at most what the source admits per trigger, so the rows of a hot key are bounded by that limit.
     """
     types = dict(rows.dtypes)
+    if watermark:
+        rows = rows.withWatermark(order, watermark)
     return (
         rows.select(key, order, row_id)
         .groupBy(key)
         .applyInPandasWithState(
-            _first_sight(key, order, row_id, ttl_days, expire_state),
+            _first_sight(key, order, row_id, ttl_days, watermark is not None),
             outputStructType=f"`{key}` {types[key]}, `{row_id}` {types[row_id]}, change_operation string",
             stateStructType="micros long",
             outputMode="append",
-            timeoutConf=GroupStateTimeout.ProcessingTimeTimeout if expire_state else GroupStateTimeout.NoTimeout,
+            timeoutConf=GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout,
         )
     )

@@ -196,3 +196,55 @@ def test_batch_overwrites_only_itself(spark):
     typed = spark.createDataFrame([], schema).schema
     assert rows(batches.read_batch(spark, root, typed)) == [(3, "2026-01-02"), (4, "2026-01-01")]
     assert rows(batches.read_batch(spark, root, typed, "2026-01-02")) == [(3, "2026-01-02")]
+
+
+def test_mark_is_kept_between_polls(spark):
+    from medallion.sources import polling
+
+    path = work_path(spark, "mark")
+    seen = []
+    for source in ([1, 2], [1, 2, 5], [1, 2, 5], [1, 2, 5, 9]):
+        got, commit = polling.poll_round(spark.createDataFrame([(v,) for v in source], "v int"), "v", path)
+        seen.append(sorted(r.v for r in got.collect()))
+        if source != [1, 2, 5, 9]:
+            commit()
+    assert seen == [[1, 2], [5], [], [9]] and polling.stored_mark(spark, path) == 5
+
+
+def test_events_fit_the_event_table(spark):
+    from medallion import schemas
+
+    good = cdc.good_events(cdc.parse_entries(entries(spark)))
+    moment = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    polled = cdc.row_events(spark.createDataFrame([("A", 1, "insert")], "no string, seq int, op string"), "op", ["no", "seq"], at=moment)
+    for frame in (good, polled):
+        table = frame.select(*schemas.EVENT.fieldNames())
+        assert [f.dataType for f in table.schema] == [f.dataType for f in schemas.EVENT]
+        assert all(r.bronze_rdb_event_id for r in table.collect())
+    assert rows(good.select("bronze_rdb_event_id")) == rows(cdc.good_events(cdc.parse_entries(entries(spark))).select("bronze_rdb_event_id"))
+
+
+def test_stream_folder_that_appears_later(spark):
+    root = work_path(spark, "t")
+    all_entries = entries(spark)
+    all_entries.coalesce(1).write.json(f"{root}/in/stream=one")
+    read = changes.file_entries(spark, f"{root}/in/*")
+    args = (f"{root}/events", f"{root}/bad", f"{root}/c")
+    changes.write_events(read, *args).awaitTermination()
+    before = spark.read.parquet(f"{root}/events").count()
+    all_entries.withColumn("msg_id", F.concat("msg_id", F.lit("-later"))).coalesce(1).write.json(f"{root}/in/stream=two")
+    changes.write_events(changes.file_entries(spark, f"{root}/in/*"), *args).awaitTermination()
+    assert before > 0 and spark.read.parquet(f"{root}/events").count() == 2 * before
+
+
+def test_state_ends_in_event_time(spark):
+    """With a watermark the result is the rule's, however late the stream runs."""
+    data = sorted(_events(120), key=lambda e: e[1])
+    root = work_path(spark, "t")
+    for part in range(3):
+        spark.createDataFrame(data[part * 40 : part * 40 + 40], "k string, ts timestamp, id int").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema("k string, ts timestamp, id int").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    out = sightings.infer_operations_stream(stream, "k", "ts", "id", watermark="1 day")
+    out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start().awaitTermination(120)
+    got = {r.id: r.change_operation for r in spark.read.parquet(f"{root}/out").collect()}
+    assert got == _python_rule(data, timedelta(days=7))

@@ -30,13 +30,13 @@ def run_stages(spark, root, docs):
     def t(name):
         return stages.read_stage(spark, f"{root}/{name}", TABLES[name])
 
-    def add(name, rows_):
-        stages.append_stage(rows_, f"{root}/{name}", TABLES[name])
+    def run(name, pending, transform):
+        stages.run_stage(spark, f"{root}/{name}", TABLES[name], pending, transform)
 
-    add("masked", stages.mask_stage(stages.to_mask(docs, t("masked"))))
-    add("chunked", stages.chunk_stage(stages.to_chunk(t("masked"), t("chunked")), keep_all=False))
-    add("enriched", stages.enrich_stage(stages.to_enrich(t("chunked"), t("masked"), docs, t("enriched"))))
-    add("staged", stages.stage_stage(stages.to_stage(t("enriched"), t("chunked"), t("masked"), docs, t("staged"))))
+    run("masked", lambda done: stages.to_mask(docs, done), stages.mask_stage)
+    run("chunked", lambda done: stages.to_chunk(t("masked"), done), lambda rows_: stages.chunk_stage(rows_, keep_all=False))
+    run("enriched", lambda done: stages.to_enrich(t("chunked"), t("masked"), docs, done), stages.enrich_stage)
+    run("staged", lambda done: stages.to_stage(t("enriched"), t("chunked"), t("masked"), docs, done), stages.stage_stage)
     return {name: t(name) for name in TABLES}
 
 
@@ -149,3 +149,12 @@ def test_detector_hook(spark):
         return lambda texts: [[("PERSON", t.index("Kim"), t.index("Kim") + 3, 0.9)] if "Kim" in t else [] for t in texts]
 
     assert rows(spans.detect_spans(docs, "doc", "t", detector)) == [(1, "PERSON", 3, 6, 0.9)]
+
+
+def test_indexed_ids_are_recorded_once(spark):
+    path = work_path(spark, "indexed")
+    staged = spark.createDataFrame([("a", "staged"), ("b", "staged"), ("c", "staged")], "staged_id string, indexing_status string")
+    stages.write_indexed(spark, spark.createDataFrame([("a",), ("a",)], "staged_id string"), path)
+    done = stages.write_indexed(spark, spark.createDataFrame([("a",), ("c",)], "staged_id string"), path)
+    assert rows(done) == [("a",), ("c",)]
+    assert rows(stages.mark_indexed(staged, done).select("staged_id", "indexing_status")) == [("a", "indexed"), ("b", "staged"), ("c", "indexed")]
