@@ -7,8 +7,9 @@ agree in a register with the probability of their weighted Jaccard similarity.
 register of its text, so a text costs little more than its distinct shingles.
 
 Signatures are cut into bands.  Texts that share a band are compared with one of them, the bucket's pivot, by
-their whole multisets.  Distances to the pivot, sizes and the classes found so far rule most other pairs of the
-bucket out, without loss since the distance is a metric; what they leave is compared too.
+their whole multisets; where a bucket then holds several classes, with its member of most links too.  What
+still stands in one bucket but in two classes is searched by an exact prefix filter, so that no pair that shares
+a band and is similar enough is missed, and no group's pairs are listed.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, groups, text_of, written
@@ -222,42 +223,94 @@ def classes(
     texts = source.join(asked, source["key"].eqNullSafe(asked["key"]) & (source["digest"] == asked["digest"])).select("node", "text")
     texts = written(texts.dropDuplicates(["node"]), "texts")
 
-    seen = written(_verify(firsts, texts, size), "pivot-pairs")
-    linked = seen.where(F.col("similarity") >= threshold)
+    linked = written(_verify(firsts, texts, size).where(F.col("similarity") >= threshold), "pivot-links")
     found = components(linked, "pivots")
-    rest = written(_rest(buckets, seen, found, threshold), "other-pairs")
-    if not rest.isEmpty():
-        more = written(_verify(rest, texts, size).where(F.col("similarity") >= threshold), "other-links")
-        if not more.isEmpty():
-            found = components(linked.select("a", "b").union(more.select("a", "b")), "all")
+    members = _open(buckets, found)
+    if not members.isEmpty():
+        found = _joined(found, _verify(_busiest(members, linked), texts, size), threshold, "busiest")
+        members = _open(buckets, found)
+        found = _joined(found, _verify(_prefix_pairs(members, texts, size, threshold), texts, size), threshold, "others")
     labelled = signed.select("key", "node").join(found, "node", "left").select("key", F.coalesce("class", "node").alias("class"))
     least = labelled.groupBy("class").agg(F.min("key").alias("class_id"))
     return labelled.join(least, "class").select("key", "class_id")
 
 
-def _rest(buckets: DataFrame, seen: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of a bucket that may be linked though their pivot doesn't link them, each once.
+def _open(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (band, node, n, class) of the buckets that hold more than one class."""
+    members = buckets.join(found, "node", "left").select("band", "node", "n", F.coalesce("class", "node").alias("class"))
+    several = members.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("band")
+    return written(members.join(several, "band"), "open-buckets")
 
-    Left out, without loss: pairs of one class already; pairs whose distances to the pivot differ by more than a
-    link allows; pairs whose sizes do.
+
+def _busiest(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each open bucket's member with the most links and the members of other classes.
+
+    The member in the middle of a crowd has the most links and joins what the first pivots left apart.
+    """
+    degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    ranked = members.join(degree, "node", "left")
+    middle = ranked.groupBy("band").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "node", "class")).alias("m"))
+    pairs = members.join(middle, "band").where(F.col("class") != F.col("m.class"))
+    return pairs.select(F.col("m.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _joined(found: DataFrame, verified: DataFrame, threshold: float, name: str) -> DataFrame:
+    """``found`` after the links among ``verified`` join classes; only the classes' graph is searched."""
+    links = written(verified.where(F.col("similarity") >= threshold).select("a", "b"), f"{name}-links")
+    if links.isEmpty():
+        return found
+    a, b = (found.select(F.col("node").alias(c), F.col("class").alias(f"class_{c}")) for c in ("a", "b"))
+    between = links.join(a, "a", "left").join(b, "b", "left")
+    # A node that no link had reached is a class of its own.
+    edges = between.select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b"))
+    merged = components(edges, name)
+    old = found.join(merged.select(F.col("node").alias("class"), F.col("class").alias("into")), "class", "left")
+    old = old.select("node", F.coalesce("into", "class").alias("class"))
+    new = merged.join(found.select("node"), "node", "left_anti")
+    return written(old.unionByName(new.select("node", "class")).dropDuplicates(["node"]), f"{name}-all")
+
+
+def _prefix_pairs(members: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Pairs of open buckets' members of two classes that may still be linked; no link between two members is lost.
+
+    Elements are a text's shingles, its repeats numbered, ordered by how few members have them.  Two multisets of
+    similarity ``t`` share an element among the first ``n - ceil(t n) + 1`` of both, and at their first common
+    element enough elements must be left in both.  So a text with many shingles of its own meets nobody, however
+    large the crowd that shares its others.
     """
-    far = 1 - threshold + 1e-9
-    apart = F.coalesce(1 - F.col("similarity"), F.lit(0.0))
-    members = (
-        buckets.join(seen.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "similarity"), ["pivot", "node"], "left")
-        .join(found, "node", "left").select("band", "node", "n", apart.alias("apart"), F.coalesce("class", "node").alias("class"))
-    )
-    # Only buckets of more than one class matter.
-    open_bands = members.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("band")
-    members = members.join(open_bands, "band")
-    outside = members.where(F.col("apart") > far)  # one side of each pair is not linked to the pivot
-    x, y = outside.alias("x"), members.alias("y")
-    pairs = x.join(y, F.col("x.band") == F.col("y.band")).where(
-        (F.col("x.class") != F.col("y.class")) & (F.col("y.apart") > 0)
-        & (F.abs(F.col("x.apart") - F.col("y.apart")) <= far)
-        & (F.least("x.n", "y.n") >= (threshold - 1e-9) * F.greatest("x.n", "y.n")))
-    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    return pairs.join(seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own in groups(batch, "text", _GROUP_CHARS):
+                out = []
+                for text in own.column("text").to_pylist():
+                    keys, counts = shingles(text, size)
+                    again = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                    out.append(_mix(np.repeat(keys, counts) + again.astype(np.uint64) * _FACTOR).view(np.int64))
+                yield pa.RecordBatch.from_arrays([own.column("node"), pa.array(out, pa.list_(pa.int64()))], names=["node", "elements"])
+
+    nodes = members.select("node", "n", "class").distinct()
+    elements = texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(run, "node binary, elements array<long>")
+    elements = elements.select("node", F.explode("elements").alias("element"))
+    often = elements.groupBy("element").agg(F.count("*").alias("held")).where("held > 1")
+    shared = elements.join(often, "element")
+    order = Window.partitionBy("node").orderBy("held", "element")  # the elements of one text
+    ranked = shared.withColumn("place", F.row_number().over(order) - 1).withColumn("n_shared", F.count("*").over(Window.partitionBy("node")))
+    # Elements nobody else has come first.
+    ranked = ranked.join(nodes, "node").withColumn("place", F.col("place") + F.col("n") - F.col("n_shared"))
+    prefix = ranked.where(F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9)).select("element", "node", "n", "class", "place")
+    prefix = written(prefix, "prefixes")
+    several = prefix.groupBy("element").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("element")
+    # Those of a text's elements that could pair it before this one: a pair counts at its first common element only.
+    before = Window.partitionBy("node").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    prefix = written(prefix.join(several, "element").withColumn("before", F.collect_list("element").over(before)), "open-prefixes")
+    x, y = prefix.alias("x"), prefix.alias("y")
+    left = 1 + F.least(F.col("x.n") - F.col("x.place") - 1, F.col("y.n") - F.col("y.place") - 1)
+    pairs = x.join(y, F.col("x.element") == F.col("y.element")).where(
+        (F.col("x.class") < F.col("y.class"))
+        & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9)
+        & (left >= threshold / (1 + threshold) * (F.col("x.n") + F.col("y.n")) - 1e-9)
+        & ~F.arrays_overlap("x.before", "y.before"))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def deduplicate(df: DataFrame, text: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
