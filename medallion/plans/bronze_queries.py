@@ -10,7 +10,7 @@ from ..operators import bronze as B
 from ..operators import tables as T
 from ..session import work_path
 from ..sources import batches
-from .inputs import LOAD_TS, REPORTS_SQL, reports, sql_class
+from .inputs import LOAD_TS, REPORTS_SQL, reports
 from .registry import query, table
 
 _PK = "pilot_problem_no || '||' || CAST(reform_numseq AS VARCHAR)"
