@@ -14,7 +14,6 @@ block, packed into arrays by partition, so a frequent n-gram is never a hot key.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,24 +34,10 @@ MICRO = 1_000_000
 BLOCK_CHARS = 4_000_000
 PARTITION_BYTES = 8_000_000
 #: N-grams are dealt out by this many leading bits of their key, in equal ranges.
-CELL_BITS = 16
+CELL_BITS = 20
 
 _LOW = 64 - CELL_BITS
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_CACHE_WORDS = 400_000
-
-
-class _WordKeys(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE_WORDS:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word, seed=4)
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
-_KEYS = _WordKeys()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -146,23 +131,28 @@ def _unpack_counts(data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _pack_words(words: np.ndarray) -> bytes:
-    """Word keys as places in the sorted distinct keys, the commonest first, by bytes of equal weight."""
-    keys, inverse, counts = np.unique(words, return_inverse=True, return_counts=True)
+def _pack_words(words: dict[bytes, int], places: np.ndarray) -> bytes:
+    """Words of a block: the distinct ones, commonest first, and their places, by bytes of equal weight.
+
+    ``words`` has a place for each word, ``places`` those of the texts' words in order.
+    """
+    counts = np.bincount(places, minlength=len(words))
     order = np.argsort(-counts, kind="stable")
-    rank = np.empty(len(keys), np.uint32)
-    rank[order] = np.arange(len(keys))
-    planes = rank[inverse].astype("<u4").view(np.uint8).reshape(-1, 4).T.copy()
-    body = len(keys).to_bytes(8, "little") + len(words).to_bytes(8, "little") + keys[order].astype("<u8").tobytes() + planes.tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(body)
+    rank = np.empty(len(words), np.uint32)
+    rank[order] = np.arange(len(words))
+    planes = rank[places].astype("<u4").view(np.uint8).reshape(-1, 4).T.copy()
+    names = list(words)
+    body = b" ".join([names[i] for i in order.tolist()])
+    return zstandard.ZstdCompressor(level=3).compress(len(body).to_bytes(8, "little") + body + planes.tobytes())
 
 
 def _unpack_words(data: bytes) -> np.ndarray:
+    """Keys of a block's words in order."""
     body = zstandard.ZstdDecompressor().decompress(data)
-    n_keys, n = int.from_bytes(body[:8], "little"), int.from_bytes(body[8:16], "little")
-    keys = np.frombuffer(body, "<u8", n_keys, 16)
-    planes = np.frombuffer(body, np.uint8, 4 * n, 16 + 8 * n_keys).reshape(4, n)
-    return keys[np.ascontiguousarray(planes.T).view("<u4").reshape(-1)] if n else np.zeros(0, np.uint64)
+    end = 8 + int.from_bytes(body[:8], "little")
+    keys = np.array([xxhash.xxh3_64_intdigest(w, seed=4) for w in body[8:end].split()], np.uint64)
+    planes = np.frombuffer(body, np.uint8, -1, end).reshape(4, -1)
+    return keys[np.ascontiguousarray(planes.T).view("<u4").reshape(-1)]
 
 
 def _cells(bucket: int, buckets: int) -> tuple[int, int]:
@@ -172,20 +162,25 @@ def _cells(bucket: int, buckets: int) -> tuple[int, int]:
 
 
 def _pack_keys(keys: np.ndarray, cells: tuple[int, int]) -> bytes:
-    """Sorted keys of some cells: how many each cell has, and the bits below."""
-    per_cell = np.bincount((keys >> np.uint64(_LOW)).astype(np.int64) - cells[0], minlength=cells[1] - cells[0]).astype("<u4")
-    low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_LOW // 8]
-    return per_cell.tobytes() + np.ascontiguousarray(low).tobytes()
+    """Sorted keys of some cells: for each cell a one per key and a zero, then the 44 bits below."""
+    n, width = len(keys), cells[1] - cells[0]
+    ones = np.zeros(n + width, np.uint8)
+    ones[(keys >> np.uint64(_LOW)).astype(np.int64) - cells[0] + np.arange(n)] = 1
+    parts = np.append(keys, np.zeros(n % 2, np.uint64)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    half = parts[::2, 5] & 15 | parts[1::2, 5] << 4
+    return n.to_bytes(8, "little") + np.packbits(ones).tobytes() + half.tobytes() + np.ascontiguousarray(parts[:n, :5]).tobytes()
 
 
 def _unpack_keys(data: bytes, cells: tuple[int, int]) -> np.ndarray:
-    width = cells[1] - cells[0]
-    per_cell = np.frombuffer(data, "<u4", width)
-    low = np.frombuffer(data, np.uint8, -1, 4 * width).reshape(-1, _LOW // 8)
-    whole = np.zeros((len(low), 8), np.uint8)
-    whole[:, :_LOW // 8] = low
-    high = np.repeat(np.arange(cells[0], cells[1], dtype=np.uint64), per_cell) << np.uint64(_LOW)
-    return whole.view("<u8").reshape(-1) | high
+    n, width = int.from_bytes(data[:8], "little"), cells[1] - cells[0]
+    bits = -(-(n + width) // 8)
+    ones = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, bits, 8), count=n + width))
+    half = np.frombuffer(data, np.uint8, (n + 1) // 2, 8 + bits)
+    whole = np.zeros((n, 8), np.uint8)
+    whole[:, :5] = np.frombuffer(data, np.uint8, 5 * n, 8 + bits + len(half)).reshape(-1, 5)
+    whole[::2, 5] = half & 15
+    whole[1::2, 5] = half[:n // 2] >> 4
+    return whole.view("<u8").reshape(-1) | (ones - np.arange(n) + cells[0]).astype(np.uint64) << np.uint64(_LOW)
 
 
 def _blocks(df: DataFrame, keep: str, text: str) -> DataFrame:
@@ -193,29 +188,30 @@ def _blocks(df: DataFrame, keep: str, text: str) -> DataFrame:
     narrow = df.select(F.col(f"`{keep}`").alias("keep"), text_of(df, text).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId(), 0
+        part, n, chars = TaskContext.get().partitionId(), 0, 0
         held: list[pa.Array] = []
         sizes: list[int] = []
-        keys: list[np.ndarray] = []
-        chars = 0
+        words: dict[bytes, int] = {}
+        places: list[np.ndarray] = []
 
         def block() -> pa.RecordBatch:
             docs = pa.concat_arrays(held)
             return pa.RecordBatch.from_arrays([
                 pa.array([part << 32 | n], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs),
-                pa.array([sizes], pa.list_(pa.int64())), pa.array([_pack_words(np.concatenate(keys))], pa.binary())],
+                pa.array([sizes], pa.list_(pa.int64())), pa.array([_pack_words(words, np.concatenate(places))], pa.binary())],
                 names=["block", "docs", "sizes", "words"])
 
         for batch in batches:
             for own in groups(batch, "text", BLOCK_CHARS // 4):
-                split = [words_of(t) for t in own.column("text").to_pylist()]
-                sizes += map(len, split)
-                keys.append(np.fromiter(map(_KEYS.__getitem__, chain.from_iterable(split)), np.uint64, sum(map(len, split))))
+                for text in own.column("text").to_pylist():
+                    split = words_of(text)
+                    sizes.append(len(split))
+                    places.append(np.array([words.setdefault(w, len(words)) for w in split], np.int64))
                 held.append(own.column("keep"))
                 chars += own.column("text").nbytes
                 if chars >= BLOCK_CHARS:
                     yield block()
-                    n, held, sizes, keys, chars = n + 1, [], [], [], 0
+                    n, held, sizes, words, places, chars = n + 1, [], [], {}, [], 0
         if held:
             yield block()
 

@@ -54,14 +54,19 @@ def test_packing_round_trips():
     rng = np.random.default_rng(2)
     counts = rng.choice([0, 0, 1, 7, 254, 255, 256, 10**12], 1001)
     assert (lm._unpack_counts(lm._pack_counts(counts), 1001) == counts).all()
-    words = rng.integers(0, 2**63, 50, np.uint64)[rng.integers(0, 50, 700)]
-    assert (lm._unpack_words(lm._pack_words(words)) == words).all() and not len(lm._unpack_words(lm._pack_words(words[:0])))
+    texts = [b"a bb a ccc", b"", b"bb bb", b"x" * 300]
+    words: dict[bytes, int] = {}
+    places = np.array([words.setdefault(w, len(words)) for x in texts for w in x.split()], np.int64)
+    names = list(words)
+    key = {w: lm._unpack_words(lm._pack_words({w: 0}, np.zeros(1, np.int64)))[0] for w in names}
+    assert lm._unpack_words(lm._pack_words(words, places)).tolist() == [key[names[i]] for i in places] and len(set(key.values())) == len(key)
+    assert not len(lm._unpack_words(lm._pack_words({}, places[:0])))
     keys = np.unique(rng.integers(0, 2**64 - 1, 5000, np.uint64))
-    for buckets in (1, 3, 100, 1 << 16):
+    for buckets in (1, 3, 100, 1 << 20):
         seen = 0
         for b in range(buckets):
             low, high = lm._cells(b, buckets)
-            own = keys[(keys >> np.uint64(48) >= low) & (keys >> np.uint64(48) < high)] if buckets < 1000 or b < 200 else keys[:0]
+            own = keys[(keys >> np.uint64(44) >= low) & (keys >> np.uint64(44) < high)] if buckets < 1000 or b < 200 else keys[:0]
             assert (lm._unpack_keys(lm._pack_keys(own, (low, high)), (low, high)) == own).all()
             seen += len(own)
         assert buckets > 1000 or seen == len(keys)
