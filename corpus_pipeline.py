@@ -6,36 +6,56 @@ turns what is left into packed token sequences.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from medallion.llm import decontaminate, near_dup, packing, pii, quality
-from medallion.llm.common import table, written
+from medallion.llm.common import Scratch, table
+from medallion.session import materialized
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+_work = Scratch()
 
+
+def _stage(fn: Stage) -> Stage:
+    """Every stage's result is written before the next one begins, so the work tables before it can go."""
+    @functools.wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _work.drop(spark)
+        with _work:
+            return fn(spark, docs, sf_dir)
+
+    return run
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     return quality.keep_good(docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
     return near_dup.deduplicate(docs)
 
 
+@_stage
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), "documents")
 
 
+@_stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind; ``n_chars`` follows the text."""
     return pii.redact(docs, length="n_chars")
 
 
+@_stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the documents, placed in sequences."""
     return packing.pack_documents(docs)
@@ -57,5 +77,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each written as Parquet and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = materialized(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

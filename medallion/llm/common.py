@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from medallion.plans.registry import table
 from medallion.session import checkpoint_root, work_path
 
-__all__ = ["checkpoint_root", "fresh", "filesystem", "groups", "table", "text_of", "work_path", "written"]
+__all__ = ["Scratch", "checkpoint_root", "fresh", "filesystem", "groups", "table", "text_of", "work_path", "written"]
 
 #: Texts are handled in groups of about so many characters, whatever an Arrow batch holds.
 GROUP_CHARS = 4_000_000
@@ -25,9 +25,41 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column], F.lit(""))
 
 
+class Scratch:
+    """The work tables that ``written`` makes while it is open, to be deleted once nothing reads them."""
+
+    _open: list[Scratch] = []
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        Scratch._open.pop()
+        if Scratch._open:  # what is left is the outer one's
+            Scratch._open[-1].paths += self.paths
+
+    def drop(self, spark: SparkSession, *still_read: DataFrame) -> None:
+        """Delete the tables but those that ``still_read`` (frames as ``written`` returned them) hold."""
+        kept = [f for df in still_read for f in df.inputFiles()]
+        left = []
+        for path in self.paths:
+            if any(f"/{path.rpartition('/')[2]}/" in f for f in kept):  # a folder's name is its own
+                left.append(path)
+                continue
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        self.paths = left
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame below the shared folder and read it back: no executor loss makes it run again."""
     path = work_path(df.sparkSession, name)
+    if Scratch._open:
+        Scratch._open[-1].paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, groups, text_of, written
+from .common import Scratch, fresh, groups, text_of, written
 from .decontaminate import words_of
 
 SHINGLE = 5
@@ -31,6 +31,8 @@ THRESHOLD = 0.8
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8^6)^32, about 6 in 100,000.
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
+#: A graph of so many edges (a few megabytes) is one task's work.
+FINISH_EDGES = 100_000
 #: Words whose hash a worker keeps; results don't depend on it.
 CACHE_WORDS = 400_000
 _GROUP_CHARS = 2_000_000
@@ -172,17 +174,18 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similarity double")
 
 
-def components(edges: DataFrame, name: str = "links") -> DataFrame:
+def components(edges: DataFrame, name: str = "links", finish_edges: int = FINISH_EDGES) -> DataFrame:
     """(node, class) of the nodes of ``edges`` (a, b): each class is a connected component, named by one of its nodes.
 
     Each round every node joins the neighbour that a fresh random order puts first, itself included, and the
-    edges are drawn between what is left: a constant share of the nodes goes each time, whatever the shape.
+    edges are drawn between what is left: a constant share of the nodes goes each time, whatever the shape.  Once
+    ``finish_edges`` or fewer are left, by count, one task joins the rest.
     """
     edges = written(edges.select("a", "b").where("a != b").distinct(), f"{name}-edges")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    found = nodes.withColumn("class", F.col("node"))
+    found = written(nodes.withColumn("class", F.col("node")), f"{name}-classes")
     round_no = 0
-    while not edges.isEmpty():
+    while (left := edges.count()) > finish_edges:
         def order(c: str, seed: int = round_no) -> Column:
             return F.struct(F.xxhash64(c, F.lit(seed)).alias("h"), F.col(c).alias("node"))
 
@@ -193,13 +196,39 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
         edges = written(
             edges.join(a, "a").join(b, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
             .where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges-{round_no}")
-        found = written(
-            found.join(first.withColumnRenamed("v", "class"), "class", "left").select("node", F.coalesce("to", "class").alias("class")),
-            f"{name}-classes-{round_no}")
+        found = written(_renamed(found, first.withColumnRenamed("v", "class")), f"{name}-classes-{round_no}")
         round_no += 1
+    if left:
+        last = edges.coalesce(1).mapInArrow(_union_find, "class binary, to binary")
+        found = written(_renamed(found, last), f"{name}-classes-last")
     return found
 
 
+def _renamed(found: DataFrame, names: DataFrame) -> DataFrame:
+    """``found`` with each class replaced by its new name in ``names`` (class, to), if it has one."""
+    return found.join(names, "class", "left").select("node", F.coalesce("to", "class").alias("class"))
+
+
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least node of each node's component."""
+    root: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            root.setdefault(a, a)
+            root.setdefault(b, b)
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    if root:
+        names = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([find(x) for x in names], pa.binary())], names=["class", "to"])
+
+
 def classes(
     df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD,
 ) -> DataFrame:
@@ -209,27 +238,29 @@ def classes(
     (null, empty) are copies of each other.  A null key stays null and names no class unless all its keys are
     null.  Repeated rows are copies.  An empty table gives no rows.
     """
-    signed = written(sign(df, key, text, size), "signatures")
-    # Copies, and texts of one multiset, are one node from here on.
-    nodes = signed.groupBy("node").agg(
-        F.min(F.struct("key", "digest")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    banded = nodes.select("node", "n", F.explode("bands").alias("band"))
-    pivots = banded.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1").drop("members")
-    buckets = written(banded.join(pivots, "band"), "buckets")
-    firsts = buckets.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    asked = buckets.select("node").distinct().join(nodes.select("node", "rep"), "node").select("node", "rep.key", "rep.digest")
-    source = df.select(F.col(f"`{key}`").alias("key"), text_of(df, text).cast("binary").alias("text"))
-    source = source.withColumn("digest", F.unhex(F.md5("text")))
-    texts = source.join(asked, source["key"].eqNullSafe(asked["key"]) & (source["digest"] == asked["digest"])).select("node", "text")
-    texts = written(texts.dropDuplicates(["node"]), "texts")
-
-    linked = written(_verify(firsts, texts, size).where(F.col("similarity") >= threshold), "pivot-links")
-    found = components(linked, "pivots")
-    members = _open(buckets, found)
-    if not members.isEmpty():
-        found = _joined(found, _verify(_busiest(members, linked), texts, size), threshold, "busiest")
+    with Scratch() as work:
+        signed = written(sign(df, key, text, size), "signatures")
+        # Copies, and texts of one multiset, are one node from here on.
+        nodes = signed.groupBy("node").agg(
+            F.min(F.struct("key", "digest")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        banded = nodes.select("node", "n", F.explode("bands").alias("band"))
+        pivots = banded.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1").drop("members")
+        buckets = written(banded.join(pivots, "band"), "buckets")
+        firsts = buckets.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+        asked = buckets.select("node").distinct().join(nodes.select("node", "rep"), "node").select("node", "rep.key", "rep.digest")
+        source = df.select(F.col(f"`{key}`").alias("key"), text_of(df, text).cast("binary").alias("text"))
+        source = source.withColumn("digest", F.unhex(F.md5("text")))
+        texts = source.join(asked, source["key"].eqNullSafe(asked["key"]) & (source["digest"] == asked["digest"])).select("node", "text")
+        texts = written(texts.dropDuplicates(["node"]), "texts")
+
+        linked = written(_verify(firsts, texts, size).where(F.col("similarity") >= threshold), "pivot-links")
+        found = components(linked, "pivots")
         members = _open(buckets, found)
-        found = _joined(found, _verify(_prefix_pairs(members, texts, size, threshold), texts, size), threshold, "others")
+        if not members.isEmpty():
+            found = _joined(found, _verify(_busiest(members, linked), texts, size), threshold, "busiest")
+            members = _open(buckets, found)
+            found = _joined(found, _verify(_prefix_pairs(members, texts, size, threshold), texts, size), threshold, "others")
+        work.drop(df.sparkSession, signed, found)
     labelled = signed.select("key", "node").join(found, "node", "left").select("key", F.coalesce("class", "node").alias("class"))
     least = labelled.groupBy("class").agg(F.min("key").alias("class_id"))
     return labelled.join(least, "class").select("key", "class_id")

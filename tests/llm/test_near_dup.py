@@ -71,10 +71,11 @@ def test_signature_of_a_text_does_not_depend_on_its_neighbours():
         assert (n.signatures([bag]) == together[i]).all()
 
 
-def test_components(llm):
+@pytest.mark.parametrize("finish_edges", [n.FINISH_EDGES, 0, 30])
+def test_components(llm, finish_edges):
     path = [(bytes([i // 256, i % 256]), bytes([(i + 1) // 256, (i + 1) % 256])) for i in range(200)]
     other = [(b"x", b"y"), (b"y", b"z"), (b"z", b"x"), (b"q", b"q")]
-    found = n.components(llm.createDataFrame(path + other, "a binary, b binary")).collect()
+    found = n.components(llm.createDataFrame(path + other, "a binary, b binary"), "test", finish_edges).collect()
     by = defaultdict(set)
     for r in found:
         by[bytes(r["class"])].add(bytes(r["node"]))
@@ -85,8 +86,10 @@ def _words(rng, k):
     return [f"w{rng.randrange(4000)}" for _ in range(k)]
 
 
-def test_chains_hubs_and_passages_like_brute_force(llm):
+@pytest.mark.parametrize("finish_edges", [n.FINISH_EDGES, 0])
+def test_chains_hubs_and_passages_like_brute_force(llm, monkeypatch, finish_edges):
     """Links that don't go by the pivot, a common passage, copies, short texts."""
+    monkeypatch.setattr(n.components, "__defaults__", ("links", finish_edges))
     rng = random.Random(4)
     rows, key = [], 0
 

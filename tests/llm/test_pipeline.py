@@ -6,7 +6,8 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from medallion.llm import decontaminate, near_dup, packing, pii, quality, queries
-from medallion.llm.common import table, written
+from medallion.llm.common import table
+from medallion.session import materialized
 from tools.check_queries import TABLES, rows_of
 
 
@@ -33,7 +34,7 @@ def test_stages(llm, sf):
     docs = table(llm, sf, "documents")
     kept = [docs]
     for name, stage in corpus_pipeline.STAGES:
-        kept.append(written(stage(llm, kept[-1], sf), f"test-{name}"))
+        kept.append(materialized(stage(llm, kept[-1], sf), f"test-{name}"))
     assert all(k.columns == docs.columns for k in kept[:-1])
     rows = [{r["doc_id"]: r for r in k.collect()} for k in kept[:-1]]
 
@@ -55,8 +56,8 @@ def test_stages(llm, sf):
 
 def test_run_takes_an_empty_table(llm, sf):
     docs = table(llm, sf, "documents").limit(0)
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(llm, docs, sf)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialized(stage(llm, docs, sf), f"empty-{name}")
         assert docs.count() == 0
 
 
