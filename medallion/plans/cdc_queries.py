@@ -86,16 +86,16 @@ def cdc_quarantine(spark, d):
 
 @query(
     "poll_two_rounds",
-    """WITH a AS (SELECT * FROM orders WHERE o_orderdate < timestamp '1995-01-01'), m AS (SELECT max(o_orderdate) AS mark FROM a)
+    """WITH a AS (SELECT * FROM orders WHERE o_orderdate < timestamp '1999-01-01'), m AS (SELECT max(o_orderdate) AS mark FROM a)
 SELECT 1 AS round, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM a
-UNION ALL SELECT 2, count(*), sum(o_orderkey)::BIGINT FROM orders, m WHERE o_orderdate > mark
+UNION ALL SELECT 2, count(*), sum(o_orderkey)::BIGINT FROM orders, m WHERE o_orderdate > coalesce(mark, timestamp '0001-01-01')
 UNION ALL SELECT 3, 0, NULL""",
 )
 def poll_two_rounds(spark, d):
     """SRC-4: the source as it was, as it is now, and again; the mark is stored between the polls."""
     path, orders = work_path(spark, "mark"), table(spark, d, "orders")
     rounds = None
-    for i, source in enumerate((orders.where("o_orderdate < timestamp '1995-01-01'"), orders, orders), 1):
+    for i, source in enumerate((orders.where("o_orderdate < timestamp '1999-01-01'"), orders, orders), 1):
         rows, commit = polling.poll_round(source, "o_orderdate", path)
         seen = rows.agg(F.lit(i).alias("round"), F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
         commit()
