@@ -32,10 +32,15 @@ SIBLINGS = 3.0
 # inside is no markup, elements that end an open element of the same kind.
 _INLINE = frozenset(
     "a abbr acronym area b bdi bdo big br cite code data del dfn em embed font i img ins kbd label map mark nobr q "
-    "rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_SKIPPED = frozenset("button datalist head iframe input math meter noembed noframes noscript object optgroup option progress "
+    "rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub "
+    "msubsup msup mtable mtd mtext mtr munder munderover none param semantics".split())
+_SKIPPED = frozenset("annotation annotation-xml button datalist iframe input meter noembed noframes optgroup option progress "
                      "script select style svg template textarea title canvas audio video".split())
 _RAW = frozenset("iframe noembed noframes script style textarea title xmp".split())
+# Elements that stand in a line of text or around blocks.
+_EITHER = frozenset("noscript object".split())
+_LINES = frozenset("dt figcaption h1 h2 h3 h4 h5 h6 p pre".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
@@ -87,7 +92,7 @@ def parse(source: str) -> tuple[list[_Node], list[tuple[int, str]]]:
     """Block elements in page order, parents first, and the text blocks: (node, text), white space folded.
 
     Tags that don't match are passed over; a missing end is where the parent ends.  Nesting is kept on a stack
-    of its own, so depth has no limit.
+    of its own, so depth has no limit.  What may stand in a head has no text, so a head needs no end.
     """
     nodes, blocks = [_Node("body", -1, "none", 1, "body")], []
     stack, text, linked, at, skip = [0], [], 0, 0, ""
@@ -99,9 +104,8 @@ def parse(source: str) -> tuple[list[_Node], list[tuple[int, str]]]:
             blocks.append((stack[-1], whole))
             nodes[stack[-1]].own += len(whole)
 
-    for m in _MARKUP.finditer(source):
-        if m.start() < at:
-            continue  # inside a script or the like
+    # Each search starts where the last tag or script ended: markup that seems to begin inside a script is none.
+    while m := _MARKUP.search(source, at):
         if m.start() > at and not skip:
             piece = html.unescape(source[at:m.start()])
             text.append(piece)
@@ -112,16 +116,19 @@ def parse(source: str) -> tuple[list[_Node], list[tuple[int, str]]]:
         if not tag:
             continue
         end = bool(m[1])
+        if tag in _RAW and tag in _SKIPPED and not end:
+            # In a drawing these are plain elements: they may be empty, and end with the drawing.
+            if skip != "svg" or not m[3].endswith("/"):
+                stop = re.compile(rf"</(?:{tag}{'|svg' if skip == 'svg' else ''})(?=[\s/>])", re.I).search(source, at)
+                at = stop.start() if stop else len(source)
+            continue
         if skip:
             skip = "" if end and tag == skip else skip
             continue
         if tag in _SKIPPED:
             if end:
                 continue
-            if tag in _RAW:
-                stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
-                at = stop.start() if stop else len(source)
-            elif tag not in _VOID and not m[3].endswith("/"):
+            if tag not in _VOID and not m[3].endswith("/"):
                 skip = tag
             continue
         if tag in _INLINE:
@@ -130,8 +137,11 @@ def parse(source: str) -> tuple[list[_Node], list[tuple[int, str]]]:
             if tag == "br":
                 text.append(" ")
             continue
-        if tag in ("html", "body"):
+        if tag in ("html", "head", "body"):
             continue
+        if tag in _EITHER and (
+                all(nodes[i].tag != tag for i in stack) if end else nodes[stack[-1]].tag in _LINES or any(map(str.strip, text))):
+            continue  # part of the line
         close()
         linked = 0
         if end:

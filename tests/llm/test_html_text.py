@@ -67,6 +67,33 @@ def test_pages(model):
         assert text is None or got == text, page[:80]
 
 
+HEADS = {
+    "<html><head><title>x</title><body><article><h1>Title</h1><p>The story, told.</p></article>": "Title\nThe story, told.",
+    "<html><head><meta charset=utf-8><title>x</title><article><p>The story, told.</p></article>": "The story, told.",
+    "<head><script>for (i=0; i<n; i++) // don't</script><title>x</title></head><body><article><p>It's the story, told.</p></article>": "It's the story, told.",
+    "<body><script>if (i<n) // don't</script><article><p>It's the story, told.</p></article>": "It's the story, told.",
+    "<article><button><script>i<n; // don't</script>Go</button><p>It's the story, told.</p></article>": "It's the story, told.",
+    "<article><svg><style/><title>x</svg><p>The story, told.</p><svg><title>y</title></svg></article>": "The story, told.",
+}
+LINES = {
+    "<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, here.</p></article>": "So x=2 holds, here.",
+    "<article><p>See <object data=a><param name=b>the drawing</object>, please.</p></article>": "See the drawing, please.",
+    "<article><p>See <noscript>the picture</noscript>, please.</p></article>": "See the picture, please.",
+    "<article><p>One, two.</p><object><p>The drawing, told.</p></object><p>Three, four.</p></article>": "One, two.\nThe drawing, told.\nThree, four.",
+    "<article><p>One, two.</p><noscript><p>The picture, told.</p></noscript><p>Three, four.</p></article>": "One, two.\nThe picture, told.\nThree, four.",
+}
+
+
+def test_heads_without_end_and_scripts(model):
+    for page, text in HEADS.items():
+        assert model.main_text(page) == text, page
+
+
+def test_text_of_formulas_and_stand_ins(model):
+    for page, text in LINES.items():
+        assert model.main_text(page) == text, page
+
+
 def test_given_pages(llm, sf, model):
     for r in h.main_texts(table(llm, sf, "pages"), ["html"], model).collect():
         article = re.search(r"<article>(.*)</article>", r["c0"], re.S)[1]
