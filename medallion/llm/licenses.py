@@ -1,7 +1,8 @@
 """Licence scan by sentence rules.
 
 A text is cut into sentences; each is normalised to lower-case words and mapped to the identifier of a known
-licence sentence, with its version if it names one.  A document's identifiers in order are then matched against
+licence sentence, with its version if it names one.  Grants (``licensed under ...``) and SPDX lines may stand
+anywhere in a sentence of any length, several of them too; each gives its identifier.  A document's identifiers in order are then matched against
 ordered rules: the first rule whose sequence stands in them names a licence and uses them up.
 """
 
@@ -17,47 +18,71 @@ from pyspark.sql import functions as F
 from .common import groups, text_of
 
 # Sentences of public licences as normalised words (patterns over whole sentences; a group is the version).
-_GRANT = r"(?:.* )?(?:licensed|released|distributed|available|published|provided|covered|used)(?: \w+)? under (?:the )?(?:terms of )?(?:the )?"
+_GPL_FREE = (
+    r"(?:this \w+|\w+) is free software you can redistribute it and or modify it under the terms of the gnu {}general public license as published by "
+    r"the free software foundation either version (\d+(?: \d+)?) of the license or at your option any later version")
+_GPL_SEE = r"see the gnu {}general public license for more details"
+_GPL_RECEIVED = r"you should have received a copy of the gnu {}general public license along with (?:this \w+|\w+)(?: if not .*)?"
 KNOWN_SENTENCES: tuple[tuple[str, str], ...] = (
-    ("apache-grant", _GRANT + r"apache (?:software )?licen[sc]e(?: version| v)? ?(\d+(?: \d+)?)(?: the license)?(?: you may not use this file except in compliance with the license)?"),
     ("apache-copy", r"you may obtain a copy of the license at(?: https? www apache org licenses license 2 0)?"),
     ("apache-warranty", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("apache-limits", r"see the license for the specific language governing permissions and limitations under the license"),
-    ("gpl-grant", _GRANT + r"(?:gnu )?(?:general public licen[sc]e|gpl)(?: version| v)? ?(\d+(?: \d+)?)(?: only| or later)?"),
-    ("lgpl-grant", _GRANT + r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl)(?: version| v)? ?(\d+(?: \d+)?)(?: only| or later)?"),
-    ("agpl-grant", _GRANT + r"(?:gnu )?(?:affero general public licen[sc]e|agpl)(?: version| v)? ?(\d+(?: \d+)?)(?: only| or later)?"),
-    ("gpl-free", r"(?:this program|this file|\w+) is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version (\d+) of the license or at your option any later version"),
-    ("gpl-hope", r"(?:this program|this file|\w+) is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
-    ("gpl-see", r"see the gnu general public license for more details"),
-    ("gpl-received", r"you should have received a copy of the gnu general public license along with (?:this program|\w+)(?: if not see .*)?"),
-    ("mit-grant", _GRANT + r"(?:mit|expat) licen[sc]e"),
+    ("gpl-free", _GPL_FREE.format("")),
+    ("lgpl-free", _GPL_FREE.format("(?:lesser|library) ")),
+    ("agpl-free", _GPL_FREE.format("affero ")),
+    ("gpl-hope", r"(?:this \w+|\w+) is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl-see", _GPL_SEE.format("")),
+    ("lgpl-see", _GPL_SEE.format("(?:lesser|library) ")),
+    ("agpl-see", _GPL_SEE.format("affero ")),
+    ("gpl-received", _GPL_RECEIVED.format("")),
+    ("lgpl-received", _GPL_RECEIVED.format("(?:lesser|library) ")),
+    ("agpl-received", _GPL_RECEIVED.format("affero ")),
     ("mit-permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
     ("mit-notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit-warranty", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
     ("mit-liability", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
-    ("bsd-grant", _GRANT + r"(?:\w+ )?(\d) clause bsd licen[sc]e"),
     ("bsd-permission", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd-source", r"(?:\d )?redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("bsd-binary", r"(?:\d )?redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("bsd-names", r"(?:\d )?neither the names? of .* may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("isc-permission", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("mpl-grant", r"(?:this source code form is subject to|.*licensed under) the (?:terms of the )?mozilla public license(?: version| v)? ?(\d+(?: \d+)?)"),
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
     ("cc0", r"(?:.* )?cc0(?: \d \d)?(?: universal)?(?: public domain dedication)?"),
-    ("cc-by-nc-sa", _GRANT + r"a?(?: ?creative commons attribution noncommercial sharealike|cc by nc sa) (\d+ \d+)(?: \w+)*"),
-    ("cc-by-nc-nd", _GRANT + r"a?(?: ?creative commons attribution noncommercial noderivatives|cc by nc nd) (\d+ \d+)(?: \w+)*"),
-    ("cc-by-nc", _GRANT + r"a?(?: ?creative commons attribution noncommercial|cc by nc) (\d+ \d+)(?: \w+)*"),
-    ("cc-by-sa", _GRANT + r"a?(?: ?creative commons attribution sharealike|cc by sa) (\d+ \d+)(?: \w+)*"),
-    ("cc-by-nd", _GRANT + r"a?(?: ?creative commons attribution noderivatives|cc by nd) (\d+ \d+)(?: \w+)*"),
-    ("cc-by", _GRANT + r"a?(?: ?creative commons attribution|cc by) (\d+ \d+)(?: \w+)*"),
     ("reserved", r"(?:copyright .* )?all rights reserved"),
 )
 
+# Grants, found by search between the ends of words: what stands before or behind is free.
+_GRANT = r"(?:licensed|released|distributed|available|published|provided|covered|used)(?: \w+)? under (?:the )?(?:terms of )?(?:the )?"
+_VERSION = r"(?: ?version| ?v)? ?(\d+(?: \d)?)"
+GRANTS: tuple[tuple[str, str], ...] = (
+    ("apache-grant", _GRANT + r"apache (?:software )?licen[sc]e" + _VERSION),
+    ("gpl-grant", _GRANT + r"(?:gnu )?(?:general public licen[sc]e|gpl)" + _VERSION),
+    ("lgpl-grant", _GRANT + r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl)" + _VERSION),
+    ("agpl-grant", _GRANT + r"(?:gnu )?(?:affero general public licen[sc]e|agpl)" + _VERSION),
+    ("mit-grant", _GRANT + r"(?:mit|expat) licen[sc]e"),
+    ("bsd-grant", _GRANT + r"(?:\w+ )?(\d) clause bsd licen[sc]e"),
+    ("mpl-grant", r"(?:this source code form is subject to (?:the )?(?:terms of )?(?:the )?|" + _GRANT + r")mozilla public license" + _VERSION),
+    ("cc0", _GRANT + r"(?:creative commons )?cc0"),
+    ("cc-by-nc-sa", _GRANT + r"a?(?: ?creative commons attribution noncommercial sharealike|cc by nc sa) (\d+ \d+)"),
+    ("cc-by-nc-nd", _GRANT + r"a?(?: ?creative commons attribution noncommercial noderivatives|cc by nc nd) (\d+ \d+)"),
+    ("cc-by-nc", _GRANT + r"a?(?: ?creative commons attribution noncommercial|cc by nc) (\d+ \d+)"),
+    ("cc-by-sa", _GRANT + r"a?(?: ?creative commons attribution sharealike|cc by sa) (\d+ \d+)"),
+    ("cc-by-nd", _GRANT + r"a?(?: ?creative commons attribution noderivatives|cc by nd) (\d+ \d+)"),
+    ("cc-by", _GRANT + r"a?(?: ?creative commons attribution|cc by) (\d+ \d+)"),
+)
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*((?:\([ \t]*)*[\w.+-]+(?:[ \t)]+(?:AND|OR|WITH)[ \t(]+[\w.+-]+)*)", re.I)
+# The exception named after WITH is no licence.
+_SPDX_NAME = re.compile(r"\bWITH[ \t(]+[\w.+-]+|\b(?:AND|OR)\b|([\w.+-]+)", re.I)
+
 #: Rules in order: the licence (``{}``: the version the sequence names) and the identifiers one after another.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Apache-{}", ("apache-grant", "apache-copy", "apache-warranty", "apache-limits")),
     ("GPL-{}-or-later", ("gpl-free", "gpl-hope", "gpl-see", "gpl-received")),
     ("GPL-{}-or-later", ("gpl-free", "gpl-hope", "gpl-see")),
+    ("LGPL-{}-or-later", ("lgpl-free", "gpl-hope", "lgpl-see", "lgpl-received")),
+    ("LGPL-{}-or-later", ("lgpl-free", "gpl-hope", "lgpl-see")),
+    ("AGPL-{}-or-later", ("agpl-free", "gpl-hope", "agpl-see", "agpl-received")),
+    ("AGPL-{}-or-later", ("agpl-free", "gpl-hope", "agpl-see")),
     ("MIT", ("mit-permission", "mit-notice", "mit-warranty", "mit-liability")),
     ("MIT", ("mit-permission", "mit-notice", "mit-warranty")),
     ("BSD-3-Clause", ("bsd-permission", "bsd-source", "bsd-binary", "bsd-names")),
@@ -65,6 +90,9 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("ISC", ("isc-permission",)),
     ("MIT", ("mit-permission",)),
     ("GPL-{}-or-later", ("gpl-free",)),
+    ("LGPL-{}-or-later", ("lgpl-free",)),
+    ("AGPL-{}-or-later", ("agpl-free",)),
+    ("{}", ("spdx",)),
     ("AGPL-{}", ("agpl-grant",)),
     ("LGPL-{}", ("lgpl-grant",)),
     ("GPL-{}", ("gpl-grant",)),
@@ -91,7 +119,7 @@ _HINTS = ("licen", "gpl", "cc by", "cc-by", "ccby", "cc0", "cc 0", "cc-0", "crea
 _BEGIN = re.compile(r"(?:\d )?(?:permission|redistribution|redistributions|neither|the above|the software|this|unless|you|see|in no event|licensed|released) ")
 _STOP = re.compile(r"[.!?]+(?=\s|$)")
 _OTHER = re.compile(r"[^a-z0-9]+")
-#: Words of the longest known sentence at most; a longer one matches none.
+#: Wrapped lines are joined up to so many words, more than a known sentence has; one line may have any number.
 _LONGEST = 120
 
 
@@ -102,24 +130,39 @@ def normalise(sentence: str) -> str:
 class Sentences:
     """Known sentences, looked up by their normalised words; what was seen before is kept in a bounded table."""
 
-    def __init__(self, known: tuple[tuple[str, str], ...] = KNOWN_SENTENCES):
+    def __init__(self, known: tuple[tuple[str, str], ...] = KNOWN_SENTENCES, grants: tuple[tuple[str, str], ...] = GRANTS):
         self.known = [(name, re.compile(pattern)) for name, pattern in known]
+        self.granted = [(name, re.compile(rf"\b(?:{pattern})\b")) for name, pattern in grants]
         self.seen: dict[str, str | None] = {}
 
     def identify(self, sentence: str) -> str | None:
-        """``name`` or ``name:version``."""
-        if sentence not in self.seen:
+        """``name`` or ``name:version`` of a whole known sentence."""
+        if sentence in self.seen:
+            return self.seen[sentence]
+        found = None
+        if _ANCHOR.search(sentence):
+            for name, pattern in self.known:
+                m = pattern.fullmatch(sentence)
+                if m:
+                    version = m[1].replace(" ", ".") if pattern.groups and m[1] else ""
+                    found = f"{name}:{version}" if version else name
+                    break
+        if len(sentence) < 2000:
             if len(self.seen) > 100_000:
                 self.seen.clear()
-            self.seen[sentence] = None
-            if _ANCHOR.search(sentence) and sentence.count(" ") < _LONGEST:
-                for name, pattern in self.known:
-                    m = pattern.fullmatch(sentence)
-                    if m:
-                        version = m[1].replace(" ", ".") if pattern.groups and m[1] else ""
-                        self.seen[sentence] = f"{name}:{version}" if version else name
-                        break
-        return self.seen[sentence]
+            self.seen[sentence] = found
+        return found
+
+    def grants(self, sentence: str, starts: set[int]) -> list[tuple[int, str]]:
+        """Place and identifier of each grant inside; a version doesn't go on in another line (``starts``: theirs)."""
+        out = []
+        if " under " in sentence or " subject to " in sentence:
+            for name, pattern in self.granted:
+                for m in pattern.finditer(sentence):
+                    major, _, minor = m[1].partition(" ") if pattern.groups else ("", "", "")
+                    version = f"{major}.{minor}" if minor and m.end(1) - len(minor) not in starts else major
+                    out.append((m.start(), f"{name}:{version}" if version else name))
+        return out
 
     def ids(self, text: str) -> list[str]:
         """Identifiers in page order.  Sentences end at a full stop before white space, at an empty line, or, if
@@ -132,12 +175,20 @@ class Sentences:
             at = 0
             for stop in [*(m.end() for m in _STOP.finditer(part)), len(part)]:
                 if stop > at and _ANCHOR.search(part, at, stop):
-                    found += self._sentence([x for x in map(normalise, part[at:stop].split("\n")) if x])
+                    found += self._sentence(part[at:stop].split("\n"))
                 at = stop
         return found
 
-    def _sentence(self, lines: list[str]) -> list[str]:
-        out, i = [], 0
+    def _sentence(self, raw: list[str]) -> list[str]:
+        lines, places, out, end = [], [], [], 0
+        for r in raw:
+            if line := normalise(r):
+                out += [(end, f"spdx:{n}") for m in _SPDX.finditer(r) for x in _SPDX_NAME.findall(m[1]) if (n := x.strip(".-"))]
+                lines.append(line)
+                places.append(end)
+                end += len(line) + 1
+        whole: list[tuple[int, int, str]] = []
+        i = 0
         while i < len(lines):
             taken = 0
             if i == 0 or _BEGIN.match(lines[i] + " "):
@@ -145,16 +196,19 @@ class Sentences:
                 for j in range(i, len(lines)):
                     joined.append(lines[j])
                     words += lines[j].count(" ") + 1
-                    if words > _LONGEST:
+                    if words > _LONGEST and j > i:
                         break
                     if name := self.identify(" ".join(joined)):
                         best, taken = name, j - i + 1
             elif name := self.identify(lines[i]):
                 best, taken = name, 1
             if taken:
-                out.append(best)
+                whole.append((places[i], places[i] + sum(len(x) + 1 for x in lines[i:i + taken]), best))
             i += taken or 1
-        return out
+        out += [(start, name) for start, _, name in whole]
+        # A whole sentence may be a grant itself; it counts once.
+        out += [(at, name) for at, name in self.grants(" ".join(lines), set(places)) if not any(s <= at < e and name == n for s, e, n in whole)]
+        return [name for _, name in sorted(out, key=lambda x: x[0])]
 
 
 def match_rules(ids: list[str], rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES) -> list[str]:

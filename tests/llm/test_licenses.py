@@ -61,6 +61,41 @@ def test_rules_are_ordered_and_use_up_sentences():
     assert li.match_rules(["bsd-source"]) == [] and li.match_rules([]) == []
 
 
+HEADER = """This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}
+General Public License as published by the Free Software Foundation, either version {3} of the License, or (at your
+option) any later version.
+
+This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU {2} General Public License for more details.
+
+You should have received a copy of the GNU {2} General Public License along with this {0}.  If not, see <x>."""
+
+GRANTS = {
+    "This project is licensed under the MIT License - see the LICENSE.md file for details": ["mit-grant"],
+    "It was released under the MIT License and may be copied": ["mit-grant"],
+    "Licensed under the Apache License, Version 2.0 as of 2020, by us": ["apache-grant:2.0"],
+    "Published under the GPL v3, 2020, and so on": ["gpl-grant:3"],
+    "Published under the GPL version 3\n5 files": ["gpl-grant:3"],
+    "word " * 500 + "licensed under the MIT License.": ["mit-grant"],
+    "word " * 500 + "licensed under the MIT\nLicense " + "word " * 500 + "and parts released under the GPL 2 " + "word " * 300: ["mit-grant", "gpl-grant:2"],
+    "licensed under the mitigated license": [], "Licensed under CC0": ["cc0"], "Licensed under CC BY 4.0 or so\nAll rights reserved": ["cc-by:4.0", "reserved"],
+    "# SPDX-License-Identifier: Apache-2.0\nimport x": ["spdx:Apache-2.0"],
+    "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR MIT */": ["spdx:GPL-2.0-only", "spdx:MIT"],
+}
+
+
+def test_grants_inside_sentences_of_any_length():
+    for text, ids in GRANTS.items():
+        assert li.Sentences().ids(text) == ids, text[:80]
+    assert li.match_rules(["spdx:GPL-2.0-only", "spdx:MIT"]) == ["GPL-2.0-only", "MIT"]
+
+
+def test_lesser_and_affero_headers():
+    for header, licence in ((HEADER.format("library", ";", "Lesser", "2.1"), "LGPL-2.1-or-later"), (HEADER.format("program", ":", "Affero", "3"), "AGPL-3-or-later")):
+        ids = li.Sentences().ids(header)
+        assert len(ids) == 4 and li.match_rules(ids) == [licence]
+
+
 def test_given_documents(llm, sf):
     line = re.compile(r"^(?:Licensed under CC BY-NC 4\.0\.|This work is licensed under the GNU General Public License, version 3\.|"
                       r"Licensed under the Apache License, Version 2\.0\.|Released under the MIT License\.|All rights reserved\.)$", re.M)
