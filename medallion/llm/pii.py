@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import count
 from typing import Any
 
 import pyarrow as pa
@@ -24,7 +25,6 @@ MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.75
 #: Certainty a value needs from all its trusted patterns.
 MIN_SCORE = 0.9
-ROUNDS = 3
 
 # Base kinds: fixed patterns of the contract.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -136,18 +136,20 @@ def _scan(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     return narrow.mapInArrow(scan, ", ".join([*kept, f"found array<{_SPAN}>"]))
 
 
-def discover(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def discover(occurrences: DataFrame, rounds: int | None = None) -> DataFrame:
     """Values accepted beyond the seeds: (value, kind).  ``occurrences``: value, kind, fits, patterns.
 
     Each round scores patterns by the known values they hold and values by their trusted patterns; values are
-    counted once per pattern, however often copies repeat them.
+    counted once per pattern, however often copies repeat them.  Rounds go on until one accepts nothing (or to
+    ``rounds``); each but the last adds values, so they end.
     """
     edges = written(occurrences.select("value", "kind", "fits", F.explode("patterns").alias("pattern")).distinct(), "pii-edges")
     sizes = edges.groupBy("pattern").agg(F.count_distinct("value").alias("n_all")).where(F.col("n_all") > MIN_SUPPORT)
-    seeds = edges.where("kind IS NOT NULL").select("value", "kind").distinct()
+    seeds = written(edges.where("kind IS NOT NULL").select("value", "kind").distinct(), "pii-seeds")
     open_edges = edges.where("kind IS NULL").select("value", F.explode("fits").alias("kind"), "pattern").distinct()
     known, accepted = seeds, seeds.limit(0)
-    for round_no in range(rounds):
+    files: list[str] = []
+    for round_no in count() if rounds is None else range(rounds):
         trusted = (
             edges.select("pattern", "value").distinct().join(known, "value").groupBy("pattern", "kind").agg(F.count("*").alias("n_known"))
             .join(sizes, "pattern").withColumn("confidence", F.col("n_known") / F.col("n_all"))
@@ -161,8 +163,10 @@ def discover(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         new = written(new, f"pii-round-{round_no}")
         if new.isEmpty():
             break
-        accepted = new if round_no == 0 else accepted.unionByName(new)
-        known = known.unionByName(new)
+        # One scan of all rounds' tables: the plan doesn't grow with the rounds.
+        files += new.inputFiles()
+        accepted = new.sparkSession.read.schema(new.schema).parquet(*files)
+        known = seeds.unionByName(accepted)
     return accepted
 
 
@@ -172,7 +176,7 @@ def _joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
 
 
-def find(df: DataFrame, keep: list[str], text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def find(df: DataFrame, keep: list[str], text: str = "text", rounds: int | None = None) -> DataFrame:
     """Columns ``c0``, ... (those of ``keep``), ``base`` and ``spans``: kind:start:end in code points, comma-joined.
 
     ``base`` has the base kinds' spans, ``spans`` those and the discovered ones.  Null texts are empty and hold
@@ -197,7 +201,7 @@ def count_kind(spans: Column, kind: str) -> Column:
     return F.regexp_count(spans, F.lit(f"{kind}:")).cast("long")
 
 
-def redact(df: DataFrame, text: str = "text", length: str | None = None, rounds: int = ROUNDS) -> DataFrame:
+def redact(df: DataFrame, text: str = "text", length: str | None = None, rounds: int | None = None) -> DataFrame:
     """``df`` with each span replaced by its kind in brackets; overlapping spans become one of the first's kind.
 
     ``length`` names a column that holds the text's length and follows it.  Rows without spans stay as they are,

@@ -61,6 +61,20 @@ def test_contexts_find_what_no_base_kind_takes(llm):
     assert all(found[i][0] == found[i][1] == "phone:18:35" for i in range(20))
 
 
+def test_chain_of_five_contexts(llm):
+    """Each context is trusted only with the values that the one before it gave."""
+    places = [("call", "home", "soon"), ("ring", "desk", "later"), ("reach", "office", "again"), ("try", "garage", "twice"), ("ask", "kitchen", "first")]
+    rows = []
+    for i, (a, b, c) in enumerate(places):
+        values = [f"+1 (9{k:02d}) 555-2485" for k in range(6 if i else 9)]
+        values += [f"555-2{i}0{k}-19" for k in range(3 if i else 0)] + [f"555-2{i + 1}0{k}-19" for k in range(3)]
+        rows += [(100 * i + n, f"please {a} {b} {v} {c}") for n, v in enumerate(values)]
+    found = _spans(pii.find(llm.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect())
+    assert len(found) == len(rows) and all(spans.startswith("phone:") for _, spans in found.values())
+    redacted = pii.redact(llm.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all("[PHONE]" in r["text"] and "555" not in r["text"] for r in redacted)
+
+
 def test_copies_do_not_teach(llm):
     rows = [(i, "please call us at +1 (900) 555-2485 today") for i in range(50)] + [(99, "please call us at 555-2411-19 today")]
     assert _spans(pii.find(llm.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect())[99] == ("", "")
