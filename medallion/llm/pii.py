@@ -67,7 +67,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, kind's place, end, kind) of the base kinds, by start and then as the kinds are listed."""
     spans = [(s, 0, e) for s, e in _emails(text)]
     if text.encode("utf-8", "surrogatepass").translate(None, _NOT_DIGITS):
-        spans += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p) < 99 and int(p) <= 255 for p in m[0].split("."))]
+        # Zeros in front may be any number.
+        parts = ((m, [p.lstrip("0") for p in m[0].split(".")]) for m in _IP.finditer(text))
+        spans += [(m.start(), 1, m.end()) for m, own in parts if all(len(p) <= 3 and int(p or 0) <= 255 for p in own)]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and _luhn(digits):

@@ -44,6 +44,14 @@ def test_base_spans_of_known_cases():
         assert pii.base_spans(text) == _brute(text), text[:40]
 
 
+def test_zeros_before_an_ip_part():
+    for n in (0, 98, 99, 5000):
+        text = f"at {'0' * n}10.0.{'0' * n}255.1 now"
+        assert pii.base_spans(text)[0] == (3, len(text) - 4, "ip")
+        assert "ip" not in {k for _, _, k in pii.base_spans(f"at {'0' * n}256.0.0.1 now")}
+    assert pii.base_spans("at 9" + "0" * 5000 + ".1.1.1") == []
+
+
 def _spans(rows):
     return {r["c0"]: (r["base"], r["spans"]) for r in rows}
 
