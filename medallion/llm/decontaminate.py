@@ -14,14 +14,15 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, groups, text_of, written
 
 WINDOW = 10
-#: Characters of test items broadcast at a time (about ten times as many bytes of table); more items are
-#: scanned for block by block, each block against all documents.
+#: Bytes of test items broadcast at a time (about ten times as many bytes of table); more items are scanned
+#: for block by block, each block against all documents.  Only an item that is longer is a larger block.
 BLOCK_CHARS = 4_000_000
 
 _TABLE = bytes(
@@ -111,9 +112,25 @@ def _spans(text: bytes, flags: np.ndarray) -> list[dict[str, int]]:
     return [{"start": places[a][0], "end": places[b - 1][1]} for a, b in edges.reshape(-1, 2).tolist()]
 
 
-def _scan(df: DataFrame, text: str, keep: list[str], items: list[Row], n: int) -> DataFrame:
-    windows = df.sparkSession.sparkContext.broadcast(Windows([(r[0], bytes(r[1])) for r in items], n))
+def _blocks(tests: DataFrame, limit: int) -> Iterator[list[Row]]:
+    """Items in blocks cut by their running size; the driver holds one block and one partition of the table."""
+    block: list[Row] = []
+    held = 0
+    for r in tests.toLocalIterator():
+        if block and held + r["size"] > limit:
+            yield block
+            block, held = [], 0
+        block.append(r)
+        held += r["size"]
+    if block:
+        yield block
 
+
+def _broadcast(spark: SparkSession, items: list[Row], n: int) -> Broadcast[Windows]:
+    return spark.sparkContext.broadcast(Windows([(r["item"], bytes(r["text"])) for r in items], n))
+
+
+def _scan(df: DataFrame, text: str, keep: list[str], windows: Broadcast[Windows]) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own in groups(batch, "text"):
@@ -137,25 +154,27 @@ def find(
 ) -> DataFrame:
     """Columns ``c0``, ``c1``, ... (those of ``keep``) with n_words, n_hit, item_ids and spans of every row of ``df``.
 
-    Items go to the tasks in blocks of about ``block_chars``; with more than one block each row's finds are put
-    together again.  Null texts have no words; a null item id is the id "null"; rows of one item id are one item;
+    Distinct items go to the tasks in blocks of at most ``block_chars`` bytes.  With more than one block, each
+    block's finds are written before the next one is broadcast, and each row's finds are put together again.  Null texts have no words; a null item id is the id "null"; rows of one item id are one item;
     empty tables give no finds.
     """
+    spark = df.sparkSession
     tests = items.select(
-        F.coalesce(items[item_id].cast("string"), F.lit("null")).alias("item"), text_of(items, item_text).cast("binary").alias("text"))
-    size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // block_chars) if size else 1
-    if blocks == 1:
-        return _scan(df, text, keep, tests.collect(), n)
+        F.coalesce(items[item_id].cast("string"), F.lit("null")).alias("item"), text_of(items, item_text).cast("binary").alias("text"),
+    ).where(F.octet_length("text") > 0).distinct().withColumn("size", F.octet_length("item") + F.octet_length("text"))
+    if (tests.agg(F.sum("size")).first()[0] or 0) <= block_chars:
+        return _scan(df, text, keep, _broadcast(spark, tests.collect(), n))
     key = fresh(df.columns, "row")
-    tests = written(tests.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))), "test-items")
     rows = written(df.select(*keep, *([text] if text not in keep else [])).withColumn(key, F.monotonically_increasing_id()), "to-scan")
-    parts = []
-    for block in range(blocks):
-        parts.append(_scan(rows, text, [key], tests.where(F.col("block") == block).select("item", "text").collect(), n))
-    together = parts[0]
-    for part in parts[1:]:
-        together = together.unionByName(part)
+    parts: list[DataFrame] = []
+    for block in _blocks(written(tests, "test-items"), block_chars):
+        windows = _broadcast(spark, block, n)
+        found = _scan(rows, text, [key], windows)
+        # The first block's finds have every row, with its count of words; the others' those with a hit.
+        parts.append(written(found.where("n_hit > 0") if parts else found, f"finds-{len(parts)}"))
+        windows.destroy()
+    files = [f for part in parts[1:] for f in part.inputFiles()]
+    together = parts[0].unionByName(spark.read.schema(parts[0].schema).parquet(*files)) if files else parts[0]
     # One row per block and document; the spans of a document overlap only where blocks share its passages.
     together = together.groupBy("c0").agg(
         F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),

@@ -47,6 +47,27 @@ def test_like_brute_force(llm, block_chars):
         assert (r["n_words"], r["n_hit"], r["item_ids"]) == _brute(r["c1"], ITEMS), r["c0"]
 
 
+def test_blocks_are_bounded_and_one_at_a_time(llm, monkeypatch):
+    items = [(1, ITEMS[0][1])] * 60 + [(i, f"item {i} of the long list of them all, with words enough {i}") for i in range(100, 120)]
+    docs = [*TEXTS, (9, "see item 103 of the long list of them all with words enough 103 and item 117 of the long list of them all with words enough 117")]
+    blocks, gone = [], []
+    begin, kind = d.Windows.__init__, type(llm.sparkContext.broadcast(0))
+    destroy = kind.destroy
+
+    def init(self, own, n=d.WINDOW):
+        assert len(gone) == len(blocks)  # the block before is gone
+        blocks.append(sum(len(text) for _, text in own))
+        begin(self, own, n)
+
+    monkeypatch.setattr(d.Windows, "__init__", init)
+    monkeypatch.setattr(kind, "destroy", lambda self, *a: (gone.append(1), destroy(self, *a))[1])
+    got = d.find(llm.createDataFrame(docs, "doc_id long, text string"), llm.createDataFrame(items, "item_id long, text string"), ["doc_id", "text"], block_chars=400).collect()
+    assert len(blocks) > 2 and max(blocks) <= 400 and len(gone) == len(blocks)
+    assert len(got) == len(docs)
+    for r in got:
+        assert (r["n_words"], r["n_hit"], r["item_ids"]) == _brute(r["c1"], items), r["c0"]
+
+
 def test_removal(llm):
     docs = llm.createDataFrame(TEXTS, "doc_id long, text string")
     items = llm.createDataFrame(ITEMS, "item_id long, text string")
