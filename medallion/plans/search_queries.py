@@ -28,9 +28,10 @@ def _documents(spark, d, texts=None):
 
 
 def _vectors(spark, d):
-    # Some vectors are missing, as after a failed embedding job.
-    vector = F.when(F.col("vec_id") % 11 != 5, F.col("embedding"))
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("staged_id"), vector.alias("content_vector"))
+    """All vectors, and beside them ids without one, as after a failed embedding job."""
+    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("staged_id"), F.col("embedding").alias("content_vector"))
+    missing = own.where("staged_id % 11 = 5").select((-1 - F.col("staged_id")).alias("staged_id"), F.lit(None).cast(own.schema[1].dataType).alias("content_vector"))
+    return own.unionByName(missing)
 
 
 def _index(spark, d, vectors: bool = False):
@@ -44,11 +45,17 @@ def _index(spark, d, vectors: bool = False):
 def _queries(spark, d, vectors: bool = False):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     if vectors:
-        near = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+        near = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(
+            F.expr("vec_id div 20").alias("query_id"), F.col("embedding").alias("query_vector"))
         asked = asked.join(near, "query_id", "left")  # without a vector the words still search
     return asked
 
 
+def _vector_queries(spark, d):
+    """Every vector whose id is divisible by 20."""
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
 _TOKEN = r"[\p{L}\p{M}\p{Nd}\p{Pc}]+"
 _CODE = "['S','A','B','C','D','E','X'][doc_id % 7 + 1]"
 
@@ -73,12 +80,12 @@ kw AS (SELECT * REPLACE (round(score, 6) AS score) FROM
   (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, staged_id) AS rank FROM sc QUALIFY rank <= {size}))"""
 
 
-def _knn(size: int = 10) -> str:
+def _knn(size: int = 10, queries: str = "SELECT item_id AS query_id, 20 * item_id AS vec_id FROM benchmark") -> str:
     """CTE ``nn(query_id, staged_id, score, rank)``; the vectors have length 1."""
     return f"""ve AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x) AS v FROM embeddings),
 nm AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS l FROM ve),
-vs AS (SELECT b.item_id AS query_id, d.vec_id AS staged_id, round((1 + list_dot_product(q.v, d.v) / (q.l * d.l)) / 2, 12) AS score
-  FROM benchmark b JOIN nm q ON q.vec_id = b.item_id, nm d WHERE d.vec_id % 11 <> 5),
+vs AS (SELECT b.query_id, d.vec_id AS staged_id, round((1 + list_dot_product(q.v, d.v) / (q.l * d.l)) / 2, 12) AS score
+  FROM ({queries}) b JOIN nm q ON q.vec_id = b.vec_id, nm d),
 nn AS (SELECT * REPLACE (round(score, 6) AS score) FROM
   (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, staged_id) AS rank FROM vs QUALIFY rank <= {size}))"""
 
@@ -113,9 +120,8 @@ def bm25_search(spark, d):
 _UPSERTED = "CASE WHEN doc_id % 5 = 0 THEN 'upserted ' || lang || ' ' || (SELECT text FROM benchmark WHERE item_id = doc_id % 40) ELSE text END"
 
 
-@query("index_upsert_search", f"WITH {_bm25(text=_UPSERTED)} SELECT query_id, staged_id, score, CAST(rank AS INTEGER) AS rank FROM kw")
-def index_upsert_search(spark, d):
-    """SNK-6, IDX-5: an index, new texts for every fifth document in two upserts, then the search."""
+def _upserted(spark, d):
+    """Path of an index with new texts for every fifth document in two upserts; in the second, a tenth of the ids stand twice."""
     path = work_path(spark, "index")
     docs = table(spark, d, "documents").where("doc_id % 5 = 0").select("doc_id", "lang")
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("_item"), F.col("text").alias("_new"))
@@ -124,14 +130,40 @@ def index_upsert_search(spark, d):
     wrong = new.where("staged_id % 10 = 0").withColumn("chunk_content", F.concat("chunk_content", F.lit(" replaced once more")))
     IX.write_index(IX.build_index(_documents(spark, d)), path)
     IX.upsert_index(spark, path, wrong)
-    IX.upsert_index(spark, path, new)
-    return SE.keyword_hits(IX.read_index(spark, path), _queries(spark, d)).select("query_id", "staged_id", "score", "rank")
+    both = new.withColumn("at", F.lit(1)).unionByName(wrong.withColumn("at", F.lit(0)))
+    IX.upsert_index(spark, path, both, order=["at"])
+    return path
+
+
+@query("index_upsert_search", f"WITH {_bm25(text=_UPSERTED)} SELECT query_id, staged_id, score, CAST(rank AS INTEGER) AS rank FROM kw")
+def index_upsert_search(spark, d):
+    """SNK-6, IDX-5: an index, new texts for every fifth document in two upserts, then the search."""
+    return SE.keyword_hits(IX.read_index(spark, _upserted(spark, d)), _queries(spark, d)).select("query_id", "staged_id", "score", "rank")
+
+
+@query(
+    "index_fold_search",
+    f"""WITH {_bm25(text=_UPSERTED)}, p AS (SELECT unnest(['parts', 'folded']) AS state)
+SELECT state, query_id, staged_id, score, CAST(rank AS INTEGER) AS rank FROM kw, p""",
+)
+def index_fold_search(spark, d):
+    """SNK-6: the same search before and after the upserts are folded into a base."""
+    path = _upserted(spark, d)
+    asked = _queries(spark, d)
+    columns = ("query_id", "staged_id", "score", "rank")
+    before = SE.keyword_hits(IX.read_index(spark, path), asked).select(F.lit("parts").alias("state"), *columns)
+    IX.fold_index(spark, path)
+    return before.unionByName(SE.keyword_hits(IX.read_index(spark, path), asked).select(F.lit("folded").alias("state"), *columns))
 
 
-@query("vector_topk", f"WITH {_knn()} SELECT query_id, staged_id, score, CAST(rank AS INTEGER) AS rank FROM nn")
+@query(
+    "vector_topk",
+    f"""WITH {_knn(queries='SELECT vec_id AS query_id, vec_id FROM embeddings WHERE vec_id % 20 = 0')}
+SELECT query_id, staged_id, score, CAST(rank AS INTEGER) AS rank FROM nn""",
+)
 def vector_topk(spark, d):
-    """RANK-2."""
-    return SE.vector_hits(_vectors(spark, d), _queries(spark, d, True))
+    """RANK-2: every vector whose id is divisible by 20 against all vectors."""
+    return SE.vector_hits(_vectors(spark, d), _vector_queries(spark, d))
 
 
 _RRF = """rrf AS (SELECT kw.query_id, kw.staged_id, 1.0::DOUBLE / (60 + kw.rank) + 1.0::DOUBLE / (60 + coalesce(nn.rank, 11)) AS score,
@@ -155,9 +187,9 @@ def hybrid_rrf(spark, d):
 @query(
     "search_modes",
     f"""WITH {_bm25()}, {_knn()}, {_RRF}, m AS (
-  SELECT 'keyword' AS mode, query_id, staged_id, rank FROM kw WHERE query_id IN (SELECT vec_id FROM embeddings)
+  SELECT 'keyword' AS mode, query_id, staged_id, rank FROM kw
   UNION ALL SELECT 'semantic', nn.query_id, staged_id, rank FROM nn JOIN documents ON doc_id = staged_id
-  UNION ALL SELECT 'hybrid', query_id, staged_id, rank FROM fused WHERE query_id IN (SELECT vec_id FROM embeddings))
+  UNION ALL SELECT 'hybrid', query_id, staged_id, rank FROM fused)
 SELECT mode, query_id, staged_id, CAST(rank AS INTEGER) AS rank, lang AS category FROM m JOIN documents ON doc_id = staged_id""",
 )
 def search_modes(spark, d):

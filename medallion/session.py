@@ -78,6 +78,26 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class WorkTables:
+    """Written work tables of one call, to be deleted when its result no longer reads them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = work_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, keep: int = 0) -> None:
+        """Delete all tables but the ``keep`` last ones."""
+        gone, self.paths = self.paths[:len(self.paths) - keep], self.paths[len(self.paths) - keep:]
+        for path in gone:
+            target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Spread an input that has fewer partitions than there are cores, before costly expressions.
 
