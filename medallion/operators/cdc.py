@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_PROFILE, FIRST_SIGHT_TTL_DAYS, LOG_OPERATIONS, STREAM_OPERATIONS, SourceProfile
 from ..functions import keys as K
 from ..functions.text import computed_once, let, mapped, strip_prefix
-from ..session import checkpoint_root
+from ..session import WorkTables
+from .skew import following
 
 _ENVELOPE = (
     "struct<payload:struct<before:string,after:string,op:string,ts_ms:bigint,source:struct<table:string>>,"
@@ -116,10 +118,6 @@ def mark_processed(log: DataFrame, processed_ids: DataFrame) -> DataFrame:
     ).drop("_hit")
 
 
-#: Sightings of one key that are folded in one array at most; keys with more go round by round.
-KEY_ROWS = 100_000
-
-
 def infer_operations(
     rows: DataFrame,
     key: str,
@@ -128,7 +126,6 @@ def infer_operations(
     ttl_days: float | None = None,
     stateful: bool = True,
     out: str = "change_operation",
-    key_rows: int = KEY_ROWS,
 ) -> DataFrame:
     """``insert`` for the first sighting of a key, ``update`` for later ones (WIN-6, CDC-6, CDC-7).
 
@@ -146,7 +143,7 @@ def infer_operations(
         inserts = rows.groupBy(key).agg(F.min(sight).alias("_s")).select(key, F.col("_s.id").alias(row_id))
     else:
         ttl = int(ttl_days * 86_400_000_000)
-        inserts = _anchors(rows.select(key, sight.alias("_s")), key, ttl, key_rows)
+        inserts = _anchors(rows.select(key, sight.alias("_s")), key, ttl)
         inserts = inserts.select(key, F.col("_s.id").alias(row_id))
     flagged = rows.join(inserts.withColumn("_first", F.lit(True)), [key, row_id], "left")
     return flagged.select(
@@ -154,52 +151,67 @@ def infer_operations(
     )
 
 
-def _anchors(sights: DataFrame, key: str, ttl: int, key_rows: int) -> DataFrame:
-    """The sightings that begin a memory, for every key."""
-    checkpoint_root(sights.sparkSession)
-    # Counted, not estimated: at most rows / key_rows keys.
-    hot = sights.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > key_rows).select(key).checkpoint()
-    if hot.isEmpty():
-        return _anchors_folded(sights, key, ttl)
-    cold = _anchors_folded(sights.join(F.broadcast(hot), key, "left_anti"), key, ttl)
-    return cold.unionByName(_anchors_by_rounds(sights.join(F.broadcast(hot), key, "left_semi"), key, ttl))
-
-
-def _anchors_folded(sights: DataFrame, key: str, ttl: int) -> DataFrame:
-    """Fold over one key's sorted sightings; only for keys of bounded size."""
-    kind = dict(sights.dtypes)["_s"]
-    empty = F.array().cast(f"array<{kind}>")
-    chosen = F.aggregate(
-        F.sort_array("_all"),
-        F.struct(F.lit(None).cast("bigint").alias("until"), empty.alias("a")),
-        lambda acc, s: F.when(
-            acc["until"].isNull() | (s["t"] > acc["until"]),
-            F.struct((s["t"] + F.lit(ttl)).alias("until"), F.concat(acc["a"], F.array(s)).alias("a")),
-        ).otherwise(acc),
-        lambda acc: acc["a"],
-    )
-    return sights.groupBy(key).agg(F.collect_list("_s").alias("_all")).select(key, F.explode(chosen).alias("_s"))
-
-
-def _anchors_by_rounds(sights: DataFrame, key: str, ttl: int) -> DataFrame:
-    """Next sighting after the lifetime, for all hot keys at once per round.
+def _anchors(sights: DataFrame, key: str, ttl: int) -> DataFrame:
+    """The sightings that begin a memory, for every key.
 
-    Each round is one minimum per key, combined inside the tasks; there are at most span/lifetime + 1
-    rounds and at most rows/key_rows keys.
+    A memory's end leads to the next sighting after it, the successor of the one that began it.  A key's time is cut
+    into buckets of one lifetime, counted from its first sighting; each bucket holds one beginning at most.  Blocks
+    of 2, 4, 8, ... buckets learn for each sighting by which they can be entered where the chain leaves them: from what
+    their halves know.  A block can be entered in its first bucket, or at the first sighting after that bucket, so
+    the tables halve from level to level.  Down again, what enters a block tells what enters its right half.  So
+    there are as many rounds as the number of lifetimes has digits, in base 2, and no task holds a key's rows.
     """
-    sights = sights.checkpoint()
-    found = current = sights.groupBy(key).agg(F.min("_s").alias("_s")).checkpoint()
-    while not current.isEmpty():
-        until = current.select(key, (F.col("_s.t") + F.lit(ttl)).alias("_until"))
-        current = (
-            sights.join(F.broadcast(until), key)
-            .where(F.col("_s.t") > F.col("_until"))
-            .groupBy(key)
-            .agg(F.min("_s").alias("_s"))
-            .checkpoint()
-        )
-        found = found.unionByName(current)
-    return found
+    work = WorkTables(sights.sparkSession)
+    ends = sights.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("_s").alias("_first"), F.max("_s.t").alias("_last"))
+    ends = work.write(ends, "sighting-ends")
+    longer = ends.where(F.col("_last") > F.col("_first.t") + ttl).select(key, F.col("_first.t").alias("_begin"))
+    roots = ends.select(key, F.col("_first").alias("_s"))
+    levels = _chain_levels(work, sights.join(longer, key), key, ttl)
+    found = roots.join(longer.select(key), key, "left_semi").select(key, "_s", F.lit(0).cast("bigint").alias("b"))
+    for k in range(len(levels) - 1, -1, -1):
+        end = F.col("b") - F.col("b") % (2 << k) + (2 << k)
+        step = levels[k].select(key, F.col("_s.id").alias("_id"), "nxt", "nb")
+        own = found.select(key, F.col("_s.id").alias("_id"), "b").join(step, [key, "_id"])
+        right = own.where(F.col("nb") < end).select(key, F.col("nxt").alias("_s"), F.col("nb").alias("b"))
+        found = work.write(found.unionByName(right), "sighting-anchors")
+    single = roots.join(longer.select(key), key, "left_anti")
+    anchors = WorkTables(sights.sparkSession).write(single.unionByName(found.select(key, "_s")), "anchors")
+    work.drop()
+    return anchors
+
+
+def _chain_levels(work: WorkTables, rows: DataFrame, key: str, ttl: int) -> list[DataFrame]:
+    """Per level, where the chain from a sighting leaves its block of ``2 ** level`` buckets: ``nxt`` in bucket ``nb``."""
+    sights = rows.select(key, "_s", "_begin", F.col("_s.t").alias("t"), F.lit(0).alias("asks"), F.col("_s.id").alias("id"))
+    # A memory's end stands among the sightings, after those of the same moment; the next sighting is the successor.
+    asking = sights.withColumn("t", F.col("t") + ttl).withColumn("asks", F.lit(1))
+    after = following(sights.unionByName(asking), [key], ["t", "asks", "id"], F.col("asks") == 0, F.col("_s"), "nxt")
+    def bucket_of(t: str) -> Column:
+        return F.call_function("div", F.col(t) - F.col("_begin"), F.lit(max(ttl, 1)))
+
+    bucket = bucket_of("_s.t")
+    nodes = after.where("asks = 1").select(
+        key, "_s", bucket.alias("b"), "nxt", bucket_of("nxt.t").alias("nb"))
+    buckets = rows.groupBy(key, bucket.alias("b")).agg(F.min("_s").alias("_s"))
+    # One row per key and lifetime.
+    before = F.coalesce(F.lag("b").over(W.partitionBy(key).orderBy("b")), F.lit(0))
+    firsts = buckets.select(key, F.col("_s.id").alias("_id"), before.alias("prev"))
+    nodes = nodes.withColumn("_id", F.col("_s.id")).join(firsts, [key, "_id"], "left").drop("_id")
+    level = work.write(nodes, "sighting-level")
+    most = level.agg(F.max("b")).first()[0] or 0
+    levels = [level] if most else []
+    while len(levels) < most.bit_length():
+        size = 1 << len(levels)
+        start = F.col("b") - F.col("b") % size
+        enters = level.where((F.col("b") == start) | (F.col("prev") <= start))
+        on = level.select(F.col(key).alias("_key"), F.col("_s.id").alias("_from"), F.col("nxt").alias("nxt2"), F.col("nb").alias("nb2"))
+        inside = F.col("nb") < start + size
+        joined = enters.join(on, (F.col(key) == F.col("_key")) & inside & (F.col("nxt.id") == F.col("_from")), "left")
+        level = work.write(joined.select(
+            key, "_s", "b", F.when(inside, F.col("nxt2")).otherwise(F.col("nxt")).alias("nxt"),
+            F.when(inside, F.col("nb2")).otherwise(F.col("nb")).alias("nb"), "prev"), "sighting-level")
+        levels.append(level)
+    return levels
 
 
 def snapshot_then_changes(snapshot: DataFrame, changes: DataFrame, include_tables: Sequence[str] | None = None):

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import neighbour
+from .skew import Ranges, neighbour, ranges
 
 
 def versions(df: DataFrame, key: str, valid_from: str, seq: str) -> DataFrame:
@@ -20,9 +20,9 @@ def versions(df: DataFrame, key: str, valid_from: str, seq: str) -> DataFrame:
     return closed.withColumn("is_latest", F.col("valid_to").isNull())
 
 
-def drop_unchanged(df: DataFrame, key: str, content_hash: str, order: Sequence[str]) -> DataFrame:
+def drop_unchanged(df: DataFrame, key: str, content_hash: str, order: Sequence[str], known: Ranges | None = None) -> DataFrame:
     """Leave out rows whose hash equals the previous row's of the same key (SCD-2)."""
-    before = neighbour(df, [key], list(order), content_hash, "_before", step=-1)
+    before = neighbour(df, [key], list(order), content_hash, "_before", step=-1, known=known)
     return before.where(~F.col(content_hash).eqNullSafe(F.col("_before"))).drop("_before")
 
 
@@ -46,9 +46,11 @@ def scd2_apply(
     touched = incoming.select(key).distinct()
     base = open_rows.join(touched, key, "left_semi").select(*incoming.columns)
     batch = base.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
+    order = [valid_from, "_new", seq]
+    known = ranges(batch, [key], order)
     if changed_only:
-        batch = drop_unchanged(batch, key, content_hash, [valid_from, "_new", seq])
-    closed = neighbour(batch, [key], [valid_from, "_new", seq], valid_from, "valid_to", step=1)
+        batch = drop_unchanged(batch, key, content_hash, order, known)
+    closed = neighbour(batch, [key], order, valid_from, "valid_to", step=1, known=known)
     closed = closed.withColumn("is_latest", F.col("valid_to").isNull())
     return (
         current.where(~F.col("is_latest")).select(*columns)

@@ -13,7 +13,7 @@ from ..operators import silver as S
 from ..operators import spans as SP
 from ..operators import stages as ST
 from ..operators import stats
-from ..session import spread_small
+from ..session import materialized, spread_small
 from .inputs import REPORTS_SQL, reports, sql_class, sql_masked
 from .registry import query, table
 
@@ -164,7 +164,7 @@ def scd2_apply(spark, d):
     """SCD-1, SNK-5: two batches applied one after the other equal one pass over all versions."""
     rows = _versions_in(spark, d)
     second = F.col("valid_from") >= F.lit("2024-01-10").cast("timestamp_ntz")
-    current = H.versions(rows.where(~second), "user_id", "valid_from", "seq")
+    current = materialized(H.versions(rows.where(~second), "user_id", "valid_from", "seq"), "versions")  # a table
     out = H.scd2_apply(current, rows.where(second), "user_id")
     return out.select("event_id", "user_id", _ts("valid_from").alias("valid_from"), _ts("valid_to").alias("valid_to"), "is_latest")
 

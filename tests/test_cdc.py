@@ -93,16 +93,32 @@ def test_infer_days(spark):
     assert got == ["insert", "update", "insert", "update"]
 
 
-@pytest.mark.parametrize("ttl", [None, 7])
-@pytest.mark.parametrize("hot", [False, True])
-def test_infer_matches_rule(spark, ttl, hot):
-    data = _events()
+@pytest.mark.parametrize("ttl", [None, 7, 0.3])
+@pytest.mark.parametrize("spread", [1, 40])
+def test_infer_matches_rule(spark, ttl, spread):
+    """Dense keys, and keys whose lifetimes are mostly empty; a chain of up to 200 lifetimes."""
+    begin = datetime(2026, 1, 1)
+    data = [(k, begin + (t - begin) * spread, i) for k, t, i in _events()]
     df = spark.createDataFrame(data, "k string, ts timestamp, id int")
-    options = {"key_rows": 50} if hot else {}
-    out = cdc.infer_operations(df, "k", "ts", "id", ttl_days=ttl, **options)
+    out = cdc.infer_operations(df, "k", "ts", "id", ttl_days=ttl)
     assert {r.id: r.change_operation for r in out.collect()} == _python_rule(data, None if ttl is None else timedelta(days=ttl))
 
 
+def test_lifetimes_take_few_rounds(spark, monkeypatch):
+    """Rounds grow with the digits of the number of lifetimes, and each level holds about half the rows of the one below."""
+    levels = []
+    original = cdc._chain_levels
+    monkeypatch.setattr(cdc, "_chain_levels", lambda *a: levels.extend(original(*a)) or levels)
+    counted = []
+    drop = cdc.WorkTables.drop
+    monkeypatch.setattr(cdc.WorkTables, "drop", lambda self, keep=0: (counted.extend(x.count() for x in levels), drop(self, keep)))
+    df = spark.range(3000).selectExpr("'k' AS k", "timestamp_micros(id * 3600000000) AS ts", "id")
+    got = cdc.infer_operations(df, "k", "ts", "id", ttl_days=10 / 24)
+    want = [i for i in range(0, 3000, 11)]
+    assert sorted(r.id for r in got.where("change_operation = 'insert'").collect()) == want
+    assert len(counted) == (2999 // 10).bit_length() and counted[0] == 3000 and all(b <= 0.6 * a + 2 for a, b in zip(counted[:4], counted[1:5]))
+
+
 def test_stateless(spark):
     df = spark.createDataFrame(_events(5), "k string, ts timestamp, id int")
     assert {r.change_operation for r in cdc.infer_operations(df, "k", "ts", "id", stateful=False).collect()} == {"insert"}

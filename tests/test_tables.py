@@ -98,12 +98,34 @@ def test_a_key_of_one_time_is_split(spark):
         df = spark.range(5000).selectExpr("'k' AS key", "10L AS valid_from", "id AS seq", "'h' AS content_hash")
         got = history.versions(df, "key", "valid_from", "seq")
         plan = got._jdf.queryExecution().optimizedPlan().toString()
-        assert "windowspecdefinition(key" in plan and "_range" in plan.split("windowspecdefinition(key")[1][:30]
+        assert all("_range" in w[:60] for w in plan.split("windowspecdefinition(")[1:] if "lead(_v" in w[-200:]) and "_range" in plan
+        found = skew.ranges(df, ["key"], ["valid_from", "seq"])
+        sizes = [r["count"] for r in df.groupBy(found.number(df).alias("r")).count().collect()]
+        assert len(sizes) == 20 and max(sizes) < 1000
         assert got.where("is_latest").count() == 1 and got.where("valid_to = 10").count() == 4999
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_versions_shuffle_the_rows_once(spark):
+    """One exchange of all columns; what else is shuffled is one row per range, and nothing is written."""
+    df = _skewed(spark).withColumn("payload", F.repeat("content_hash", 50))
+    got = history.versions(df, "key", "valid_from", "seq")
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[0]
+    shuffled = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    below = plan.split("Exchange hashpartitioning")
+    assert sum("payload" in b.split("Scan ExistingRDD")[0] for b in below[1:]) <= 1, plan
+    assert 1 <= len(shuffled) <= 3 and "FileScan" not in plan
+
+
+def test_ranges_of_times_and_dates(spark):
+    df = _skewed(spark).withColumn("valid_from", F.timestamp_micros(F.col("valid_from") * 3_600_000_001)).withColumn("seq", F.date_add(F.lit("2024-02-27").cast("date"), F.col("seq").cast("int")))
+    got = skew.neighbour(df, ["key"], ["valid_from", "seq"], "content_hash", "n")
+    assert rows(got) == rows(_plain_neighbour(df, "content_hash", 1))
+
+
 def test_null_keys_are_not_registered(spark):
     hub = spark.createDataFrame([("a", 1)], "k string, v int")
     batch = spark.createDataFrame([("a", 2), ("b", 3), (None, 4), (None, 5)], "k string, v int")
