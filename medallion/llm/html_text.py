@@ -11,8 +11,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,9 +45,11 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
-_MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+_BEGIN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_SPECIAL = re.compile("""[>"']""")
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Labels of training pages.
+_LABELS = {"0": 0, "1": 1}
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 _KNOWN = frozenset("article aside blockquote body dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header li main nav ol p pre section "
@@ -75,27 +77,91 @@ class _Node:
         self.own = self.linked = self.children = 0
 
 
-def _names(attributes: str, label: int) -> tuple[str, int]:
-    """Kind of the element's names, and its label in a labelled page."""
+def _names(attributes: str, label: int, labelled: bool) -> tuple[str, int]:
+    """Kind of the element's names, and its label if the page is a labelled one; elsewhere that attribute means nothing."""
     kinds = set()
     for key, *values in _NAMED.findall(attributes):
         value = "".join(values)
         if key.lower() == "data-y":
-            label = int(value)
+            label = _LABELS.get(value, label) if labelled else label
             continue
         parts = {p.lower() for p in _PARTS.findall(value)}
         kinds |= {"boilerplate"} if parts & _BOILERPLATE else {"content"} if parts & _CONTENT else {"other"}
     return ("boilerplate" if "boilerplate" in kinds else "content" if "content" in kinds else "other" if kinds else "none"), label
 
 
-def parse(source: str) -> tuple[list[_Node], list[tuple[int, str]]]:
+class _Markup:
+    """Comments, declarations and tags of a page, each decided once: the reader only moves forward.
+
+    A tag ends at the first ``>`` outside quotes, or with the page.  One with a quote that nothing closes is text; the
+    quotes that lead there are kept, so no later ``<`` follows them again.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.lost, self.clear = source, set(), (0, 0)
+
+    def _special(self, at: int) -> int:
+        """Place of the next ``>`` or quote, or the end; ``clear`` is a stretch without any."""
+        if not self.clear[0] <= at < self.clear[1]:
+            found = _SPECIAL.search(self.source, at)
+            self.clear = (at, found.start() if found else len(self.source))
+        return self.clear[1]
+
+    def _tag_end(self, at: int) -> int:
+        """The place of a tag's ``>``, the end of the page, or -1."""
+        opened = []
+        while True:
+            at = self._special(at)
+            if at == len(self.source) or self.source[at] == ">":
+                return at
+            opened.append(at)
+            closing = -1 if at in self.lost else self.source.find(self.source[at], at + 1)
+            if closing < 0:
+                self.lost.update(opened)
+                return -1
+            at = closing + 1
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """Start, end, whether an end tag, name (empty: no element) and attributes of the next markup."""
+        while m := _BEGIN.search(self.source, at):
+            if not m[2]:
+                stop = self.source.find("-->" if m[0] == "<!--" else ">", m.end())
+                return m.start(), len(self.source) if stop < 0 else stop + (3 if m[0] == "<!--" else 1), False, "", ""
+            stop = self._tag_end(m.end())
+            if stop >= 0:
+                return m.start(), min(stop + 1, len(self.source)), bool(m[1]), m[2].lower(), self.source[m.end():stop]
+            at = m.end()
+        return None
+
+
+class _Open:
+    """The open elements, with the places of each tag among them."""
+
+    def __init__(self, nodes: list[_Node]):
+        self.nodes, self.stack, self.places = nodes, [0], defaultdict(list)
+
+    def push(self, node: int) -> None:
+        self.places[self.nodes[node].tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of these tags, or 0."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.places[self.nodes[self.stack.pop()].tag].pop()
+
+
+def parse(source: str, labelled: bool = False) -> tuple[list[_Node], list[tuple[int, str]]]:
     """Block elements in page order, parents first, and the text blocks: (node, text), white space folded.
 
     Tags that don't match are passed over; a missing end is where the parent ends.  Nesting is kept on a stack
     of its own, so depth has no limit.  What may stand in a head has no text, so a head needs no end.
     """
     nodes, blocks = [_Node("body", -1, "none", 1, "body")], []
-    stack, text, linked, at, skip = [0], [], 0, 0, ""
+    opened, markup = _Open(nodes), _Markup(source)
+    stack, text, linked, at, skip = opened.stack, [], 0, 0, ""
 
     def close() -> None:
         whole = " ".join("".join(text).split())
@@ -105,22 +171,21 @@ def parse(source: str) -> tuple[list[_Node], list[tuple[int, str]]]:
             nodes[stack[-1]].own += len(whole)
 
     # Each search starts where the last tag or script ended: markup that seems to begin inside a script is none.
-    while m := _MARKUP.search(source, at):
-        if m.start() > at and not skip:
-            piece = html.unescape(source[at:m.start()])
+    while m := markup.next(at):
+        start, stop, end, tag, attributes = m
+        if start > at and not skip:
+            piece = html.unescape(source[at:start])
             text.append(piece)
             if linked:
                 nodes[stack[-1]].linked += len(piece)
-        at = m.end()
-        tag = (m[2] or "").lower()
+        at = stop
         if not tag:
             continue
-        end = bool(m[1])
         if tag in _RAW and tag in _SKIPPED and not end:
             # In a drawing these are plain elements: they may be empty, and end with the drawing.
-            if skip != "svg" or not m[3].endswith("/"):
-                stop = re.compile(rf"</(?:{tag}{'|svg' if skip == 'svg' else ''})(?=[\s/>])", re.I).search(source, at)
-                at = stop.start() if stop else len(source)
+            if skip != "svg" or not attributes.endswith("/"):
+                ended = re.compile(rf"</(?:{tag}{'|svg' if skip == 'svg' else ''})(?=[\s/>])", re.I).search(source, at)
+                at = ended.start() if ended else len(source)
             continue
         if skip:
             skip = "" if end and tag == skip else skip
@@ -128,7 +193,7 @@ def parse(source: str) -> tuple[list[_Node], list[tuple[int, str]]]:
         if tag in _SKIPPED:
             if end:
                 continue
-            if tag not in _VOID and not m[3].endswith("/"):
+            if tag not in _VOID and not attributes.endswith("/"):
                 skip = tag
             continue
         if tag in _INLINE:
@@ -139,34 +204,28 @@ def parse(source: str) -> tuple[list[_Node], list[tuple[int, str]]]:
             continue
         if tag in ("html", "head", "body"):
             continue
-        if tag in _EITHER and (
-                all(nodes[i].tag != tag for i in stack) if end else nodes[stack[-1]].tag in _LINES or any(map(str.strip, text))):
+        if tag in _EITHER and (not opened.last([tag]) if end else nodes[stack[-1]].tag in _LINES or any(map(str.strip, text))):
             continue  # part of the line
         close()
         linked = 0
         if end:
-            for i in range(len(stack) - 1, 0, -1):
-                if nodes[stack[i]].tag == tag:
-                    del stack[i:]
-                    break
+            if place := opened.last([tag]):
+                opened.cut(place)
             continue
         if tag in _VOID:
             continue
         if nodes[stack[-1]].tag == "p" and len(stack) > 1:
-            stack.pop()  # a block ends a paragraph
-        for i in range(len(stack) - 1, 0, -1):
-            open_tag = nodes[stack[i]].tag
-            if open_tag in _STOPS.get(tag, ()) or tag not in _ENDS:
-                break
-            if open_tag in _ENDS[tag]:
-                del stack[i:]
-                break
+            opened.cut(len(stack) - 1)  # a block ends a paragraph
+        if tag in _ENDS:
+            place = opened.last(_ENDS[tag])
+            if place > opened.last(_STOPS.get(tag, ())):
+                opened.cut(place)
         parent = stack[-1]
-        kind, label = _names(m[3], nodes[parent].label)
+        kind, label = _names(attributes, nodes[parent].label, labelled)
         nodes[parent].children += 1
-        inner = tag == "header" and any(nodes[i].tag in ("article", "main") for i in stack)
+        inner = tag == "header" and bool(opened.last(("article", "main")))
         nodes.append(_Node(tag, parent, kind, label, "inner header" if inner else tag if tag in _KNOWN else "other"))
-        stack.append(len(nodes) - 1)
+        opened.push(len(nodes) - 1)
     if at < len(source) and not skip:
         text.append(html.unescape(source[at:]))
     close()
@@ -206,7 +265,7 @@ def count_labels(pages: DataFrame, page: str = "html") -> dict[tuple[str, str, i
         seen: Counter[tuple[str, str, int]] = Counter()
         for batch in batches:
             for source in batch.column(0).to_pylist():
-                nodes, blocks = parse(source)
+                nodes, blocks = parse(source, labelled=True)
                 for node, own in zip(nodes, features(nodes, blocks), strict=True):
                     seen.update((f, "", node.label) for f in own)
                     if node.parent >= 0:
@@ -313,7 +372,9 @@ def main_texts(df: DataFrame, keep: list[str], model: ContentModel | None = None
     """Columns ``c0``, ``c1``, ... (those of ``keep``) and ``text``, the main text of every page.
 
     Blocks are joined by a newline; a page without main text, an empty page and a null have the empty text.
-    Repeated rows stay.
+    Repeated rows stay.  Empty table: no rows.  No page stops the job: attributes are never read as numbers, broken tags
+    are text, and a long page, also of tags or quotes that nothing closes, takes time in proportion to its length.
+    Other columns are not read, and kept ones may have any name.
     """
     model = model or fit(df.sparkSession)
 

@@ -4,6 +4,7 @@ import html
 import itertools
 import math
 import re
+import time
 
 import pytest
 
@@ -20,7 +21,7 @@ def model(llm):
 def test_held_out_accuracy(model):
     right = total = 0
     for page in labelled_pages(300, seed=7):
-        nodes, blocks = h.parse(page)
+        nodes, blocks = h.parse(page, labelled=True)
         content = model.marginals(nodes, h.features(nodes, blocks))
         for node, _ in blocks:
             total += 1
@@ -31,7 +32,7 @@ def test_held_out_accuracy(model):
 def test_messages_give_the_marginals_of_all_states(model, monkeypatch):
     monkeypatch.setattr(h, "SIBLINGS", 1e9)
     page = "<div class=x><nav><a href=a>b c</a></nav><p>Some text, and more.</p><section><p>Words here</p></section></div>"
-    nodes, blocks = h.parse(page)
+    nodes, blocks = h.parse(page, labelled=True)
     own = h.features(nodes, blocks)
     weights = [0.0] * len(nodes)
     total = 0.0
@@ -105,3 +106,29 @@ def test_odd_rows(llm, model):
     pages = llm.createDataFrame([(None, "x", "<p>Text, here it is.</p>", 1), (1, None, None, 2), (1, None, None, 2), (2, "", "", 3)], "page_id long, url string, html string, c0 int")
     assert sorted(r["text"] for r in h.main_texts(pages, pages.columns, model).collect()) == ["", "", "", "Text, here it is."]
     assert h.main_texts(pages.limit(0), ["page_id"], model).count() == 0
+
+
+def test_training_labels_mean_nothing_on_real_pages():
+    for value in ("12.5", "", "10px", "0", "x"):
+        page = f'<body><div class="article" data-y="{value}"><p>Some words, and more.</p></div></body>'
+        nodes, blocks = h.parse(page)
+        assert [n.label for n in nodes] == [1, 1, 1] and blocks == [(2, "Some words, and more.")]
+
+
+def test_broken_pages_take_time_in_proportion_to_their_length():
+    n = 100_000
+    pages = {
+        "quote": "<a " * 300_000 + '"', "quotes": '<a "x" ' * 100_000 + "'", "tags": "<p" * 300_000, "open": "<div>" * n + "</p></x></b>" * n,
+        "items": "<li><ul>" + "<div>" * n + "<li></li>" * n, "headers": "<div>" * n + "<header></header>" * n, "less": "<" * 1_000_000,
+        "objects": "<div>" * n + "</object>" * n, "comments": "<!-" * 300_000, "scripts": "<script>" * n, "ends": "</script" * n,
+    }
+    for name, page in pages.items():
+        began = time.process_time()
+        h.parse(page)
+        assert time.process_time() - began < 5, name  # a second or so; hours if each tag read all that follows
+
+
+def test_unclosed_quotes_are_text():
+    assert h.parse('<p>one <a href="x>two</p>')[1] == [(1, 'one <a href="x>two')]
+    assert h.parse("<p>it's <b title='a>b'>bold</b> \"so\"</p>")[1] == [(1, "it's bold \"so\"")]
+    assert h.parse("<p>one<div")[1] == [(1, "one")]
