@@ -81,12 +81,13 @@ def quarantined(parsed: DataFrame) -> DataFrame:
 
 
 def row_events(
-    rows: DataFrame, op: Column | str, key_parts: Sequence[str], profile: SourceProfile = DEFAULT_PROFILE, at: Column | None = None
+    rows: DataFrame, op: Column | str, key_parts: Sequence[str], profile: SourceProfile = DEFAULT_PROFILE, at: Column | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Event rows of polled or logged rows: batch id ``no:seq`` and its locator (KEY-9).
 
     With the time ``at`` of the change they are whole rows of the event table; the time is part of the id, so each
-    change of a row is an event of its own.
+    change of a row is an event of its own.  ``keep``: columns of the rows that the events carry on.
     """
     operation = F.col(op) if isinstance(op, str) else op
     batch = K.joined(":", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in key_parts])
@@ -102,7 +103,7 @@ def row_events(
         moment = at.cast("timestamp")
         event_id = K.surrogate_id(F.lit(profile.table_name), batch, locator, operation, F.unix_micros(moment))
         columns = [event_id.alias("bronze_rdb_event_id"), *columns, moment.alias("event_dts")]
-    return rows.select(*columns)
+    return rows.select(*columns, *keep)
 
 
 def pending_log(log: DataFrame, last_id: int = 0) -> DataFrame:

@@ -68,8 +68,32 @@ def to_index(staged: DataFrame, enriched: DataFrame, chunked: DataFrame) -> Data
     )
 
 
-# Control characters and their letters in JSON; a serialised text holds none of them as they are.
+# Control characters as JSON writes them: five by letters, the others by number.
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
+_NUMBERED = {f"u{c:04X}": chr(c) for c in range(32) if chr(c) not in _ESCAPES.values()}
+_CONTROL = r"[\x00-\x07\x0B\x0E-\x1F]"
+
+
+def _unescaped(text: Column) -> Column:
+    """The serialised text with its control characters as they are; other escapes stay."""
+    def undone(value: Column, escapes: dict[str, str]) -> Column:
+        for letters, char in escapes.items():
+            value = F.regexp_replace(value, r"(?<!\\)((?:\\\\)*)\\(?i:" + letters + ")" if letters[1:] else r"(?<!\\)((?:\\\\)*)\\" + letters, "$1" + char)
+        return value
+
+    text = undone(text, _ESCAPES)
+    return F.when(text.rlike(r"\\u00[01]"), undone(text, _NUMBERED)).otherwise(text)
+
+
+def _escaped(text: Column) -> Column:
+    """Control characters written as JSON does."""
+    def done(value: Column, escapes: dict[str, str]) -> Column:
+        for letters, char in escapes.items():
+            value = F.replace(value, F.lit(char), F.lit("\\" + letters))
+        return value
+
+    text = done(text, _ESCAPES)
+    return F.when(text.rlike(_CONTROL), done(text, _NUMBERED)).otherwise(text)
 
 
 def mask_stage(
@@ -77,8 +101,8 @@ def mask_stage(
 ) -> DataFrame:
     """Silver masking of structured documents.
 
-    ``on="leaf"`` masks the texts as they were before serialisation: the escaped line breaks and tabs of the
-    JSON are real ones while the patterns look.  ``on="json"`` masks the serialised document; there a line
+    ``on="leaf"`` masks the texts as they were before serialisation: line breaks, tabs and all other control characters
+    that the JSON holds as escapes are real ones while the patterns look.  ``on="json"`` masks the serialised document; there a line
     break is a backslash and a letter, the letter hides the word boundary, and what follows it is missed.
 
     With a ``detector`` (see ``spans.detect_spans``) its entity spans are replaced on top: the two-layer mode.
@@ -87,16 +111,12 @@ def mask_stage(
         raise ValueError("on is leaf or json")
     text = F.col("structured_content")
     if on == "leaf":
-        for letter, char in _ESCAPES.items():
-            text = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\" + letter, "$1" + char)
+        text = _unescaped(text)
     out = mask_documents(rows.select("structured_doc_id", text.alias("_content")), "_content")
     if detector is not None:
         out = mask_spans(out, detect_spans(out, "structured_doc_id", "masked_content", detector), "structured_doc_id")
     if on == "leaf":
-        masked = F.col("masked_content")
-        for letter, char in _ESCAPES.items():
-            masked = F.replace(masked, F.lit(char), F.lit("\\" + letter))
-        out = out.withColumn("masked_content", masked)
+        out = out.withColumn("masked_content", _escaped(F.col("masked_content")))
     return out.select(
         surrogate_id(F.lit("masked"), "structured_doc_id").alias("masked_doc_id"),
         *[c for c in out.columns if c != "_content"],

@@ -202,14 +202,14 @@ def vault_join(spark, d):
     """WITH e AS (SELECT strftime(o_orderdate, '%Y-%m') AS batch_id, count(*) AS record_count FROM orders GROUP BY 1)
 SELECT sha256('report_history||' || batch_id || '||s3://bronze/' || batch_id) AS bronze_rdb_event_id,
   'report_history' AS table_name, batch_id, 's3://bronze/' || batch_id AS s3_path, record_count,
-  'snapshot' AS change_operation FROM e""",
+  'snapshot' AS change_operation, '2026-01-02 03:04:05' AS event_dts FROM e""",
 )
 def load_events(spark, d):
     """VLT-2, SNK-4, AGG-11, DAT-2."""
     month = F.date_format("o_orderdate", "yyyy-MM")
     orders = table(spark, d, "orders").select(month.alias("month"))
     events = B.load_events(orders, "month", F.concat(F.lit("s3://bronze/"), "month"), LOAD_TS)
-    return events.drop("event_dts")
+    return events.withColumn("event_dts", F.date_format("event_dts", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query(

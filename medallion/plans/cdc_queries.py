@@ -10,7 +10,7 @@ from ..operators import cdc as C
 from ..operators import stats
 from ..operators import tables as T
 from ..session import spread_small, stream_session, work_path
-from ..sources import polling, records
+from ..sources import change_log, polling, records
 from ..streaming import changes as CH
 from ..streaming import sightings as SI
 from .registry import query, table
@@ -204,6 +204,23 @@ def changelog_mark(spark, d):
     return C.mark_processed(_log(spark, d), done).select("id", "processed")
 
 
+@query(
+    "changelog_two_rounds",
+    f"""WITH {_LOG_SQL}, h AS (SELECT (max(id) + min(id)) // 2 AS half FROM log)
+SELECT id AS log_id, CASE WHEN id <= half AND id % 7 <> 0 THEN 0 ELSE 1 END AS round, user_id || ':1' AS batch_id, lower(operation) AS change_operation
+FROM log, h WHERE NOT processed""",
+)
+def changelog_two_rounds(spark, d):
+    """SNK-8, SRC-5: half the log, then all of it; ids that came late are read in the second round, the others once."""
+    path, log = work_path(spark, "log-rounds"), _log(spark, d)
+    ends = log.agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
+    key = ["pilot_problem_no", "reform_numseq"]
+    change_log.run_round(spark, log.where((F.col("id") <= (ends.a + ends.b) // 2) & (F.col("id") % 7 != 0)), path, key)
+    change_log.run_round(spark, log, path, key)
+    change_log.run_round(spark, log, path, key)  # nothing new
+    return change_log.committed_events(spark, path).select("log_id", "round", "batch_id", "change_operation")
+
+
 @query(
     "apply_changes",
     """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events)
@@ -293,6 +310,26 @@ def stream_quarantine(spark, d):
     return spark.read.parquet(f"{out}/bad").select("batch_id", "s3_path", "error")
 
 
+@query(
+    "stream_stage_counts",
+    """SELECT 'structuring' AS stage, count(*) AS docs_out FROM documents UNION ALL SELECT 'masking', count(*) FROM labels
+UNION ALL SELECT 'chunking', count(*) FROM conversations UNION ALL SELECT 'enrichment', count(*) FROM pages UNION ALL SELECT 'mapping', 0""",
+)
+def stream_stage_counts(spark, d):
+    """CDC-9: live counts of all stages from one stream over their tables, one file of each per trigger; one stage is still empty."""
+    out, stages = work_path(spark, "stages"), {}
+    for stage, name in (("structuring", "documents"), ("masking", "labels"), ("chunking", "conversations"), ("enrichment", "pages")):
+        rows = table(spark, d, name)
+        rows.repartition(3).write.parquet(f"{out}/{stage}")
+        stages[stage] = (f"{out}/{stage}", rows.schema)
+    empty = table(spark, d, "documents").limit(0)
+    empty.write.parquet(f"{out}/mapping")
+    stages["mapping"] = (f"{out}/mapping", empty.schema)
+    counts = CH.stage_rows(stream_session(spark), stages, max_files=1)
+    CH.write_stage_counts(counts, f"{out}/counts", f"{out}/state").awaitTermination()
+    return CH.latest_stage_counts(spark, f"{out}/counts", list(stages))
+
+
 @query(
     "stream_counts",
     f"WITH {_ENTRIES_SQL} SELECT change_operation, count(*) AS events FROM parsed WHERE error IS NULL GROUP BY 1",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.keys import row_hash
 from ..functions.mapping import security_class
@@ -13,7 +15,7 @@ from ..operators import silver as S
 from ..operators import spans as SP
 from ..operators import stages as ST
 from ..operators import stats
-from ..session import materialized, spread_small
+from ..session import materialized, spread_small, work_path
 from .inputs import REPORTS_SQL, reports, sql_class, sql_masked
 from .registry import query, table
 
@@ -289,6 +291,46 @@ def mask_regex(spark, d):
     return _masked(spark, d).select("doc_id", "masked_content", "pii_detection_count", "is_masked")
 
 
+_CONTROLS_SQL = f"""WITH {REPORTS_SQL}, odd AS (SELECT doc_id, chr(11) || '010-1234-5678' || chr(1) || 'a.b@example.com' || chr(31) || 'x' || chr(9) || '123456-1234567' || chr(27)
+    || content || chr(7) || '01012345678' || chr(10) || '\\u000B' AS content FROM reports),
+{sql_masked('odd', 'content', 'doc_id')}
+SELECT doc_id, t AS content, CAST(total AS INTEGER) AS pii_detection_count FROM masked"""
+
+
+@query("mask_stage", _CONTROLS_SQL)
+def mask_stage_query(spark, d):
+    """STR-1 through the stage: personal data right after control characters that JSON writes as numbers."""
+    chars = {n: F.lit(chr(n)) for n in (1, 7, 9, 10, 11, 27, 31)}
+    content = F.concat(
+        chars[11], F.lit("010-1234-5678"), chars[1], F.lit("a.b@example.com"), chars[31], F.lit("x"), chars[9], F.lit("123456-1234567"),
+        chars[27], F.col("content"), chars[7], F.lit("01012345678"), chars[10], F.lit("\\u000B"))
+    docs = spread_small(reports(spark, d)).select(
+        F.col("doc_id").alias("structured_doc_id"), F.to_json(F.struct(content.alias("content"))).alias("structured_content"))
+    out = ST.mask_stage(docs)
+    return out.select(
+        F.col("structured_doc_id").alias("doc_id"), F.from_json("masked_content", "content string")["content"].alias("content"), "pii_detection_count")
+
+
+@query(
+    "stage_rerun",
+    f"{_MASKED_SQL} SELECT doc_id, t AS masked_content, CAST(doc_id % 2 AS INTEGER) AS run FROM masked",
+)
+def stage_rerun(spark, d):
+    """INC-1: a stage run on half its input, then on all of it, then once more: each document is done once, in its run."""
+    path = work_path(spark, "stage")
+    source = spread_small(reports(spark, d).select("doc_id", "content"))
+    schema = StructType.fromDDL("doc_id long, masked_content string, run int")
+
+    def run(number: int, rows: DataFrame) -> DataFrame:
+        return ST.run_stage(
+            spark, path, schema, lambda done: rows.join(done.select("doc_id"), "doc_id", "left_anti"),
+            lambda pending: mask_documents(pending, "content").withColumn("run", F.lit(number)))
+
+    run(0, source.where("doc_id % 2 = 0"))
+    run(1, source)
+    return run(2, source)
+
+
 @query(
     "pii_counts",
     _MASKED_SQL

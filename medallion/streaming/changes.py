@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..constants import DEFAULT_PROFILE, SourceProfile
 from ..operators.cdc import good_events, parse_entries, quarantined
@@ -89,9 +91,43 @@ def write_counts(
 ) -> StreamingQuery:
     """Live counts per operation, the whole result after every trigger (CDC-9, AGG-8).
 
-    The result has one row per operation; the newest ``stream_batch`` folder is the current one, and those
-    before the last two go.
+    The result has one row per operation.
     """
+    return _write_complete(operation_counts(good_events(parse_entries(entries, profile))), path, checkpoint, available_now)
+
+
+def stage_rows(spark: SparkSession, stages: Mapping[str, tuple[str, StructType]], max_files: int | None = None) -> DataFrame:
+    """One stream over the tables of all stages, a path and schema each: a row ``stage`` for each of their rows.
+
+    No column of a table is read but what counting needs.  A table that is still empty must have its folder.
+    """
+    parts = []
+    for stage, (path, schema) in stages.items():
+        reader = spark.readStream.schema(schema)
+        if max_files:
+            reader = reader.option("maxFilesPerTrigger", max_files)
+        parts.append(reader.parquet(path).select(F.lit(stage).alias("stage")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def write_stage_counts(rows: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Live counts per stage, the whole result after every trigger (CDC-9).
+
+    The state is one number per stage, and tasks count before they shuffle, so a stage of any size adds a row per task.
+    """
+    return _write_complete(rows.groupBy("stage").agg(F.count("*").alias("docs_out")), path, checkpoint, available_now)
+
+
+def latest_stage_counts(spark: SparkSession, path: str, stages: Sequence[str]) -> DataFrame:
+    """The newest counts of all stages, 0 for those without rows."""
+    names = spark.createDataFrame([(s,) for s in stages], "stage string")
+    counts = latest_counts(spark, path).withColumnRenamed("stage", "_stage")
+    joined = names.join(F.broadcast(counts), F.col("stage") == F.col("_stage"), "left")  # a row per stage on both sides
+    return joined.select("stage", F.coalesce("docs_out", F.lit(0)).alias("docs_out"))
+
+
+def _write_complete(counted: DataFrame, path: str, checkpoint: str, available_now: bool) -> StreamingQuery:
+    """The newest ``stream_batch`` folder is the current result; those before the last two go."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/stream_batch={batch_id:012d}")
@@ -103,7 +139,6 @@ def write_counts(
             if name.startswith("stream_batch=") and int(name.partition("=")[2]) < batch_id - 1:
                 files.delete(entry.getPath(), True)
 
-    counted = operation_counts(good_events(parse_entries(entries, profile)))
     return _start(counted.writeStream.outputMode("complete").foreachBatch(write), checkpoint, available_now)
 
 

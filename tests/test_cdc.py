@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from medallion.constants import SourceProfile
 from medallion.operators import cdc
 from medallion.session import work_path
-from medallion.sources import batches, polling, records
+from medallion.sources import batches, change_log, polling, records
 from medallion.streaming import changes, sightings
 from tests.conftest import rows
 
@@ -264,3 +265,43 @@ def test_state_ends_in_event_time(spark):
     out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start().awaitTermination(120)
     got = {r.id: r.change_operation for r in spark.read.parquet(f"{root}/out").collect()}
     assert got == _python_rule(data, timedelta(days=7))
+
+
+def test_rounds_of_a_change_log_survive_a_crash(spark):
+    """A round without its commit is read again whole; committed ids are never read twice, late ones are read."""
+    path = work_path(spark, "rounds")
+    log = spark.createDataFrame(
+        [(i, "INSERT" if i % 2 else "Update", f"p{i % 3}", 1, i == 4) for i in range(10)],
+        "id long, operation string, pilot_problem_no string, reform_numseq int, processed boolean")
+    key = ["pilot_problem_no", "reform_numseq"]
+    assert change_log.committed_events(spark, path) is None and change_log.processed_ids(spark, path) is None
+    assert change_log.run_round(spark, log.where("id < 6 AND id <> 2"), path, key) == 0
+    log.select(F.col("id").alias("log_id")).write.parquet(f"{path}/round=1")  # a round that died before its commit
+    os.remove(f"{path}/round=1/_SUCCESS")
+    assert {r.log_id for r in change_log.committed_events(spark, path).collect()} == {0, 1, 3, 5}
+    assert change_log.run_round(spark, log, path, key) == 1
+    second = change_log.committed_events(spark, path, only=1)
+    assert sorted((r.log_id, r.change_operation, r.batch_id) for r in second.collect()) == [
+        (2, "update", "p2:1"), (6, "update", "p0:1"), (7, "insert", "p1:1"), (8, "update", "p2:1"), (9, "insert", "p0:1")]
+    assert change_log.run_round(spark, log, path, key) == 2 and change_log.committed_events(spark, path, only=2).count() == 0
+    marked = cdc.mark_processed(log, change_log.processed_ids(spark, path))
+    assert marked.where("NOT processed").count() == 0 and marked.count() == 10
+
+
+def test_live_counts_of_all_stages(spark):
+    """Counts follow new files of any stage, also after a restart."""
+    root = work_path(spark, "stages")
+    tables = {s: (f"{root}/{s}", spark.range(1).schema) for s in ("structuring", "masking", "chunking")}
+
+    def add(stage, n):
+        spark.range(n).coalesce(1).write.mode("append").parquet(f"{root}/{stage}")
+
+    def counts():
+        changes.write_stage_counts(changes.stage_rows(spark, tables), f"{root}/counts", f"{root}/state").awaitTermination()
+        return {r.stage: r.docs_out for r in changes.latest_stage_counts(spark, f"{root}/counts", [*tables, "never"]).collect()}
+
+    add("structuring", 5), add("masking", 2), add("chunking", 0)
+    assert counts() == {"structuring": 5, "masking": 2, "chunking": 0, "never": 0}
+    add("chunking", 30), add("masking", 1)
+    assert counts() == {"structuring": 5, "masking": 3, "chunking": 30, "never": 0}
+    assert counts()["chunking"] == 30

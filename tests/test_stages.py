@@ -158,3 +158,17 @@ def test_indexed_ids_are_recorded_once(spark):
     done = stages.write_indexed(spark, spark.createDataFrame([("a",), ("c",)], "staged_id string"), path)
     assert rows(done) == [("a",), ("c",)]
     assert rows(stages.mark_indexed(staged, done).select("staged_id", "indexing_status")) == [("a", "indexed"), ("b", "staged"), ("c", "indexed")]
+
+
+def test_masking_after_any_control_character(spark):
+    phone = "010-1234-5678"
+    texts = [f"{chr(c)}{phone}{chr(c)}end" for c in range(32)] + [f"\\u000B{phone}", f"\\\\{chr(11)}{phone}", f"x{chr(31)}\\n{phone}"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "structured_doc_id string, t string")
+    df = df.select("structured_doc_id", F.to_json(F.struct("t")).alias("structured_content"))
+    out = stages.mask_stage(df).select("structured_doc_id", "masked_content", "pii_detection_count", F.from_json("masked_content", "t string")["t"].alias("t"))
+    got = {int(r.structured_doc_id): r for r in out.collect()}
+    for i in range(32):
+        assert got[i].t == f"{chr(i)}010****1234{chr(i)}end", i
+        assert not any(ord(c) < 32 for c in got[i].masked_content)  # still JSON
+    assert got[32].t == texts[32]  # a real backslash, u, digits and a letter: no word begins there
+    assert got[33].t == f"\\\\{chr(11)}010****1234" and got[34].t.startswith(f"x{chr(31)}")
