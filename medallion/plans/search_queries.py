@@ -9,6 +9,7 @@ from ..functions.mapping import metadata_tags, role_ids, security_class
 from ..functions.text import l2_normalised, strip
 from ..operators import search as SE
 from ..operators import search_index as IX
+from ..operators import vector_index as VX
 from ..operators.tables import lookup_or_first
 from ..session import spread_small, work_path
 from .inputs import CODES, sql_class, sql_keywords, sql_strip, sql_summary
@@ -162,8 +163,10 @@ def index_fold_search(spark, d):
 SELECT query_id, staged_id, score, CAST(rank AS INTEGER) AS rank FROM nn""",
 )
 def vector_topk(spark, d):
-    """RANK-2: every vector whose id is divisible by 20 against all vectors."""
-    return SE.vector_hits(_vectors(spark, d), _vector_queries(spark, d))
+    """RANK-2: every vector whose id is divisible by 20 against all vectors, by clusters."""
+    path = work_path(spark, "vectors")
+    VX.write_vectors(_vectors(spark, d), path)
+    return VX.clustered_hits(VX.read_vectors(spark, path), _vector_queries(spark, d))
 
 
 _RRF = """rrf AS (SELECT kw.query_id, kw.staged_id, 1.0::DOUBLE / (60 + kw.rank) + 1.0::DOUBLE / (60 + coalesce(nn.rank, 11)) AS score,
