@@ -22,7 +22,7 @@ GROUP_CHARS = 4_000_000
 
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text column; null is the empty text."""
-    return F.coalesce(df[column], F.lit(""))
+    return F.coalesce(df[f"`{column}`"], F.lit(""))
 
 
 class Scratch:

@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, groups, text_of, written
+from .common import groups, text_of, written
 
 WINDOW = 10
 #: Bytes of test items broadcast at a time (about ten times as many bytes of table); more items are scanned
@@ -155,21 +155,23 @@ def find(
     """Columns ``c0``, ``c1``, ... (those of ``keep``) with n_words, n_hit, item_ids and spans of every row of ``df``.
 
     Distinct items go to the tasks in blocks of at most ``block_chars`` bytes.  With more than one block, each
-    block's finds are written before the next one is broadcast, and each row's finds are put together again.  Null texts have no words; a null item id is the id "null"; rows of one item id are one item;
-    empty tables give no finds.
+    block's finds are written before the next one is broadcast, and each row's finds are put together again.  Null
+    texts have no words; a null item id is the id "null"; rows of one item id are one item; empty tables give no
+    finds.  Columns of ``keep`` may have any name.
     """
     spark = df.sparkSession
     tests = items.select(
-        F.coalesce(items[item_id].cast("string"), F.lit("null")).alias("item"), text_of(items, item_text).cast("binary").alias("text"),
+        F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("null")).alias("item"), text_of(items, item_text).cast("binary").alias("text"),
     ).where(F.octet_length("text") > 0).distinct().withColumn("size", F.octet_length("item") + F.octet_length("text"))
     if (tests.agg(F.sum("size")).first()[0] or 0) <= block_chars:
         return _scan(df, text, keep, _broadcast(spark, tests.collect(), n))
-    key = fresh(df.columns, "row")
-    rows = written(df.select(*keep, *([text] if text not in keep else [])).withColumn(key, F.monotonically_increasing_id()), "to-scan")
+    # The caller's columns are c0, c1, ... from here on, so no name of theirs meets one of these.
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
+    rows = written(df.select(*own, F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("row")), "to-scan")
     parts: list[DataFrame] = []
     for block in _blocks(written(tests, "test-items"), block_chars):
         windows = _broadcast(spark, block, n)
-        found = _scan(rows, text, [key], windows)
+        found = _scan(rows, "text", ["row"], windows)
         # The first block's finds have every row, with its count of words; the others' those with a hit.
         parts.append(written(found.where("n_hit > 0") if parts else found, f"finds-{len(parts)}"))
         windows.destroy()
@@ -179,12 +181,10 @@ def find(
     together = together.groupBy("c0").agg(
         F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
         F.flatten(F.collect_list("spans")).alias("spans"))
-    merged = _merge(rows, key, text, together)
-    out = merged.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), "n_words", "n_hit", "item_ids", "spans")
-    return out
+    return _merge(rows, together).select(*(f"c{i}" for i in range(len(keep))), "n_words", "n_hit", "item_ids", "spans")
 
 
-def _merge(rows: DataFrame, key: str, text: str, found: DataFrame) -> DataFrame:
+def _merge(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Unite overlapping spans and count their words again."""
     ordered = F.array_sort(F.col("spans"))
     united = F.aggregate(
@@ -195,9 +195,9 @@ def _merge(rows: DataFrame, key: str, text: str, found: DataFrame) -> DataFrame:
                 F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end")))),
         ).otherwise(F.concat(done, F.array(s))))
     pattern = r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
-    joined = rows.join(found.withColumnRenamed("c0", f"{key}_of"), F.col(key) == F.col(f"{key}_of")).withColumn("spans", united)
+    joined = rows.join(found.withColumnRenamed("c0", "row_of"), F.col("row") == F.col("row_of")).withColumn("spans", united)
     body = F.expr(f"""aggregate(spans, 0L, (n, s) -> n + size(regexp_extract_all(
-        translate(substring(`{text}`, s.start + 1, s.end - s.start), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        translate(substring(text, s.start + 1, s.end - s.start), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '{pattern.replace(chr(92), chr(92) * 2)}', 0)))""")
     return joined.withColumn("n_hit", body)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, groups, text_of, written
+from .common import groups, text_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct known values of a kind a pattern needs, and their share of all its values.
@@ -29,13 +29,15 @@ MIN_SCORE = 0.9
 # Base kinds: fixed patterns of the contract.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # from within a run of digits nothing else would match
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 # What an identifier that no base kind takes may look like.
 _NUMBER = re.compile(r"\(?[0-9](?:[ ().-]{0,2}[0-9]){5,}")
-_MAIL = re.compile(r"[\w.+-]+ ?(?:@|\(at\)|\[at\]) ?\w[\w.-]*\w")
+_AT = re.compile(r"@|\(at\)|\[at\]")
+_HOST = re.compile(r" ?\w[\w.-]*\w")
+_USER = re.compile(r"[\w.+-]")
 _WORD = re.compile(r"[^\W_]+")
 _NOT_DIGITS = bytes(b for b in range(256) if not 48 <= b <= 57)
 _CONTEXT = 60  # characters on either side that may hold the two words before and the one after
@@ -89,11 +91,25 @@ def _fits(value: str) -> list[str]:
     ]
 
 
+def _mails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of ``[\\w.+-]+``, an at sign of some kind with a space at most on its sides, and a host."""
+    last = 0
+    for at in _AT.finditer(text):
+        if at.start() < last or not (host := _HOST.match(text, at.end())):
+            continue
+        end = start = at.start() - (at.start() > last and text[at.start() - 1] == " ")
+        while start > last and _USER.match(text[start - 1]):
+            start -= 1
+        if start < end:
+            yield start, host.end()
+            last = host.end()
+
+
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, list[str]]]:
     """Identifier-like spans that touch no base span: (start, end, kinds it could be)."""
     found = [m.span() for m in _NUMBER.finditer(text)] if re.search("[0-9]", text) else []
     if "@" in text or "(at)" in text or "[at]" in text:
-        found += [m.span() for m in _MAIL.finditer(text)]
+        found += _mails(text)
     out, taken, i, covered = [], sorted((s, e) for s, e, _ in base), 0, 0  # covered: up to here something is taken
     for s, e in sorted(found):
         while i < len(taken) and taken[i][0] < e:
@@ -207,30 +223,30 @@ def redact(df: DataFrame, text: str = "text", length: str | None = None, rounds:
     """``df`` with each span replaced by its kind in brackets; overlapping spans become one of the first's kind.
 
     ``length`` names a column that holds the text's length and follows it.  Rows without spans stay as they are,
-    null texts too.
+    null texts too.  Empty table: no rows.  Other columns stay, whatever their names.
     """
-    key = fresh(df.columns, "row")
-    rows = written(df.withColumn(key, F.monotonically_increasing_id()), "to-redact")
-    of, found, redacted = (fresh(rows.columns, c) for c in ("row_of", "spans", "redacted"))
-    spans = find(rows, [key], text, rounds).where("spans != ''").select(F.col("c0").alias(of), F.col("spans").alias(found))
+    # The caller's columns are c0, c1, ... on the way, so no name of theirs meets one of these.
+    names = df.columns
+    at = names.index(text)
+    rows = written(df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.monotonically_increasing_id().alias("row")), "to-redact")
+    spans = find(rows, ["row"], f"c{at}", rounds).where("spans != ''").select(F.col("c0").alias("row_of"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [_replace(t, s) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[of, redacted])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row_of", "redacted"])
 
-    hit = rows.join(spans, F.col(key) == F.col(of))
-    new = hit.select(key, text, found).mapInArrow(run, f"`{of}` long, `{redacted}` string")
-    out = rows.join(new, F.col(key) == F.col(of), "left")
-    value = F.coalesce(redacted, rows[text])
+    hit = rows.join(spans, F.col("row") == F.col("row_of"))
+    new = hit.select("row", f"c{at}", "spans").mapInArrow(run, "row_of long, redacted string")
+    out = rows.join(new, F.col("row") == F.col("row_of"), "left")
     columns = []
-    for c in df.columns:
+    for i, c in enumerate(names):
+        value = F.col(f"c{i}")
         if c == text:
-            columns.append(value.alias(c))
+            value = F.coalesce("redacted", value)
         elif c == length:
-            columns.append(F.when(F.col(redacted).isNull(), rows[c]).otherwise(F.char_length(redacted).cast(df.schema[c].dataType)).alias(c))
-        else:
-            columns.append(rows[c])
+            value = F.when(F.col("redacted").isNull(), value).otherwise(F.char_length("redacted").cast(df.schema[c].dataType))
+        columns.append(value.alias(c))
     return out.select(*columns)
 
 

@@ -92,3 +92,23 @@ def test_all_tables(llm, sf):
     own = [(r["item_id"], r["text"]) for r in items.collect()]
     for r in d.find(docs, items, ["text"]).collect():
         assert (r["n_words"], r["n_hit"], r["item_ids"]) == _brute(r["c0"], own)
+
+
+@pytest.mark.parametrize("block_chars", [d.BLOCK_CHARS, 40])
+def test_clashing_and_dotted_columns(llm, block_chars, monkeypatch):
+    """Columns named like the operator's own are kept as they are, with one block and with many."""
+    names = ["doc_id", "n_hit", "n_words", "row", "row_of", "spans", "item_ids", "a.b", "c0", "item", "text", "size"]
+    rows = [(k, 7, -1, 1, 2, "s", "i", "dotted", "c", "t", t, 5) for k, t in TEXTS]
+    kinds = ["long", "long", "long", "long", "long", "string", "string", "string", "string", "string", "string", "long"]
+    docs = llm.createDataFrame(rows, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
+    items = llm.createDataFrame(ITEMS, "item_id long, text string")
+    got = d.find(docs, items, names, block_chars=block_chars).collect()
+    assert len(got) == len(TEXTS)
+    for r in got:
+        assert (r["n_words"], r["n_hit"], r["item_ids"]) == _brute(r["c10"], ITEMS)
+        assert [r[f"c{i}"] for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 11)] == [7, -1, 1, 2, "s", "i", "dotted", "c", "t", 5]
+    find = d.find
+    monkeypatch.setattr(d, "find", lambda *a, **k: find(*a, **k, block_chars=block_chars))
+    kept = d.decontaminate(docs, items, "documents")
+    assert kept.columns == names and sorted(r["doc_id"] for r in kept.collect()) == [4, 5, 6]
+    assert d.decontaminate(docs, items, "spans").where("n_hit = 7 AND `a.b` = 'dotted'").count() == len(TEXTS)

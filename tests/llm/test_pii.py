@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -109,3 +111,30 @@ def test_all_documents(llm, sf):
     docs = table(llm, sf, "documents")
     for r in pii.find(docs, ["text"]).collect():
         assert r["base"] == ",".join(f"{k}:{s}:{e}" for s, e, k in _brute(r["c0"]))
+
+
+def test_clashing_and_dotted_columns(llm):
+    names = ["doc_id", "text", "row", "row_of", "spans", "redacted", "a.b", "c0", "c1", "n_chars"]
+    rows = [(1, "write to a.b@example.com now", 1, 2, "s", "r", "dotted", "c", "d", 28), (2, None, 1, 2, "s", "r", "dotted", "c", "d", None)]
+    kinds = ["long", "string", "long", "long", "string", "string", "string", "string", "string", "long"]
+    df = llm.createDataFrame(rows, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
+    got = pii.redact(df, length="n_chars")
+    assert got.columns == names
+    text = "write to [EMAIL] now"
+    assert sorted(tuple(r) for r in got.collect()) == [(1, text, *rows[0][2:9], len(text)), rows[1]]
+
+
+def test_mails_and_ips_like_plain_patterns():
+    mail, ip = re.compile(r"[\w.+-]+ ?(?:@|\(at\)|\[at\]) ?\w[\w.-]*\w"), re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+    rng = random.Random(5)
+    for _ in range(20_000):
+        text = "".join(rng.choice(["a", "b.", " ", "@", "(at)", "[at]", "-", "1", "2.3", ".", "é", "+", "\n"]) for _ in range(rng.randint(0, 25)))
+        assert list(pii._mails(text)) == [m.span() for m in mail.finditer(text)], text
+        assert [m.span() for m in pii._IP.finditer(text)] == [m.span() for m in ip.finditer(text)], text
+
+
+def test_long_runs_take_time_in_proportion_to_their_length():
+    for text in ("a" * 1_000_000 + " @", "1" * 1_000_000 + " x", "1." * 500_000, "a@" * 300_000, "+1" + "(" * 500_000):
+        began = time.process_time()
+        pii.candidates(text, pii.base_spans(text))
+        assert time.process_time() - began < 8
