@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-def computed_once(df: DataFrame, keep: list[str], values: Column) -> DataFrame:
+def computed_once(df: DataFrame, keep: list[str] | list[Column], values: Column) -> DataFrame:
     """``keep`` and the fields of the struct ``values`` as columns, computed once per row.
 
     The optimizer writes the definition of a column into every filter and projection above it, so a costly

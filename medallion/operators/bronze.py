@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_PROFILE, SourceProfile
 from ..functions import keys as K
+from .fingerprints import BUCKETS, Comparison
 from .tables import insert_ignore, last_per_key
 
 HUB_KEY = "document_hub_hash_key"
@@ -92,19 +93,17 @@ def registry(
     )
 
 
-def parity(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+def parity(a: DataFrame, b: DataFrame, columns: list[str], buckets: int = BUCKETS) -> DataFrame:
     """Compare two loads of one batch (AGG-12): row counts and rows found on one side only.
 
-    Rows are counted per distinct value of ``columns`` inside the tasks first; nothing is sorted or
-    paired.  For wide rows pass a row hash as the only column.
+    Loads that agree cross the network as sums per bucket of rows.  Rows of buckets that differ are counted per
+    distinct value of ``columns`` inside the tasks first; nothing is sorted or paired.
     """
-    signed = a.select(*columns, F.lit(1).alias("_s")).unionAll(b.select(*columns, F.lit(-1).alias("_s")))
-    net = signed.groupBy(*columns).agg(
-        F.sum("_s").alias("net"), F.count_if(F.col("_s") > 0).alias("na"), F.count_if(F.col("_s") < 0).alias("nb")
-    )
-    return net.agg(
-        F.coalesce(F.sum("na"), F.lit(0)).alias("rows_a"),
-        F.coalesce(F.sum("nb"), F.lit(0)).alias("rows_b"),
-        F.coalesce(F.sum(F.greatest("net", F.lit(0))), F.lit(0)).alias("only_a"),
-        F.coalesce(F.sum(F.greatest(-F.col("net"), F.lit(0))), F.lit(0)).alias("only_b"),
-    ).withColumn("same_columns", F.lit(sorted(a.columns) == sorted(b.columns)))
+    both = Comparison(a, b, columns, buckets=buckets)
+    none = F.lit(0).cast("long")
+    rows = both.buckets.select("rows_a", "rows_b", none.alias("only_a"), none.alias("only_b"))
+    net = both.net().select(
+        none.alias("rows_a"), none.alias("rows_b"),
+        F.greatest("net", F.lit(0)).alias("only_a"), F.greatest(-F.col("net"), F.lit(0)).alias("only_b"))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows.columns]
+    return rows.unionAll(net).agg(*sums).withColumn("same_columns", F.lit(sorted(a.columns) == sorted(b.columns)))

@@ -9,6 +9,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .fingerprints import BUCKETS, Comparison
+
 
 def _row(df: DataFrame) -> Column:
     return F.struct(*[F.col(c) for c in df.columns])
@@ -97,22 +99,22 @@ def mutation_report(target: DataFrame, changes: DataFrame, keys: Sequence[str],
     )
 
 
-def snapshot_diff(before: DataFrame, after: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def snapshot_diff(
+    before: DataFrame, after: DataFrame, keys: Sequence[str], columns: Sequence[str], buckets: int = BUCKETS,
+) -> DataFrame:
     """INSERT/UPDATE/DELETE per key between two snapshots (CDC-8); unchanged rows give nothing.
 
-    The values themselves are compared, NULL equal to NULL, so the smallest difference of a type counts.
+    The values themselves are compared, NULL equal to NULL, in keys too, so the smallest difference of a type counts.
+    Only rows of buckets of keys whose fingerprints differ leave their task.  A repeated key counts by the rows that
+    one side has more of.
     """
     keys = list(keys)
-    image = F.struct(*columns)
-    b = before.select(*keys, image.alias("_b"))
-    a = after.select(*keys, image.alias("_a"))
-    both = b.join(a, keys, "full_outer")
+    net = Comparison(before, after, [*keys, *columns], keys, buckets).net()
+    sides = net.groupBy(*keys).agg(F.max(F.col("net") > 0).alias("_b"), F.max(F.col("net") < 0).alias("_a"))
     operation = (
-        F.when(F.col("_b").isNull(), F.lit("INSERT"))
-        .when(F.col("_a").isNull(), F.lit("DELETE"))
-        .when(~F.col("_a").eqNullSafe(F.col("_b")), F.lit("UPDATE"))
+        F.when(F.col("_a") & F.col("_b"), F.lit("UPDATE")).when(F.col("_a"), F.lit("INSERT")).otherwise(F.lit("DELETE"))
     )
-    return both.select(*keys, operation.alias("operation")).where(F.col("operation").isNotNull())
+    return sides.select(*keys, operation.alias("operation"))
 
 
 def current_state(changes: DataFrame, keys: Sequence[str], order: Sequence[str], op: str = "change_operation"):

@@ -12,6 +12,7 @@ from ..operators import search_index as IX
 from ..operators import stages as ST
 from ..operators import stats
 from ..operators import tables as T
+from ..operators.dictionary import dictionary_entities
 from ..session import spread_small
 from .gold import class_report, staged_chunks
 from .inputs import (
@@ -98,6 +99,20 @@ def summary_entities(spark, d):
     return rows.select("doc_id", E.summary(F.col("t")).alias("summary"), F.array_join(E.entities(F.col("t")), " ").alias("entities"))
 
 
+@query(
+    "entities_dictionary",
+    """WITH codes AS (SELECT p_name AS code FROM part UNION SELECT unnest(string_split(p_name, ' ')) FROM part),
+found AS (SELECT doc_id, string_agg(code, ',' ORDER BY code) AS entities FROM documents, codes WHERE code <> '' AND contains(text, code) GROUP BY doc_id)
+SELECT doc_id, coalesce(entities, '') AS entities FROM documents LEFT JOIN found USING (doc_id)""",
+)
+def entities_dictionary(spark, d):
+    """JOIN-9 with a table as dictionary: part names and their words."""
+    parts = table(spark, d, "part").select(F.col("p_name").alias("code"))
+    codes = parts.unionByName(parts.select(F.explode(F.split("code", " ")).alias("code")))
+    docs = spread_small(table(spark, d, "documents").select("doc_id", "text"))
+    return dictionary_entities(docs, "text", codes).select("doc_id", F.array_join("entities", ",").alias("entities"))
+
+
 @query(
     "enrich_metadata",
     f"""WITH {REPORTS_SQL}, {sql_chunks('reports', 'doc_id', 'content')}, {_per_chunk('reports', 'doc_id')}
