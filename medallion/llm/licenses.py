@@ -1,8 +1,9 @@
 """Licence scan by sentence rules.
 
 A text is cut into sentences; each is normalised to lower-case words and mapped to the identifier of a known
-licence sentence, with its version if it names one.  Grants (``licensed under ...``) and SPDX lines may stand
-anywhere in a sentence of any length, several of them too; each gives its identifier.  A document's identifiers in order are then matched against
+licence sentence, with its version if it names one.  Grants (``licensed under ...``), which may name
+several licences, fields (``License: MIT``) and SPDX lines may stand anywhere in a sentence of any length; each licence named
+gives its identifier, unless the grant is denied.  A document's identifiers in order are then matched against
 ordered rules: the first rule whose sequence stands in them names a licence and uses them up.
 """
 
@@ -48,28 +49,69 @@ KNOWN_SENTENCES: tuple[tuple[str, str], ...] = (
     ("isc-permission", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
     ("cc0", r"(?:.* )?cc0(?: \d \d)?(?: universal)?(?: public domain dedication)?"),
+    ("zlib-origin", r"(?:\d )?the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
     ("reserved", r"(?:copyright .* )?all rights reserved"),
 )
 
-# Grants, found by search between the ends of words: what stands before or behind is free.
-_GRANT = r"(?:licensed|released|distributed|available|published|provided|covered|used)(?: \w+)? under (?:the )?(?:terms of )?(?:the )?"
-_VERSION = r"(?: ?version| ?v)? ?(\d+(?: \d)?)"
-GRANTS: tuple[tuple[str, str], ...] = (
-    ("apache-grant", _GRANT + r"apache (?:software )?licen[sc]e" + _VERSION),
-    ("gpl-grant", _GRANT + r"(?:gnu )?(?:general public licen[sc]e|gpl)" + _VERSION),
-    ("lgpl-grant", _GRANT + r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl)" + _VERSION),
-    ("agpl-grant", _GRANT + r"(?:gnu )?(?:affero general public licen[sc]e|agpl)" + _VERSION),
-    ("mit-grant", _GRANT + r"(?:mit|expat) licen[sc]e"),
-    ("bsd-grant", _GRANT + r"(?:\w+ )?(\d) clause bsd licen[sc]e"),
-    ("mpl-grant", r"(?:this source code form is subject to (?:the )?(?:terms of )?(?:the )?|" + _GRANT + r")mozilla public license" + _VERSION),
-    ("cc0", _GRANT + r"(?:creative commons )?cc0"),
-    ("cc-by-nc-sa", _GRANT + r"a?(?: ?creative commons attribution noncommercial sharealike|cc by nc sa) (\d+ \d+)"),
-    ("cc-by-nc-nd", _GRANT + r"a?(?: ?creative commons attribution noncommercial noderivatives|cc by nc nd) (\d+ \d+)"),
-    ("cc-by-nc", _GRANT + r"a?(?: ?creative commons attribution noncommercial|cc by nc) (\d+ \d+)"),
-    ("cc-by-sa", _GRANT + r"a?(?: ?creative commons attribution sharealike|cc by sa) (\d+ \d+)"),
-    ("cc-by-nd", _GRANT + r"a?(?: ?creative commons attribution noderivatives|cc by nd) (\d+ \d+)"),
-    ("cc-by", _GRANT + r"a?(?: ?creative commons attribution|cc by) (\d+ \d+)"),
+# Titles, each a line or two of its own.
+_TITLES: tuple[tuple[str, str], ...] = (
+    ("gpl-title", r"(?:the )?gnu general public licen[sc]e version (\d)(?: \d)?(?: (?:\d+ )?june \d{4})?"),
+    ("lgpl-title", r"(?:the )?gnu (?:lesser|library) general public licen[sc]e version (\d(?: 1)?)(?: (?:\d+ )?(?:june|february) \d{4})?"),
+    ("agpl-title", r"(?:the )?gnu affero general public licen[sc]e version (\d)(?: \d+ november \d{4})?"),
+    ("apache-title", r"apache licen[sc]e version (\d \d)(?: january 2004)?(?: https? www apache org licenses.*)?"),
+    ("mpl-title", r"mozilla public licen[sc]e version (\d \d)"),
+    ("epl-title", r"eclipse public licen[sc]e(?: version| v) ?(\d \d)"),
+    ("bsl-title", r"boost software licen[sc]e version (\d \d)(?: august 17th 2003)?"),
+    ("eupl-title", r"european union public licen[sc]e(?: version| v)? ?(\d \d)(?: eupl.*)?"),
+    ("artistic-title", r"the artistic licen[sc]e (\d \d)"),
+    ("zlib-title", r"(?:the )?zlib licen[sc]e"),
+    ("isc-title", r"(?:the )?isc licen[sc]e(?: isc)?"),
+    ("mit-title", r"(?:the )?mit licen[sc]e(?: mit)?"),
+    ("bsd-title", r"(?:the )?bsd (\d) clause licen[sc]e"),
 )
+
+# A grant: its head, then names of licences one after another.
+_HEAD = re.compile(
+    r"\b(?:(?:licen[sc]ed|released|distributed|available|published|provided|covered|used)(?: \w+)? under(?: either)?(?: (?:the )?(?:terms|conditions) of)?"
+    r"|under the terms of|this source code form is subject to(?: (?:the )?terms of)?) (?:either )?(?:of )?(?:(?:the|an?) )?")
+_CC = r"(?:creative commons attribution|cc by)"
+#: Names in order, the longer ones first; ``True`` if a version may follow.
+NAMES: tuple[tuple[str, str, bool], ...] = (
+    ("lgpl-grant", r"(?:gnu )?(?:(?:lesser|library) (?:general public licen[sc]e|gpl)|lgpl)", True),
+    ("agpl-grant", r"(?:gnu )?(?:affero (?:general public licen[sc]e|gpl)|agpl)", True),
+    ("gpl-grant", r"(?:gnu )?(?:general public licen[sc]e|gpl)", True),
+    ("apache-grant", r"apache(?: software)?(?: licen[sc]e)?", True),
+    ("mit-grant", r"(?:mit|expat)", False),
+    ("bsd-grant:3", r"(?:(?:new|modified|revised) bsd|(?:\w+ )?3 clause bsd|bsd 3 clause)", False),
+    ("bsd-grant:2", r"(?:simplified bsd|(?:\w+ )?2 clause bsd|bsd 2 clause)", False),
+    ("bsd-grant:4", r"(?:original bsd|(?:\w+ )?4 clause bsd|bsd 4 clause)", False),
+    ("bsd-grant:0", r"(?:0bsd|zero clause bsd|bsd 0 clause|bsd zero clause)", False),
+    ("bsd-plain", r"bsd", False),
+    ("mpl-grant", r"(?:mozilla public licen[sc]e|mpl)", True),
+    ("epl-grant", r"(?:eclipse public licen[sc]e|epl)", True),
+    ("eupl-grant", r"(?:european union public licen[sc]e|eupl)", True),
+    ("bsl-grant", r"boost(?: software)?(?: licen[sc]e)?", True),
+    ("artistic-grant", r"artistic(?: licen[sc]e)?", True),
+    ("zlib-grant", r"zlib(?: libpng)?", False),
+    ("isc-grant", r"isc", False),
+    ("unlicense", r"unlicense", False),
+    ("cc0", r"(?:creative commons )?(?:cc0|zero)(?: \d \d)?", False),
+    ("cc-by-nc-sa", rf"{_CC} (?:noncommercial|non commercial|nc) (?:sharealike|share alike|sa)", True),
+    ("cc-by-nc-nd", rf"{_CC} (?:noncommercial|non commercial|nc) (?:noderivatives|noderivs|no derivatives|nd)", True),
+    ("cc-by-nc", rf"{_CC} (?:noncommercial|non commercial|nc)", True),
+    ("cc-by-sa", rf"{_CC} (?:sharealike|share alike|sa)", True),
+    ("cc-by-nd", rf"{_CC} (?:noderivatives|noderivs|no derivatives|nd)", True),
+    ("cc-by", _CC, True),
+)
+# Words that mean much else: alone they name a licence only before the word itself, a version or the sentence's end.
+_AMBIGUOUS = {"apache-grant", "mit-grant", "bsd-plain", "bsl-grant", "artistic-grant", "zlib-grant", "isc-grant", "cc0"}
+_VERSION = r"(?:(?: licen[sc]e)?(?: ?version| ?v)? ?(?P<version>\d+(?: \d)?)(?!\w))?"
+_LATER = r"(?P<later> (?:of the licen[sc]e )?or (?:(?:at your option|\(?at your option\)?) )?(?:any )?(?:later|newer)(?: versions?)?)?"
+_TAIL = r"(?: only)?(?: (?:international|unported|universal))?(?P<word> licen[sc]es?)?(?!\w)"
+_BETWEEN = re.compile(r" (?:(?:and or|and|or|as well as)(?: at your option)? )?(?:either )?(?:(?:the|an?) )?")
+# So few words before a grant may turn it into its contrary.
+_NEGATION = re.compile(r"\b(?:not(?! only)|never|neither|nor|no longer|cannot|(?:is|are|was|were|be|ca|won|can)n? t)(?: \w+){0,3} $")
+_FIELD = re.compile(r"\blicen[sc]es?[\"']?[ \t]*[:=][ \t]*(\S[^\n]*)", re.I)
 _SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*((?:\([ \t]*)*[\w.+-]+(?:[ \t)]+(?:AND|OR|WITH)[ \t(]+[\w.+-]+)*)", re.I)
 # The exception named after WITH is no licence.
 _SPDX_NAME = re.compile(r"\bWITH[ \t(]+[\w.+-]+|\b(?:AND|OR)\b|([\w.+-]+)", re.I)
@@ -88,6 +130,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("BSD-3-Clause", ("bsd-permission", "bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-2-Clause", ("bsd-permission", "bsd-source", "bsd-binary")),
     ("ISC", ("isc-permission",)),
+    ("Zlib", ("zlib-origin",)),
     ("MIT", ("mit-permission",)),
     ("GPL-{}-or-later", ("gpl-free",)),
     ("LGPL-{}-or-later", ("lgpl-free",)),
@@ -99,7 +142,27 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Apache-{}", ("apache-grant",)),
     ("MIT", ("mit-grant",)),
     ("BSD-{}-Clause", ("bsd-grant",)),
+    ("BSD", ("bsd-plain",)),
     ("MPL-{}", ("mpl-grant",)),
+    ("EPL-{}", ("epl-grant",)),
+    ("EUPL-{}", ("eupl-grant",)),
+    ("BSL-{}", ("bsl-grant",)),
+    ("Artistic-{}", ("artistic-grant",)),
+    ("Zlib", ("zlib-grant",)),
+    ("ISC", ("isc-grant",)),
+    ("GPL-{}", ("gpl-title",)),
+    ("LGPL-{}", ("lgpl-title",)),
+    ("AGPL-{}", ("agpl-title",)),
+    ("Apache-{}", ("apache-title",)),
+    ("MPL-{}", ("mpl-title",)),
+    ("EPL-{}", ("epl-title",)),
+    ("BSL-{}", ("bsl-title",)),
+    ("EUPL-{}", ("eupl-title",)),
+    ("Artistic-{}", ("artistic-title",)),
+    ("Zlib", ("zlib-title",)),
+    ("ISC", ("isc-title",)),
+    ("MIT", ("mit-title",)),
+    ("BSD-{}-Clause", ("bsd-title",)),
     ("Unlicense", ("unlicense",)),
     ("CC0", ("cc0",)),
     ("CC-BY-NC-SA-{}", ("cc-by-nc-sa",)),
@@ -112,27 +175,29 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 
 # One of these stands in every known sentence.
-_ANCHOR = re.compile(r"licen[sc]e|gpl|\bcc[ -]?(?:by|0)\b|creative commons|redistribut|permission|warrant|rights\s+reserved|public\s+domain|shall\s+the", re.I)
+_ANCHOR = re.compile(r"licen[sc]e|gpl|\bcc[ -]?(?:by|0)\b|creative commons|redistribut|permission|warrant|rights\s+reserved|public\s+domain|shall\s+the|must\s+not\s+be\s+misrepresented|under\s+the\s+terms|\b(?:released|distributed|available|published|provided|covered|used)(?:\s+\w+)?\s+under\b", re.I)
 # Part of each anchor: most texts hold none and are done after plain searches.
-_HINTS = ("licen", "gpl", "cc by", "cc-by", "ccby", "cc0", "cc 0", "cc-0", "creative", "redistribut", "permission", "warrant", "rights", "domain", "shall")
+_HINTS = ("licen", "gpl", "cc by", "cc-by", "ccby", "cc0", "cc 0", "cc-0", "creative", "redistribut", "permission", "warrant", "rights", "domain", "shall", "misrepresented", "under")
 # A wrapped sentence begins with one of these where the line before has no full stop.
-_BEGIN = re.compile(r"(?:\d )?(?:permission|redistribution|redistributions|neither|the above|the software|this|unless|you|see|in no event|licensed|released) ")
-_STOP = re.compile(r"[.!?]+(?=\s|$)")
+_BEGIN = re.compile(r"(?:\d )?(?:permission|redistribution|redistributions|neither|the above|the software|the origin of|this|unless|you|see|in no event|licen[sc]ed|released|(?:the )?gnu|apache|mozilla|eclipse|boost|european union) ")
+_STOP = re.compile(r"(?<!\sv)[.!?]+(?=\s|$)")
 _OTHER = re.compile(r"[^a-z0-9]+")
+# ``2.0+`` means that version or a later one.
+_PLUS = re.compile(r"(?<=\d)\+(?![\w+])")
 #: Wrapped lines are joined up to so many words, more than a known sentence has; one line may have any number.
 _LONGEST = 120
 
 
 def normalise(sentence: str) -> str:
-    return _OTHER.sub(" ", sentence.lower()).strip()
+    return _OTHER.sub(" ", _PLUS.sub(" or later ", sentence.lower())).strip()
 
 
 class Sentences:
     """Known sentences, looked up by their normalised words; what was seen before is kept in a bounded table."""
 
-    def __init__(self, known: tuple[tuple[str, str], ...] = KNOWN_SENTENCES, grants: tuple[tuple[str, str], ...] = GRANTS):
+    def __init__(self, known: tuple[tuple[str, str], ...] = KNOWN_SENTENCES + _TITLES, names: tuple[tuple[str, str, bool], ...] = NAMES):
         self.known = [(name, re.compile(pattern)) for name, pattern in known]
-        self.granted = [(name, re.compile(rf"\b(?:{pattern})\b")) for name, pattern in grants]
+        self.names = [(name, re.compile(pattern + (_VERSION + _LATER if versions else "") + _TAIL)) for name, pattern, versions in names]
         self.seen: dict[str, str | None] = {}
 
     def identify(self, sentence: str) -> str | None:
@@ -153,17 +218,53 @@ class Sentences:
             self.seen[sentence] = found
         return found
 
+    def list_of_names(self, sentence: str, at: int, starts: set[int]) -> tuple[list[tuple[int, str]], int]:
+        """Place and identifier of the licences named one after another from ``at``, and the end of the last one.
+
+        A version doesn't go on in another line (``starts``: the lines' places).
+        """
+        out: list[tuple[int, str]] = []
+        end, sure, begin = at, False, at
+        while found := next(((name, m) for name, pattern in self.names if (m := pattern.match(sentence, begin))), None):
+            name, m = found
+            parts = m.groupdict()
+            end = m.end()
+            version = ""
+            if parts.get("version"):
+                major, _, minor = m["version"].partition(" ")
+                version = f"{major}.{minor}" if minor and m.end("version") - len(minor) not in starts else major
+                if minor and version == major:
+                    end = m.end("version") - len(minor) - 1
+                if parts.get("later"):
+                    version += "-or-later"
+            sure = sure or bool(out) or name not in _AMBIGUOUS or bool(version) or "licen" in m[0]
+            out.append((begin, f"{name}:{version}" if version else name))
+            step = _BETWEEN.match(sentence, end)
+            if not step:
+                break
+            begin = step.end()
+        return (out, end) if sure or end == len(sentence) or end + 1 in starts else ([], at)
+
     def grants(self, sentence: str, starts: set[int]) -> list[tuple[int, str]]:
-        """Place and identifier of each grant inside; a version doesn't go on in another line (``starts``: theirs)."""
-        out = []
-        if " under " in sentence or " subject to " in sentence:
-            for name, pattern in self.granted:
-                for m in pattern.finditer(sentence):
-                    major, _, minor = m[1].partition(" ") if pattern.groups else ("", "", "")
-                    version = f"{major}.{minor}" if minor and m.end(1) - len(minor) not in starts else major
-                    out.append((m.start(), f"{name}:{version}" if version else name))
+        """Place and identifier of each licence that a grant inside names, unless the grant is denied."""
+        out: list[tuple[int, str]] = []
+        if " under " in sentence or sentence.startswith("under ") or " subject to " in sentence:
+            for head in _HEAD.finditer(sentence):
+                names, _ = self.list_of_names(sentence, head.end(), starts)
+                if names and not _NEGATION.search(sentence[max(0, head.start() - 60):head.start()]):
+                    out += [(head.start() + i, name) for i, (_, name) in enumerate(names)]
         return out
 
+    def field(self, raw: str) -> list[str]:
+        """Licences of a line such as ``License: MIT``, which names nothing else."""
+        m = _FIELD.search(raw)
+        if not m or "spdx" in raw.lower():
+            return []
+        value = normalise(m[1])
+        value = value.removeprefix("the ")
+        names, end = self.list_of_names(value, 0, set())
+        return [name for _, name in names] if end == len(value) else []
+
     def ids(self, text: str) -> list[str]:
         """Identifiers in page order.  Sentences end at a full stop before white space, at an empty line, or, if
         that gives a known sentence, at a line's end."""
@@ -184,6 +285,7 @@ class Sentences:
         for r in raw:
             if line := normalise(r):
                 out += [(end, f"spdx:{n}") for m in _SPDX.finditer(r) for x in _SPDX_NAME.findall(m[1]) if (n := x.strip(".-"))]
+                out += [(end, n) for n in self.field(r)]
                 lines.append(line)
                 places.append(end)
                 end += len(line) + 1
@@ -206,8 +308,8 @@ class Sentences:
                 whole.append((places[i], places[i] + sum(len(x) + 1 for x in lines[i:i + taken]), best))
             i += taken or 1
         out += [(start, name) for start, _, name in whole]
-        # A whole sentence may be a grant itself; it counts once.
-        out += [(at, name) for at, name in self.grants(" ".join(lines), set(places)) if not any(s <= at < e and name == n for s, e, n in whole)]
+        # A whole sentence may be a grant itself or hold one; it counts once.  That of CC0 begins with anything.
+        out += [(at, name) for at, name in self.grants(" ".join(lines), set(places)) if not any(s <= at < e and (n == name or n != "cc0") for s, e, n in whole)]
         return [name for _, name in sorted(out, key=lambda x: x[0])]
 
 
@@ -228,7 +330,8 @@ def match_rules(ids: list[str], rules: tuple[tuple[str, tuple[str, ...]], ...] =
 def scan(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Columns ``c0``, ``c1``, ... (those of ``keep``), ``sentence_ids`` in order and ``licenses`` (distinct, sorted).
 
-    Null and empty texts have none.  Every row, repeated ones too, is scanned as a whole.
+    Null and empty texts have none.  Every row, repeated ones too, is scanned as a whole, in time linear in a text but for
+    wrapped lines, which are joined up to a fixed number of words.  An empty table gives no rows.  Columns may have any name.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sentences = Sentences()
