@@ -66,16 +66,21 @@ def communication_matrix(blocks: list[int], shards: list[int], seed: int = SEED)
     return matrix
 
 
+def result_columns(df: DataFrame) -> tuple[str, str]:
+    """Names of the two columns that ``shuffle`` adds."""
+    return fresh(df.columns, "shard"), fresh(df.columns, "slot")
+
+
 def shuffle(df: DataFrame, shards: int = SHARDS, seed: int = SEED, block_bits: int = BLOCK_BITS) -> DataFrame:
     """The rows of ``df`` with ``shard`` (from 0, sizes at most one apart) and ``slot`` (gapless from 0 in the shard).
 
-    Every row counts on its own: nulls, repeated rows and rows of one key or text are spread alike.  Columns of
-    ``df`` named shard or slot are not allowed.  An empty table gives no rows.  The rows are written once, so that
+    Every row counts on its own: nulls, empty and long texts, repeated rows and rows of one key or text are spread alike.
+    The results are the last two columns; where ``df`` has a column of that name, theirs begins with underscores.  An
+    empty table gives no rows.  The rows are written once, so that
     a lost executor cannot deal them out anew; the driver holds a count for each block and shard, and a block is
     hundreds of thousands of rows.
     """
-    if {"shard", "slot"} & {c.lower() for c in df.columns}:
-        raise ValueError("the columns shard and slot are results")
+    shard, slot = result_columns(df)
     row, block, rank, cuts, order, bucket, before = (
         fresh(df.columns, n) for n in ("row_no", "block_no", "block_rank", "block_cuts", "slot_order", "bucket_no", "bucket_start"))
     rows = written(df.withColumn(row, F.monotonically_increasing_id()), "to-shard")
@@ -93,24 +98,25 @@ def shuffle(df: DataFrame, shards: int = SHARDS, seed: int = SEED, block_bits: i
     dealt = (
         blocked.withColumn(rank, F.row_number().over(within) - 1)
         .join(table, block)
-        .withColumn("shard", F.size(F.filter(cuts, lambda c: c <= F.col(rank))))
+        .withColumn(shard, F.size(F.filter(cuts, lambda c: c <= F.col(rank))))
     )
     bits = max(0, (total // shards).bit_length() - block_bits)
     key = F.xxhash64(F.lit(seed + 1), row)
     dealt = dealt.withColumn(order, key).withColumn(
         bucket, F.shiftrightunsigned(order, 64 - bits) if bits else F.lit(0).cast("long"))
-    starts = dealt.groupBy("shard", bucket).count().select(
-        "shard", bucket,
-        (F.sum("count").over(Window.partitionBy("shard").orderBy(bucket)) - F.col("count")).alias(before))
-    again = Window.partitionBy("shard", bucket).orderBy(order, row)
+    starts = dealt.groupBy(shard, bucket).count().select(
+        shard, bucket,
+        (F.sum("count").over(Window.partitionBy(shard).orderBy(bucket)) - F.col("count")).alias(before))
+    again = Window.partitionBy(shard, bucket).orderBy(order, row)
     return (
-        dealt.withColumn("slot", F.row_number().over(again) - 1)
-        .join(starts, ["shard", bucket])
-        .withColumn("slot", (F.col("slot") + F.col(before)).cast("long"))
-        .select(*(F.col(f"`{c}`") for c in df.columns), "shard", "slot")
+        dealt.withColumn(slot, F.row_number().over(again) - 1)
+        .join(starts, [shard, bucket])
+        .withColumn(slot, (F.col(slot) + F.col(before)).cast("long"))
+        .select(*(F.col(f"`{c}`") for c in df.columns), shard, slot)
     )
 
 
 def write_shards(df: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:
     """Write the shuffled rows, one folder for each shard, in files sorted by slot."""
-    shuffle(df, shards, seed).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    shard, slot = result_columns(df)
+    shuffle(df, shards, seed).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import random
+import zlib
 from collections import Counter, defaultdict
 from math import comb
 
 import pytest
 
 from medallion.llm import sharding as s
+from medallion.llm.common import table
+from medallion.llm.queries import QUERIES
 
 
 def test_hypergeometric_draws():
@@ -53,8 +56,19 @@ def test_odd_rows(odd, none):
     rows = s.shuffle(odd, 3)
     assert rows.columns == [*odd.columns, "shard", "slot"] and rows.count() == odd.count()
     assert s.shuffle(none).count() == 0
-    with pytest.raises(ValueError, match="shard"):
-        s.shuffle(odd.withColumnRenamed("c0", "Shard"))
+    clash = odd.withColumnsRenamed({"c0": "Shard", "source": "slot", "n": "a.b", "row": "row_no"})
+    rows = s.shuffle(clash, 3)
+    assert rows.columns == [*clash.columns, "_shard", "_slot"]
+    assert sorted(map(str, rows.drop("_shard", "_slot").collect())) == sorted(map(str, clash.collect()))
+
+
+def test_query_against_plain_sums(llm, sf):
+    made = QUERIES["op6_uniform_shards"](llm, sf).collect()
+    want = [(r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in table(llm, sf, "documents").collect()]
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in made) == sorted(want)
+    held = Counter(r["shard"] for r in made)
+    assert set(held) == set(range(16)) and max(held.values()) - min(held.values()) <= 1
+    assert all(sorted(r["slot"] for r in made if r["shard"] == k) == list(range(n)) for k, n in held.items())
 
 
 def test_native_plan(llm, odd):
