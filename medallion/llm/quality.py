@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule rejects a text or passes it on.  On a bounded sample every rule is timed and its rejections are
-counted, together with those of the other rules; then the rule with the most rejections per second among the
-texts still standing comes first, and so on.  The order decides how much is computed, never the verdict.
+Each rule rejects a text or passes it on.  On a bounded sample every rule and every measure that rules share is
+timed, and each rule's rejections are counted together with those of the other rules; then the rule with the most
+rejections per second among the texts still standing comes first, and so on.  A measure that an earlier rule has
+computed already costs a later one nothing.  The order decides how much is computed, never the verdict.
 """
 
 from __future__ import annotations
@@ -108,44 +109,73 @@ RULES = (
 )
 
 
+#: Measures in an order in which each needs only those before it.
+SHARED = ("words", "n_words", "word_chars", "n_symbols", "lines", "n_dup_lines", "n_repeat_words")
+
+
 def estimate(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Per set of rejecting rules (bit i: rule i) of a sample: rows, and nanoseconds spent on each rule alone."""
+    """Per set of rejecting rules (bit i: rule i) of a sample: rows, and sums over them.
+
+    ``ns`` are nanoseconds: of each measure of ``SHARED`` where those it needs are there, then of each rule where all
+    measures are there.  ``uses`` counts the texts of which a rule read a measure, rule by rule.
+    """
+    width = len(SHARED)
+
+    def timed(call: Callable[[], object]) -> int:
+        began = time.perf_counter_ns()
+        call()
+        return time.perf_counter_ns() - began
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[int] = Counter()
-        spent: dict[int, list[int]] = {}
+        spent: dict[int, np.ndarray] = {}
+        used: dict[int, np.ndarray] = {}
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                mask, times = 0, []
+                mask, uses = 0, []
                 for i, rule in enumerate(rules):
-                    began = time.perf_counter_ns()
-                    mask |= rule.rejects(Text(value)) << i  # nothing is shared: each rule bears its whole cost
-                    times.append(time.perf_counter_ns() - began)
+                    alone = Text(value)
+                    mask |= rule.rejects(alone) << i
+                    uses += [m in vars(alone) for m in SHARED]
+                whole = Text(value)
+                times = [timed(lambda m=m: getattr(whole, m)) for m in SHARED]
+                times += [timed(lambda r=r: r.rejects(whole)) for r in rules]
                 seen[mask] += 1
-                spent[mask] = [a + b for a, b in zip(spent.get(mask, [0] * len(rules)), times, strict=True)]
+                spent[mask] = spent.get(mask, 0) + np.array(times, np.int64)
+                used[mask] = used.get(mask, 0) + np.array(uses, np.int64)
         yield pa.RecordBatch.from_pydict(
-            {"mask": list(seen), "n": list(seen.values()), "ns": [spent[m] for m in seen]},
-            schema=pa.schema([("mask", pa.int64()), ("n", pa.int64()), ("ns", pa.list_(pa.int64()))]))
+            {"mask": list(seen), "n": list(seen.values()), "ns": [spent[m].tolist() for m in seen], "uses": [used[m].tolist() for m in seen]},
+            schema=pa.schema([("mask", pa.int64()), ("n", pa.int64()), ("ns", pa.list_(pa.int64())), ("uses", pa.list_(pa.int64()))]))
 
     total = df.count()
     share = min(1.0, sample_rows / total) if total else 1.0
     sample = df.sample(share, seed=1).select(text_of(df, text).cast("binary").alias("text"))
-    parts = sample.mapInArrow(measure, "mask long, n long, ns array<long>")
+    parts = sample.mapInArrow(measure, "mask long, n long, ns array<long>, uses array<long>")
     return parts.groupBy("mask").agg(
-        F.sum("n").alias("n"), F.array(*[F.sum(F.col("ns")[i]) for i in range(len(rules))]).alias("ns"))
+        F.sum("n").alias("n"), F.array(*[F.sum(F.col("ns")[i]) for i in range(width + len(rules))]).alias("ns"),
+        F.array(*[F.sum(F.col("uses")[i]) for i in range(width * len(rules))]).alias("uses"))
 
 
 def order_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
     """The rules by rejections per cost, each counted among the texts the rules before it let pass.
 
-    The estimate has at most one row per set of rules.  An empty table leaves the rules as they stand.
+    A rule's cost is its own and that of the measures it reads which no rule before it has read.  The estimate has at
+    most one row per set of rules.  An empty table leaves the rules as they stand.
     """
-    rows = [(r["mask"], r["n"], r["ns"]) for r in estimate(df, rules, text, sample_rows).collect()]
-    seen = max(1, sum(n for _, n, _ in rows))
-    cost = [max(1, sum(ns[i] for _, _, ns in rows)) / seen for i in range(len(rules))]
+    rows = [(r["mask"], r["n"], r["ns"], r["uses"]) for r in estimate(df, rules, text, sample_rows).collect()]
+    seen, width = max(1, sum(n for _, n, _, _ in rows)), len(SHARED)
+    mean = [sum(ns[i] for _, _, ns, _ in rows) / seen for i in range(width + len(rules))]
+    share = [[sum(uses[i * width + j] for *_, uses in rows) / seen for j in range(width)] for i in range(len(rules))]
+    there = [0.0] * width  # the share of texts whose measure is computed by now
+
+    def cost(i: int) -> float:
+        return max(1.0, mean[width + i] + sum(mean[j] * max(0.0, share[i][j] - there[j]) for j in range(width)))
+
     left, order = list(range(len(rules))), []
     while left:
-        best = max(left, key=lambda i: (sum(n for mask, n, _ in rows if mask >> i & 1) / cost[i], -i))
+        best = max(left, key=lambda i: (sum(n for mask, n, _, _ in rows if mask >> i & 1) / cost(i), -i))
         rows = [r for r in rows if not r[0] >> best & 1]
+        there = [max(a, b) for a, b in zip(there, share[best], strict=True)]
         left.remove(best)
         order.append(rules[best])
     return tuple(order)
@@ -157,7 +187,9 @@ _MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_word
 def judge(df: DataFrame, keep: list[str], rules: tuple[Rule, ...], text: str = "text", measures: bool = False) -> DataFrame:
     """Columns ``c0``, ``c1``, ... (those of ``keep``) and ``rejected_by``: the first rule in order, null if none.
 
-    With ``measures`` also the base counts of every row, whatever the cascade left out.  Null text: as empty.
+    With ``measures`` also the base counts of every row, whatever the cascade left out.  Null text: as empty.  A long
+    text is judged whole, alone in its group; repeated rows are judged alike; an empty table gives no rows; columns may
+    have any name.
     """
     extra = _MEASURES if measures else ()
 

@@ -50,6 +50,17 @@ def test_order_is_by_rejections_per_cost(llm):
     assert [r.name for r in q.order_rules(docs.limit(0), rules)] == [r.name for r in rules]
 
 
+def test_shared_measures_cost_once(llm):
+    """Two rules read the same dear measure: with the first of them chosen, the second is cheaper than a rule of its own."""
+    def dear(t):
+        return t.n_repeat_words < 0 or t.text.startswith(b"bad")
+
+    rules = (q.Rule("first", dear), q.Rule("own", lambda t: sum(range(4_000)) < 0 or t.text.endswith(b"sad")), q.Rule("second", lambda t: t.n_repeat_words < 0 or t.text.endswith(b"mad")))
+    filler = " ".join(f"w{i}" for i in range(2_000))
+    docs = llm.createDataFrame([(f"bad {filler}",)] * 80 + [(f"{filler} sad",)] * 3 + [(f"{filler} mad",)] * 3 + [(filler,)] * 10, "text string")
+    assert [r.name for r in q.order_rules(docs, rules)] == ["first", "second", "own"]
+
+
 def test_odd_rows(odd, none):
     assert q.keep_good(odd).columns == odd.columns
     assert q.keep_good(none).count() == 0
