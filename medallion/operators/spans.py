@@ -19,16 +19,35 @@ def detect_spans(
     docs: DataFrame, doc_id: str, text: str, detector: Callable[[], Callable[[pd.Series], list]]
 ) -> DataFrame:
     """Spans of every document.  ``detector`` builds the model once per partition; the model maps a series
-    of texts to one list of ``(entity_type, start, end, score)`` per text."""
+    of texts to one list of ``(entity_type, start, end, score)`` per text.
+
+    A batch that fails is tried again text by text, so one bad text costs no other its spans.  A text that fails, and
+    each text where the model can't be built, gives one row with a NULL ``entity_type``: masking leaves the text as it
+    is, and those rows tell which texts no model has seen.
+    """
     id_type = dict(docs.dtypes)[doc_id]
 
+    def attempt(model, texts: pd.Series) -> list | None:
+        try:
+            found = [[(str(kind), int(start), int(end), float(score)) for kind, start, end, score in spans] for spans in model(texts)]
+        except Exception:
+            return None
+        return found if len(found) == len(texts) else None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = detector()
+        try:
+            model = detector()
+        except Exception:
+            model = None
         for batch in batches:
-            rows = [
-                (key, *span) for key, spans in zip(batch[doc_id], model(batch[text]), strict=True) for span in spans
-            ]
-            yield pd.DataFrame(rows, columns=[doc_id, "entity_type", "start", "end", "score"])
+            texts = batch[text]
+            found = attempt(model, texts)
+            if found is None:
+                unseen = [[(None, None, None, None)]]
+                found = [(attempt(model, texts.iloc[i:i + 1]) or unseen)[0] for i in range(len(texts))]
+            rows = [(key, *span) for key, spans in zip(batch[doc_id], found, strict=True) for span in spans]
+            made = pd.DataFrame(rows, columns=[doc_id, "entity_type", "start", "end", "score"])
+            yield made.astype({"entity_type": object, "start": "Int32", "end": "Int32", "score": float})
 
     return docs.select(doc_id, text).mapInPandas(run, f"`{doc_id}` {id_type}, {SPAN_SCHEMA}")
 

@@ -172,3 +172,22 @@ def test_masking_after_any_control_character(spark):
         assert not any(ord(c) < 32 for c in got[i].masked_content)  # still JSON
     assert got[32].t == texts[32]  # a real backslash, u, digits and a letter: no word begins there
     assert got[33].t == f"\\\\{chr(11)}010****1234" and got[34].t.startswith(f"x{chr(31)}")
+
+
+def test_a_text_the_detector_fails_on_costs_no_other_its_spans(spark):
+    def detector():
+        def model(texts):
+            if any(t == "bad" for t in texts):
+                raise RuntimeError("model")
+            return [[("PERSON", 0, 2, 0.9)] if t and t.startswith("Al") else [] for t in texts]
+        return model
+
+    def broken():
+        raise OSError("no model")
+
+    docs = spark.createDataFrame([(1, "Al x"), (2, "bad"), (3, None), (4, "Al y")], "doc long, t string").coalesce(1)
+    found = spans.detect_spans(docs, "doc", "t", detector)
+    assert rows(found) == [(1, "PERSON", 0, 2, 0.9), (2, None, None, None, None), (4, "PERSON", 0, 2, 0.9)]
+    assert [r[0] for r in rows(spans.detect_spans(docs, "doc", "t", broken).where("entity_type IS NULL"))] == [1, 2, 3, 4]
+    masked = spans.mask_spans(docs.withColumn("pii_pattern_types", F.create_map().cast("map<string,int>")), found, "doc", "t")
+    assert {r["doc"]: r["t"] for r in masked.collect()}[2] == "bad"
