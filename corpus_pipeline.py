@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,15 +18,21 @@ from medallion.session import materialized
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-_work = Scratch()
+_work: ContextVar[Scratch | None] = ContextVar("pipeline_work", default=None)
 
 
 def _stage(fn: Stage) -> Stage:
-    """Every stage's result is written before the next one begins, so the work tables before it can go."""
+    """Every stage's result is written before the next one begins, so the work tables before it can go.
+
+    Those of a thread only: pipelines may run side by side.
+    """
     @functools.wraps(fn)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        _work.drop(spark)
-        with _work:
+        if _work.get() is None:
+            _work.set(Scratch())
+        work = _work.get()
+        work.drop(spark)
+        with work:
             return fn(spark, docs, sf_dir)
 
     return run
