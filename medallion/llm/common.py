@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextvars import ContextVar
 from typing import Any
 
 import pyarrow as pa
@@ -26,21 +27,24 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
 
 
 class Scratch:
-    """The work tables that ``written`` makes while it is open, to be deleted once nothing reads them."""
+    """The work tables that ``written`` makes while it is open, to be deleted once nothing reads them.
 
-    _open: list[Scratch] = []
+    Each thread has its own: what other threads write meanwhile is theirs.
+    """
+
+    _open: ContextVar[Scratch | None] = ContextVar("open_scratch", default=None)
 
     def __init__(self) -> None:
         self.paths: list[str] = []
 
     def __enter__(self) -> Scratch:
-        Scratch._open.append(self)
+        self._token = Scratch._open.set(self)
         return self
 
     def __exit__(self, *_: object) -> None:
-        Scratch._open.pop()
-        if Scratch._open:  # what is left is the outer one's
-            Scratch._open[-1].paths += self.paths
+        Scratch._open.reset(self._token)
+        if outer := Scratch._open.get():  # what is left is the outer one's
+            outer.paths += self.paths
 
     def drop(self, spark: SparkSession, *still_read: DataFrame) -> None:
         """Delete the tables but those that ``still_read`` (frames as ``written`` returned them) hold."""
@@ -58,8 +62,8 @@ class Scratch:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame below the shared folder and read it back: no executor loss makes it run again."""
     path = work_path(df.sparkSession, name)
-    if Scratch._open:
-        Scratch._open[-1].paths.append(path)
+    if scratch := Scratch._open.get():
+        scratch.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -33,6 +33,8 @@ BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 #: A graph of so many edges (a few megabytes) is one task's work.
 FINISH_EDGES = 100_000
+#: Length classes per factor of e in the prefix filter; results don't depend on it.
+SIZES = 32
 #: Words whose hash a worker keeps; results don't depend on it.
 CACHE_WORDS = 400_000
 _GROUP_CHARS = 2_000_000
@@ -334,14 +336,39 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, size: int, threshold: fl
     # Those of a text's elements that could pair it before this one: a pair counts at its first common element only.
     before = Window.partitionBy("node").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     prefix = written(prefix.join(several, "element").withColumn("before", F.collect_list("element").over(before)), "open-prefixes")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    left = 1 + F.least(F.col("x.n") - F.col("x.place") - 1, F.col("y.n") - F.col("y.place") - 1)
-    pairs = x.join(y, F.col("x.element") == F.col("y.element")).where(
-        (F.col("x.class") < F.col("y.class"))
-        & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9)
-        & (left >= threshold / (1 + threshold) * (F.col("x.n") + F.col("y.n")) - 1e-9)
-        & ~F.arrays_overlap("x.before", "y.before"))
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    longer, shorter = _sides(prefix, threshold)
+    x, y = longer.withColumnsRenamed({c: f"x_{c}" for c in prefix.columns if c != "element"}), shorter.withColumnsRenamed(
+        {c: f"y_{c}" for c in prefix.columns if c != "element"})
+    # Classes meet first: the members of one class are never compared with each other.
+    meet = ["element", "size"]
+    met = x.select(*meet, "x_class").distinct().join(y.select(*meet, "y_class").distinct(), meet).where("x_class != y_class")
+    pairs = x.join(met, [*meet, "x_class"]).join(y, [*meet, "y_class"])
+    left = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+    pairs = pairs.where(
+        ((F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_node") > F.col("y_node"))))
+        & (F.col("y_n") >= threshold * F.col("x_n") - 1e-9)
+        & (left >= threshold / (1 + threshold) * (F.col("x_n") + F.col("y_n")) - 1e-9)
+        & ~F.arrays_overlap("x_before", "y_before"))
+    return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+
+
+def _sides(prefix: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``prefix`` as the longer and as the shorter text of a pair, each with the pair's key ``size``.
+
+    Both texts must have ``t / (1 + t)`` of both lengths left at their first common element.  For the shorter one
+    that bounds the place by ``(1 - t) / (1 + t)`` of its own length; for the longer one it bounds the other's
+    length from above, as similarity does from below.  Lengths are cut into classes of a few hundredths, and the
+    longer text looks only in those between its bounds.  Texts that share one passage of too small a share of
+    them therefore don't meet at all, however many they are.
+    """
+    def size(n: Column) -> Column:
+        return F.floor(F.log(n) * SIZES)
+
+    most = F.floor((F.col("n") - F.col("place")) * ((1 + threshold) / threshold) - F.col("n") + 1e-9)
+    most, least = F.least(F.col("n"), most), F.greatest(F.ceil(threshold * F.col("n") - 1e-9), F.lit(1))
+    longer = prefix.where(most >= least).withColumn("size", F.explode(F.sequence(size(least), size(most))))
+    shorter = prefix.where(F.col("n") - F.col("place") >= 2 * threshold / (1 + threshold) * F.col("n") - 1e-9)
+    return longer, shorter.withColumn("size", size(F.col("n")))
 
 
 def deduplicate(df: DataFrame, text: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:

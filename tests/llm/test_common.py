@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import threading
 
 import pyarrow as pa
 import pytest
@@ -24,6 +25,18 @@ def test_scratch_deletes_what_nothing_reads(llm):
     assert common.written(llm.range(2), "d").count() == 2  # no scratch is open: it stays
 
 
+def test_threads_have_their_own_scratch(llm):
+    other = []
+    with common.Scratch() as work:
+        writer = threading.Thread(target=lambda: other.append(common.written(llm.range(5), "other")))
+        writer.start()
+        writer.join()
+        common.written(llm.range(3), "own")
+        assert len(work.paths) == 1
+        work.drop(llm)
+    assert work.paths == [] and other[0].count() == 5
+
+
 def test_groups_hold_every_row_once():
     texts = ["", None, "abc", "x" * 50, "de", "f", "g" * 9]
     batch = pa.RecordBatch.from_pydict({"i": list(range(7)), "text": texts})

@@ -133,3 +133,49 @@ def test_odd_rows(odd, none):
     kept = n.deduplicate(odd)
     assert kept.columns == odd.columns and kept.count() == len(rows) - 3  # the copy, and two of three without words
     assert n.classes(none).count() == 0 and n.deduplicate(none).count() == 0
+
+
+@pytest.mark.parametrize("spread", [0, 4])
+def test_a_crowd_of_one_template_does_not_pair(llm, spread):
+    """Texts of similarity 0.77 at most by their template: no pairings that grow with the square of the texts, and no link."""
+    rng = random.Random(7)
+    template = _words(rng, 200)
+
+    def met(count):
+        rows = [(i, " ".join(template + [f"own{i}x{j}" for j in range(33 + rng.randint(-spread, spread))])) for i in range(count)]
+        texts = llm.createDataFrame([(str(i).encode(), t.encode()) for i, t in rows], "node binary, text binary")
+        sizes = [(str(i).encode(), sum(_bag(t).values()), str(i).encode(), 1) for i, t in rows]
+        members = llm.createDataFrame(sizes, "node binary, n long, class binary, band long")
+        seen = {}
+
+        def sides(prefix, threshold, real=n._sides):
+            seen["sides"] = real(prefix, threshold)
+            return seen["sides"]
+
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(n, "_sides", sides)
+            pairs = n._prefix_pairs(members, texts, 5, 0.8).count()
+        x, y = seen["sides"]
+        return x.select("element", "size").join(y.select("element", "size"), ["element", "size"]).count(), pairs
+
+    (few, no), (more, none) = met(100), met(200)
+    assert no == none == 0 and more <= 2 * few + 200
+
+
+def test_prefix_pairs_lose_no_link(llm):
+    """All links between texts of lengths that vary, each text a class of its own."""
+    rng = random.Random(9)
+    rows = []
+    for _ in range(12):
+        words = _words(rng, rng.randint(20, 150))
+        for _ in range(8):
+            cut = rng.randint(0, len(words) // 8)
+            rows.append(" ".join([*words[cut:], *_words(rng, rng.randint(0, len(words) // 8))]))
+    rows = sorted(set(rows))
+    texts = llm.createDataFrame([(str(i).encode(), t.encode()) for i, t in enumerate(rows)], "node binary, text binary")
+    members = llm.createDataFrame([(str(i).encode(), sum(_bag(t).values()), str(i).encode(), 1) for i, t in enumerate(rows)],
+                                  "node binary, n long, class binary, band long")
+    got = [frozenset((int(bytes(r["a"])), int(bytes(r["b"])))) for r in n._prefix_pairs(members, texts, 5, 0.8).collect()]
+    bags = [_bag(t) for t in rows]
+    links = {frozenset((i, j)) for i in range(len(rows)) for j in range(i) if _jaccard(bags[i], bags[j]) >= 0.8}
+    assert len(links) > 50 and links <= set(got) and len(got) == len(set(got))
