@@ -35,6 +35,8 @@ MASKED_THRESHOLD = 4
 # --- fixed values: entity tags of the second masking layer ----------------------------------------
 ENTITY_TAGS = {"PERSON": "KR_NAME", "LOCATION": "KR_ADDRESS", "GPE": "KR_ADDRESS"}
 ENTITY_MIN_SCORE = 0.6
+# Fixed value: the method recorded for rows masked by patterns and entity spans.
+SPAN_MASKING_METHOD = "presidio_2layer"
 
 # --- fixed values: labels of personal-data types --------------------------------------------------
 PII_LABELS = {

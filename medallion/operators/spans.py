@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import ENTITY_MIN_SCORE, ENTITY_TAGS
+from ..constants import ENTITY_MIN_SCORE, ENTITY_TAGS, SPAN_MASKING_METHOD
 from ..functions.masking import detection_count, masked_flag, merged_counts
 from ..functions.text import mapped
 
@@ -118,6 +118,6 @@ def mask_spans(
         .withColumn(counts, merged_counts(counts, found))
         .withColumn("pii_detection_count", detection_count(counts))
         .withColumn("is_masked", masked_flag("pii_detection_count"))
-        .withColumn("masking_method", F.lit("presidio_2layer"))
+        .withColumn("masking_method", F.lit(SPAN_MASKING_METHOD))
         .drop("_spans", "_kept")
     )
