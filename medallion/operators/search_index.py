@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import BM25_B, BM25_K1, DEFAULT_CLASS
 from ..functions.text import term_counts
-from ..session import spread_small
+from ..session import materialized, spread_small
 
 TEXT_FIELDS = ("chunk_content", "summary")
 KEYWORD_FIELD = "keywords"
@@ -131,6 +134,109 @@ def postings(
     return out
 
 
+# What a row of packed postings says of them beside its lists.
+_PACKED = ("field", "term", "block", "n", "firsts", "total", "max_tf", "min_length")
+
+
+def _packed_schema(id_type: str) -> str:
+    return (f"field string, term string, block int, n int, firsts int, total bigint, max_tf int, min_length int, "
+            f"staged_id array<{id_type}>, tf array<int>, length array<int>, roles array<array<bigint>>")
+
+
+def _packed(field: pa.Array, term: pa.Array, block, starts, ids, tf, length, roles, firsts) -> pa.RecordBatch:
+    """One row per run of postings that begins at ``starts``; the other values are those of the postings."""
+    ends = np.append(starts[1:], len(tf))
+    offsets = pa.array(np.append(starts, len(tf)), pa.int32())
+    ints = [pa.array(v.astype(np.int32)) for v in (
+        block, ends - starts, np.add.reduceat(firsts, starts), np.maximum.reduceat(tf, starts), np.minimum.reduceat(length, starts))]
+    columns = [field, term, ints[0], ints[1], ints[2], pa.array(np.add.reduceat(tf.astype(np.int64), starts)), ints[3], ints[4]]
+    lists = [pa.ListArray.from_arrays(offsets, v) for v in (ids, pa.array(tf.astype(np.int32)), pa.array(length.astype(np.int32)), roles)]
+    return pa.RecordBatch.from_arrays([*columns, *lists], names=[*_PACKED, "staged_id", "tf", "length", "roles"])
+
+
+def _one_chunk(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def _pack_terms(fields: Sequence[str]):
+    """Packs the terms of the documents of each Arrow batch: a row per field, term and block."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in fields:
+                column = batch.column(name)
+                terms = column.flatten()
+                if not len(terms):
+                    continue
+                lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                coded, n = _one_chunk(terms.dictionary_encode()), batch.num_rows
+                pairs, tf = np.unique(
+                    coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(np.arange(n), lengths), return_counts=True)
+                code, at = np.divmod(pairs, n)
+                length = lengths[at] if name != KEYWORD_FIELD else np.ones(len(at), np.int64)
+                block = (np.frexp(tf)[1] - 1) * 32 + np.frexp(length)[1] - 1
+                order = np.lexsort((at, block, code))
+                code, at, tf, length, block = code[order], at[order], tf[order], length[order], block[order]
+                firsts = np.zeros(len(at), np.int64)
+                firsts[np.unique(at, return_index=True)[1]] = 1
+                starts = np.flatnonzero(np.append(True, (np.diff(code) != 0) | (np.diff(block) != 0)))
+                where = pa.array(at)
+                yield _packed(
+                    pa.array([name] * len(starts), pa.string()), coded.dictionary.take(pa.array(code[starts])).cast(pa.string()), block[starts], starts,
+                    batch.column("staged_id").take(where), tf, length, batch.column("roles").take(where), firsts)
+
+    return pack
+
+
+def packed_postings(documents: DataFrame, roles: dict[str, int] | None = None) -> DataFrame:
+    """The ``postings`` of the documents as they are written: lists of one field, term and block, made batch by batch.
+
+    So a shuffle carries terms of a batch, not postings.  ``firsts`` counts the documents whose first posting the row has.
+    """
+    words = role_words(roles or {}, F.col("role_ids") if "role_ids" in documents.columns else F.lit(None)).alias("roles")
+    names = list(TEXT_FIELDS)
+    columns = [tokens(F.col(name)).alias(name) for name in names]
+    if KEYWORD_FIELD in documents.columns:
+        names.append(KEYWORD_FIELD)
+        columns.append(F.array_compact(F.array_distinct(KEYWORD_FIELD)).alias(KEYWORD_FIELD))
+    return documents.select("staged_id", words, *columns).mapInArrow(_pack_terms(names), _packed_schema(dict(documents.dtypes)["staged_id"]))
+
+
+def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs postings that come sorted by field, term and block."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = True
+        for name in ("field", "term", "block"):
+            column = batch.column(name)
+            new[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(new)
+        first = pa.array(starts)
+        tf, length, block = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tf", "length", "block"))
+        yield _packed(
+            batch.column("field").take(first), batch.column("term").take(first), block[starts], starts, batch.column("staged_id"), tf, length,
+            batch.column("roles"), np.zeros(len(tf), np.int64))
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
+    """A row per posting; only the lists that are asked for are read."""
+    lists = ("staged_id", "tf", "length", "roles")
+    rows = packed.select("field", "term", "block", "bucket", *lists, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("_i"))
+    return rows.select("field", "term", "block", "bucket", *[F.get(c, F.col("_i")).alias(c) for c in lists])
+
+
+def _packed_bounds(packed: DataFrame) -> DataFrame:
+    return packed.groupBy("field", "term", "block").agg(
+        F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_length").alias("min_length"))
+
+
+def _packed_fields(packed: DataFrame) -> DataFrame:
+    sums = packed.groupBy("field").agg(F.sum("firsts").alias("docs"), F.sum("total").alias("total"))
+    return sums.where("docs > 0")
+
+
 def block_bounds(post: DataFrame) -> DataFrame:
     """Per field, term and block: postings, the largest count and the least length.
 
@@ -250,11 +356,11 @@ def fold_index(spark: SparkSession, path: str) -> None:
     index = read_index(spark, path, vectors=True)
     target = f"{path}/{_BASE}{_number(parts[-1]):06d}"
     index.documents.hint("rebalance", "routing").write.mode("overwrite").partitionBy("routing").parquet(f"{target}/documents")
-    post = index.postings.withColumn("bucket", term_bucket("term"))
-    post.hint("rebalance", "bucket").sortWithinPartitions("bucket", "field", "term").write.mode("overwrite").partitionBy("bucket").parquet(
-        f"{target}/postings")
+    post = index.postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "field", "term", "block").drop("bucket")
+    post = post.mapInArrow(_pack_rows, _packed_schema(dict(post.dtypes)["staged_id"])).withColumn("bucket", term_bucket("term"))
+    post.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/postings")
     written = spark.read.schema(post.schema).parquet(f"{target}/postings")
-    block_bounds(written).sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{target}/blocks")
+    _packed_bounds(written).sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{target}/blocks")
     index.terms.select("field", "term", "df").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{target}/terms")
     if index.vectors is not None:
         index.vectors.write.mode("overwrite").parquet(f"{target}/vectors")
@@ -295,19 +401,20 @@ def _write(documents: DataFrame, vectors: DataFrame | None, replaced: DataFrame
     documents.hint("rebalance", "routing").write.partitionBy("routing").parquet(f"{path}/documents")
     stored = spark.read.schema(documents.schema).parquet(f"{path}/documents")
     numbers = role_numbers(stored, known)
-    post = postings(spread_small(stored), roles=numbers).withColumn("bucket", term_bucket("term"))
+    post = packed_postings(spread_small(stored), numbers).withColumn("bucket", term_bucket("term"))
     post = post.hint("rebalance", "bucket").sortWithinPartitions("bucket", "field", "term")
     post.write.partitionBy("bucket").parquet(f"{path}/postings")
     written = spark.read.schema(post.schema).parquet(f"{path}/postings")
-    bounds = block_bounds(written)
+    bounds = _packed_bounds(written)
     bounds.sortWithinPartitions("field", "term").write.parquet(f"{path}/blocks")
     # Every posting is in one block, so the blocks add up to the terms.
     terms = spark.read.schema(bounds.schema).parquet(f"{path}/blocks").groupBy("field", "term").agg(F.sum("n").alias("df"))
-    fields = field_statistics(written).drop("avg_length")
+    fields = _packed_fields(written)
     if replaced is not None:
-        gone = postings(replaced)
-        less = field_statistics(gone).select("field", (-F.col("docs")).alias("docs"), (-F.col("total")).alias("total"))
-        terms = terms.unionByName(term_statistics(gone).withColumn("df", -F.col("df"))).groupBy("field", "term").agg(F.sum("df").alias("df"))
+        gone = materialized(packed_postings(replaced).groupBy("field", "term").agg(
+            F.sum("n").alias("n"), F.sum("firsts").alias("firsts"), F.sum("total").alias("total")), "replaced-terms")
+        less = _packed_fields(gone).select("field", (-F.col("docs")).alias("docs"), (-F.col("total")).alias("total"))
+        terms = terms.unionByName(gone.select("field", "term", (-F.col("n")).alias("df"))).groupBy("field", "term").agg(F.sum("df").alias("df"))
         fields = fields.unionByName(less).groupBy("field").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total"))
         documents.select("staged_id").write.parquet(f"{path}/replaced")
     terms.sortWithinPartitions("field", "term").write.parquet(f"{path}/terms")
@@ -365,6 +472,8 @@ def read_index(spark: SparkSession, path: str, vectors: bool = False) -> SearchI
             if name == "vectors" and not _exists(spark, f"{part}/{name}"):
                 continue
             own = spark.read.parquet(f"{part}/{name}")
+            if name == "postings":
+                own = unpacked(own)
             if parts[i + 1:]:
                 later = spark.read.parquet(*[f"{p}/replaced" for p in parts[i + 1:]]).distinct()
                 own = own.join(later, "staged_id", "left_anti")
