@@ -316,16 +316,19 @@ def stream_quarantine(spark, d):
 UNION ALL SELECT 'chunking', count(*) FROM conversations UNION ALL SELECT 'enrichment', count(*) FROM pages UNION ALL SELECT 'mapping', 0""",
 )
 def stream_stage_counts(spark, d):
-    """CDC-9: live counts of all stages from one stream over their tables, one file of each per trigger; one stage is still empty."""
-    out, stages = work_path(spark, "stages"), {}
+    """CDC-9: live counts of all stages from one stream over their tables, a third of each one's files per trigger; one stage is still empty."""
+    out, stages, files = work_path(spark, "stages"), {}, {}
     for stage, name in (("structuring", "documents"), ("masking", "labels"), ("chunking", "conversations"), ("enrichment", "pages")):
         rows = table(spark, d, name)
-        rows.repartition(3).write.parquet(f"{out}/{stage}")
+        # Tables of many parts are written part by part, so no task takes more than one of them.
+        parts = rows.rdd.getNumPartitions()
+        (rows if parts >= 3 else rows.repartition(3)).write.parquet(f"{out}/{stage}")
+        files[stage] = -(-max(parts, 3) // 3)
         stages[stage] = (f"{out}/{stage}", rows.schema)
     empty = table(spark, d, "documents").limit(0)
     empty.write.parquet(f"{out}/mapping")
     stages["mapping"] = (f"{out}/mapping", empty.schema)
-    counts = CH.stage_rows(stream_session(spark), stages, max_files=1)
+    counts = CH.stage_rows(stream_session(spark), stages, files)
     CH.write_stage_counts(counts, f"{out}/counts", f"{out}/state").awaitTermination()
     return CH.latest_stage_counts(spark, f"{out}/counts", list(stages))
 

@@ -96,16 +96,18 @@ def write_counts(
     return _write_complete(operation_counts(good_events(parse_entries(entries, profile))), path, checkpoint, available_now)
 
 
-def stage_rows(spark: SparkSession, stages: Mapping[str, tuple[str, StructType]], max_files: int | None = None) -> DataFrame:
+def stage_rows(spark: SparkSession, stages: Mapping[str, tuple[str, StructType]], max_files: int | Mapping[str, int] | None = None) -> DataFrame:
     """One stream over the tables of all stages, a path and schema each: a row ``stage`` for each of their rows.
 
     No column of a table is read but what counting needs.  A table that is still empty must have its folder.
+    ``max_files`` per trigger holds for each table, or is given by stage.
     """
     parts = []
     for stage, (path, schema) in stages.items():
         reader = spark.readStream.schema(schema)
-        if max_files:
-            reader = reader.option("maxFilesPerTrigger", max_files)
+        files = max_files.get(stage) if isinstance(max_files, Mapping) else max_files
+        if files:
+            reader = reader.option("maxFilesPerTrigger", files)
         parts.append(reader.parquet(path).select(F.lit(stage).alias("stage")))
     return reduce(DataFrame.unionByName, parts)
 

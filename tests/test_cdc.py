@@ -305,3 +305,23 @@ def test_live_counts_of_all_stages(spark):
     add("chunking", 30), add("masking", 1)
     assert counts() == {"structuring": 5, "masking": 3, "chunking": 30, "never": 0}
     assert counts()["chunking"] == 30
+
+
+def test_stage_tables_are_written_in_parts(spark, tmp_path, monkeypatch):
+    """A table of many files is written as many, and read a third of them per trigger; a small one as three files."""
+    from medallion.plans import cdc_queries
+
+    sizes = {"documents": 40, "labels": 1, "conversations": 7, "pages": 3}
+    for name, parts in sizes.items():
+        spark.range(0, 400, 1, parts).write.parquet(f"{tmp_path}/{name}.parquet")
+    seen = {}
+    original = changes.stage_rows
+    monkeypatch.setattr(changes, "stage_rows", lambda s, stages, files: seen.update(
+        {k: (len([f for f in os.listdir(p[5:] if p.startswith("file:") else p) if f.startswith("part-")]), files.get(k)) for k, (p, _) in stages.items()}) or original(s, stages, files))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # a partition per file
+    try:
+        got = {r.stage: r.docs_out for r in cdc_queries.stream_stage_counts(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {"structuring": 400, "masking": 400, "chunking": 400, "enrichment": 400, "mapping": 0}
+    assert seen["structuring"] == (40, 14) and seen["masking"] == (3, 1) and seen["chunking"][0] == 7
