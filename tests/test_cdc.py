@@ -325,3 +325,22 @@ def test_stage_tables_are_written_in_parts(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got == {"structuring": 400, "masking": 400, "chunking": 400, "enrichment": 400, "mapping": 0}
     assert seen["structuring"] == (40, 14) and seen["masking"] == (3, 1) and seen["chunking"][0] == 7
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_many_keys_share_a_state(spark, kind):
+    """Three keys a group: the rule's result over three triggers, and no more states than groups; a missing key is a key."""
+    number = {k: i + (1 << 60) for i, k in enumerate(sorted({e[0] for e in _events(400)}))}
+    data = sorted(((None if k == "k4" else k if kind == "string" else number[k], t, i) for k, t, i in _events(400)), key=lambda e: e[1])
+    schema, root = f"k {kind}, ts timestamp, id int", work_path(spark, "t")
+    for part in range(3):
+        spark.createDataFrame(data[part * 134 : part * 134 + 134], schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    out = sightings.infer_operations_stream(stream, "k", "ts", "id", groups=3)
+    assert dict(out.dtypes)["k"] == kind
+    query = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.read.parquet(f"{root}/out").collect()
+    assert {r.id: r.change_operation for r in got} == _python_rule(data, timedelta(days=7))
+    assert {r.id: r.k for r in got} == {i: k for k, _, i in data}
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
